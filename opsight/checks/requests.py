@@ -98,7 +98,9 @@ TS_NORMALIZE = f"""select event_id, {iso('''case event_id%6 when 0 then ts
 
 def event_scan(spark, sf):
     """Requests written as text and parsed back, summed up."""
-    parsed = event_source.parse_events(tables.request_lines(spark, sf))
+    parsed = event_source.parse_events(
+        event_source.parsed_lines(tables.request_lines(spark, sf))
+    )
     return parsed.groupBy("service", "process", "outcome").agg(
         F.count(F.lit(1)).alias("events"),
         F.round(F.sum(F.col("duration_seconds").cast("decimal(18,3)")), 3)
@@ -119,7 +121,9 @@ from requests where event_id%50 not in (7,13) group by all""",
 
 
 def event_rejects(spark, sf):
-    rejects = event_source.event_rejects(tables.request_lines(spark, sf))
+    rejects = event_source.event_rejects(
+        event_source.parsed_lines(tables.request_lines(spark, sf))
+    )
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -64,7 +64,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests as JSON text, with broken and non-object lines among them."""
     return requests(spark, sf_dir).selectExpr(
-        "event_id as line_id",
+        "event_id",
         "case when event_id%50=7 then '{\"service\": broken'"
         " when event_id%50=13 then concat('[', event_id, ']')"
         " else to_json(named_struct('record_type', record_type, 'service', service,"

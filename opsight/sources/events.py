@@ -15,23 +15,36 @@ READ_ORDER = ["file_path", "block_start", "line_id"]
 
 
 def read_event_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Non-blank lines with the file and position they come from."""
+    """Non-blank lines, their parsed value ``v`` and the place they come from."""
     lines = spark.read.text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
+    )
+    return parsed_lines(lines.where(F.trim("value") != ""))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Add ``v`` and ``line_id``.
+
+    The line number keeps later filters on ``v`` above this step, so each line is
+    parsed once.
+    """
+    return lines.select(
+        "*",
         F.monotonically_increasing_id().alias("line_id"),
+        F.try_parse_json("value").alias("v"),
     )
-    return lines.where(F.trim("value") != "")
 
 
 def event_rejects(lines: DataFrame) -> DataFrame:
     """Lines that are not JSON, or are JSON but not an object."""
-    parsed = F.try_parse_json("value")
-    reason = F.when(parsed.isNull(), "invalid-json").when(
+    reason = F.when(F.col("v").isNull(), "invalid-json").when(
         ~F.ltrim("value").startswith("{"), "not-an-object"
     )
-    return lines.select("*", reason.alias("reason")).where("reason is not null")
+    return (
+        lines.withColumn("reason", reason).where("reason is not null").drop("v")
+    )
 
 
 def _text(name: str) -> Column:
@@ -55,15 +68,14 @@ def parse_events(lines: DataFrame, tz: str = "UTC") -> DataFrame:
 
     ``tz`` is the zone of event times written without an offset.
     """
-    objects = lines.where(F.ltrim("value").startswith("{")).withColumn(
-        "v", F.try_parse_json("value")
+    objects = lines.where(
+        F.col("v").isNotNull() & F.ltrim("value").startswith("{")
     )
     duration = F.try_variant_get("v", "$.duration_seconds", "variant")
     is_number = F.schema_of_variant(duration).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     position = [name for name in READ_ORDER if name in lines.columns]
     return (
-        objects.where("v is not null")
-        .select(
+        objects.select(
             *position,
             F.coalesce(_text("record_type"), F.lit("request")).alias("record_type"),
             *[
