@@ -38,9 +38,9 @@ def json_flatten(spark, sf):
     nodes = tables.workflows(spark, sf).select(
         "event_id",
         F.lit("w").alias("path"),
-        F.try_parse_json("payload").alias("node"),
+        F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")).alias("node"),
     )
-    return cover.flatten_json(nodes.where("node is not null"))
+    return cover.flatten_json(nodes)
 
 
 LEAVES = """leaves as (

@@ -98,7 +98,7 @@ def root_cause(message: Column | str) -> Column:
     def found(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(text, ANY_CASE + pattern, 0), F.lit(""))
 
-    years = F.array_sort(
+    years = F.sort_array(
         F.array_distinct(
             F.regexp_extract_all(
                 text, F.lit(ANY_CASE + fixed.MISSING_DATETIME_YEAR), F.lit(1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def _quoted_strings(value: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def string_values(value: Column, depth: int = NESTED_LISTS) -> Column:
     """Strings of a value: itself, or those in a list and its inner lists.
 
@@ -48,23 +55,18 @@ def string_values(value: Column, depth: int = NESTED_LISTS) -> Column:
     lost however deep it is.
     """
     nothing = F.array().cast("array<string>")
-    items = as_list(value)
-    inner = (
-        _quoted_strings(value)
-        if depth == 0
-        else F.flatten(F.transform(items, lambda item: string_values(item, depth - 1)))
-    )
-    return (
-        F.when(is_text(value), F.array(F.try_variant_get(value, "$", "string")))
-        .when(items.isNotNull(), inner)
-        .otherwise(nothing)
-    )
 
+    def inner(items: Column) -> Column:
+        return F.flatten(F.transform(items, lambda item: string_values(item, depth - 1)))
+
+    def of(item: Column) -> Column:
+        text = F.array(F.try_variant_get(item, "$", "string"))
+        if depth == 0:
+            listed = _quoted_strings(item)
+            is_list = F.schema_of_variant(item).startswith("ARRAY")
+            return F.when(is_text(item), text).when(is_list, listed).otherwise(nothing)
+        return F.when(is_text(item), text).otherwise(
+            F.coalesce(inner(as_list(item)), nothing)
+        )
 
-def exceeds_depth(json_text: Column, depth: int) -> Column:
-    """Whether JSON text nests deeper than ``depth``: peel that many bracket pairs."""
-    brackets = F.regexp_replace(json_text, r'"(?:[^"\\]|\\.)*"', "")
-    brackets = F.regexp_replace(brackets, r"[^\[\]{}]", "")
-    for _ in range(depth):
-        brackets = F.regexp_replace(brackets, r"\{\}|\[\]", "")
-    return brackets != ""
+    return F.coalesce(let(value, of), nothing)

@@ -45,7 +45,7 @@ def event_period(requests: DataFrame) -> DataFrame:
     """Services seen, first and last event, request count. Services are few names."""
     return requests.agg(
         F.concat_ws(
-            ",", F.array_sort(F.collect_set(F.nullif("service", F.lit(""))))
+            ",", F.sort_array(F.collect_set(F.nullif("service", F.lit(""))))
         ).alias("services"),
         F.min("event_time").alias("first"),
         F.max("event_time").alias("last"),

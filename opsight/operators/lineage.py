@@ -16,7 +16,7 @@ ENTRY = "struct<collection:string,years:array<int>,ranges:array<string>>"
 
 def component_years(values: Column) -> Column:
     """Years of the first ``year:`` part of each time-component text."""
-    return F.array_sort(
+    return F.sort_array(
         F.array_distinct(
             F.flatten(
                 F.transform(
@@ -38,14 +38,14 @@ def range_years(values: Column) -> Column:
     spans = F.transform(
         named, lambda years: F.sequence(F.array_min(years), F.array_max(years))
     )
-    return F.array_sort(F.array_distinct(F.flatten(spans)))
+    return F.sort_array(F.array_distinct(F.flatten(spans)))
 
 
 def requested_years(ranges: Column, components: Column) -> Column:
     """Component years win over the years of the ranges."""
-    from_components = component_years(components)
-    return F.when(F.size(from_components) > 0, from_components).otherwise(
-        range_years(ranges)
+    return variants.let(
+        component_years(components),
+        lambda years: F.when(F.size(years) > 0, years).otherwise(range_years(ranges)),
     )
 
 
@@ -89,63 +89,78 @@ def _payload_entries(payload: Column) -> Column:
         F.try_variant_get(payload, "$.inputs", "map<string,variant>"),
         lambda _, value: variants.string_values(value),
     )
-    given = F.filter(F.flatten(F.map_values(aliases)), _is_source)
-    named = F.transform(
-        given,
+    steps = F.filter(
+        F.map_values(F.try_variant_get(payload, "$.steps", "map<string,variant>")),
+        lambda step: F.try_variant_get(step, "$.in", "map<string,variant>").isNotNull(),
+    )
+    bound = F.struct(aliases.alias("aliases"), steps.alias("steps"))
+    return F.coalesce(
+        variants.let(bound, lambda b: _entries_of(b["aliases"], b["steps"])),
+        F.array().cast(f"array<{ENTRY}>"),
+    )
+
+
+def _entries(collections: Column, years: Column, ranges: Column) -> Column:
+    return F.transform(
+        collections,
         lambda collection: F.struct(
-            collection.alias("collection"),
-            F.array().cast("array<int>").alias("years"),
-            F.array().cast("array<string>").alias("ranges"),
+            collection.alias("collection"), years.alias("years"), ranges.alias("ranges")
         ),
     )
 
+
+def _entries_of(aliases: Column, steps: Column) -> Column:
+    given = F.filter(F.flatten(F.map_values(aliases)), _is_source)
+
     def strings(step: Column, name: str) -> Column:
         return variants.string_values(F.try_variant_get(step, f"$.in.{name}", "variant"))
 
-    def step_entries(step: Column) -> Column:
+    def of_step(step: Column) -> Column:
         ranges = strings(step, "time")
-        years = requested_years(ranges, strings(step, "time_components"))
         referenced = F.filter(
             F.flatten(
                 F.transform(strings(step, "collection"), lambda r: _resolve(r, aliases))
             ),
             _is_source,
         )
-        selected = F.when(F.size(referenced) > 0, referenced).otherwise(given)
-        return F.transform(
-            selected,
-            lambda collection: F.struct(
-                collection.alias("collection"),
-                years.alias("years"),
-                ranges.alias("ranges"),
-            ),
+        bound = F.struct(
+            variants.let(
+                referenced, lambda r: F.when(F.size(r) > 0, r).otherwise(given)
+            ).alias("selected"),
+            variants.let(
+                ranges,
+                lambda r: F.struct(
+                    requested_years(r, strings(step, "time_components")).alias("years"),
+                    r.alias("ranges"),
+                ),
+            ).alias("asked"),
+        )
+        return variants.let(
+            bound,
+            lambda b: _entries(b["selected"], b["asked"]["years"], b["asked"]["ranges"]),
         )
 
-    steps = F.filter(
-        F.map_values(F.try_variant_get(payload, "$.steps", "map<string,variant>")),
-        lambda step: F.try_variant_get(step, "$.in", "map<string,variant>").isNotNull(),
+    named = _entries(
+        given, F.array().cast("array<int>"), F.array().cast("array<string>")
     )
-    from_steps = F.flatten(F.transform(steps, step_entries))
-    nothing = F.array().cast(f"array<{ENTRY}>")
-    return F.concat(F.coalesce(named, nothing), F.coalesce(from_steps, nothing))
+    from_steps = F.flatten(F.transform(steps, of_step))
+    return F.concat(named, F.coalesce(from_steps, F.array().cast(f"array<{ENTRY}>")))
 
 
 def _merge(entries: Column) -> Column:
     """Entries of one request with one item per collection."""
-    names = F.array_distinct(F.transform(entries, lambda entry: entry["collection"]))
 
-    def of(name: Column, field: str) -> Column:
-        same = F.filter(entries, lambda entry: entry["collection"] == name)
-        return F.flatten(F.transform(same, lambda entry: entry[field]))
+    def one(name: Column) -> Column:
+        return variants.let(
+            F.filter(entries, lambda entry: entry["collection"] == name),
+            lambda same: F.struct(
+                name.alias("collection"),
+                F.sort_array(F.array_distinct(F.flatten(same["years"]))).alias("years"),
+                F.flatten(same["ranges"]).alias("ranges"),
+            ),
+        )
 
-    return F.transform(
-        names,
-        lambda name: F.struct(
-            name.alias("collection"),
-            F.array_sort(F.array_distinct(of(name, "years"))).alias("years"),
-            of(name, "ranges").alias("ranges"),
-        ),
-    )
+    return F.transform(F.array_distinct(entries["collection"]), one)
 
 
 def request_lineage(requests: DataFrame) -> DataFrame:
@@ -154,21 +169,27 @@ def request_lineage(requests: DataFrame) -> DataFrame:
     All of it happens inside the row: a request is one document, so nothing is
     shuffled until collections are counted.
     """
-    orchestrated = requests.where("process = 'orchestrate'").withColumn(
-        "payloads", workflow_payloads(F.col("inputs"))
-    )
-    entries = orchestrated.withColumn(
-        "entries", F.flatten(F.transform("payloads", _payload_entries))
-    )
-    return entries.select(
-        *requests.columns,
-        (F.size("payloads") > 0).alias("has_lineage"),
-        _merge(F.col("entries")).alias("requested"),
+    entries = F.flatten(F.transform("payloads", _payload_entries))
+    return (
+        requests.where("process = 'orchestrate'")
+        .withColumn("payloads", workflow_payloads(F.col("inputs")))
+        .select(
+            *requests.columns,
+            (F.size("payloads") > 0).alias("has_lineage"),
+            variants.let(entries, _merge).alias("requested"),
+        )
     )
 
 
-def exploded_lineage(lineage: DataFrame, *kept: str) -> DataFrame:
-    return lineage.select(*kept, F.inline("requested"))
+def exploded_lineage(lineage: DataFrame, *kept: str | Column) -> DataFrame:
+    """One row per request and collection.
+
+    The outer generator keeps Catalyst from adding a size filter that would work out
+    ``requested`` a second time below the generator.
+    """
+    return lineage.select(*kept, F.inline_outer("requested")).where(
+        "collection is not null"
+    )
 
 
 def lineage_availability(lineage: DataFrame) -> DataFrame:
@@ -189,7 +210,7 @@ def collection_years(lineage: DataFrame) -> DataFrame:
         "collection", F.explode("years").alias("year")
     )
     return years.groupBy("collection").agg(
-        text.compact_years(F.array_sort(F.collect_set("year"))).alias("year_coverage")
+        text.compact_years(F.sort_array(F.collect_set("year"))).alias("year_coverage")
     )
 
 
@@ -197,7 +218,7 @@ def collection_summary(lineage: DataFrame) -> DataFrame:
     """Requests, outcomes and year coverage of each collection."""
     outcome = named_outcome()
     counts = (
-        lineage.select(outcome.alias("outcome"), F.inline("requested"))
+        exploded_lineage(lineage, outcome.alias("outcome"))
         .groupBy("collection")
         .agg(
             F.count(F.lit(1)).alias("requests"),
@@ -246,12 +267,12 @@ def collection_failure_rows(lineage: DataFrame) -> DataFrame:
         )
     )
     targets = F.when(F.size("requested") > 0, F.col("requested")).otherwise(unknown)
-    rows = failed.select("job_id", "category", "cause", F.inline(targets))
+    rows = failed.select("job_id", "category", "cause", F.inline_outer(targets))
     return rows.select(
         F.coalesce(F.nullif("job_id", F.lit("")), F.lit("unknown")).alias("job_id"),
         "collection",
         text.compact_years(F.col("years")).alias("years"),
-        F.concat_ws(",", F.array_sort(F.array_distinct("ranges"))).alias("time_ranges"),
+        F.concat_ws(",", F.sort_array(F.array_distinct("ranges"))).alias("time_ranges"),
         "category",
         F.col("cause").alias("message"),
     )
