@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.functions import times
+from opsight.functions.derive import computed
 from opsight.params import StatusCodes
 
 
@@ -27,17 +28,14 @@ def status_name(
 
 def with_utc_times(jobs: DataFrame, local_tz: str = "UTC") -> DataFrame:
     """Add ``started_at``/``ended_at`` in UTC and the inferred ``offset_minutes``."""
-    offset = times.writer_offset_minutes("time_start", "uuid")
-    return jobs.withColumn("offset_minutes", offset).withColumns(
-        {
-            "started_at": times.from_wall_clock(
-                "time_start", F.col("offset_minutes"), local_tz
-            ),
-            "ended_at": times.from_wall_clock(
-                "time_end", F.col("offset_minutes"), local_tz
-            ),
-        }
-    )
+    created = computed(jobs, created_at=times.uuid1_instant("uuid"))
+    offset = times.writer_offset_minutes("time_start", F.col("created_at"))
+    measured = computed(created, offset_minutes=offset).drop("created_at")
+
+    def utc(name: str) -> Column:
+        return times.from_wall_clock(name, F.col("offset_minutes"), local_tz)
+
+    return computed(measured, started_at=utc("time_start"), ended_at=utc("time_end"))
 
 
 def completed_seconds(

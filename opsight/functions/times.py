@@ -76,7 +76,7 @@ def as_utc(naive: Column | str) -> Column:
 
 def uuid1_instant(identifier: Column | str) -> Column:
     """Creation instant carried by a version-1 UUID; null for any other text."""
-    text = F.lower(F.col(identifier) if isinstance(identifier, str) else identifier)
+    text = F.col(identifier) if isinstance(identifier, str) else identifier
     ticks = F.conv(
         F.concat(
             F.substring(text, 16, 3), F.substring(text, 10, 4), F.substring(text, 1, 8)
@@ -85,22 +85,22 @@ def uuid1_instant(identifier: Column | str) -> Column:
         10,
     ).try_cast("bigint")
     micros = F.floor((ticks - F.lit(fixed.UUID_EPOCH_100NS)) / F.lit(10).cast("decimal(20,0)"))
-    shape = r"^[0-9a-f]{8}-[0-9a-f]{4}-1[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    shape = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-1[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
     return F.when(text.rlike(shape), F.timestamp_micros(micros.cast("bigint")))
 
 
 def writer_offset_minutes(
     naive: Column | str,
-    identifier: Column | str,
+    created: Column,
     max_offset_hours: int = 14,
     tolerance_seconds: int = 300,
 ) -> Column:
-    """Minutes the writer's clock runs ahead of UTC, inferred from a UUID instant.
+    """Minutes the writer's clock runs ahead of UTC, inferred from its UUID instant.
 
     Null when the difference is larger than any zone, or is not near a whole
     minute count, or when the identifier carries no instant.
     """
-    difference = seconds_between(as_utc(naive), uuid1_instant(identifier))
+    difference = seconds_between(as_utc(naive), created)
     minutes = F.bround(difference / 60).cast("int")
     plausible = (F.abs(minutes) <= max_offset_hours * 60) & (
         F.abs(difference - minutes * 60) <= tolerance_seconds

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, variants
+from opsight.functions.derive import computed
 from opsight.operators.insights import named_process
 from opsight.operators.keys import top_per_group
 
@@ -114,11 +115,14 @@ def coverage_items(requests: DataFrame) -> DataFrame:
         variants.as_text(F.try_variant_get(value, "$.value", "variant")),
     )
     rows = (
-        input_values(requests)
-        .withColumn("path", F.concat_ws(".", "process", "name"))
-        .withColumn("complex_text", complex_text)
-        .withColumn("payload", F.try_parse_json("complex_text"))
-        .withColumn(
+        computed(
+            computed(
+                input_values(requests),
+                path=F.concat_ws(".", "process", "name"),
+                complex_text=complex_text,
+            ),
+            payload=F.try_parse_json("complex_text"),
+        ).withColumn(
             "kind",
             F.when(F.col("complex_text").isNull(), "plain")
             .when(F.col("payload").isNull(), "malformed")

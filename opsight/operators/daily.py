@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text
+from opsight.functions.derive import computed
 from opsight.operators.quantiles import order_statistics
 
 KEYS = ["date", "service"]
@@ -20,13 +21,18 @@ def daily_statistics(events: DataFrame) -> DataFrame:
     ``events`` are deduplicated request and operation events with ``event_time``.
     Undated events are left out. Negative durations count here.
     """
-    dated = events.where("event_time is not null").withColumn(
-        "date", F.to_date("event_time")
+    failures, diagnostics = F.col("failures"), F.col("diagnostics")
+    dated = computed(
+        events.where("event_time is not null"),
+        date=F.to_date("event_time"),
+        message_text=F.when(
+            F.col("outcome") == "failed", text.failure_text(failures, diagnostics)
+        ),
     )
     request = F.col("record_type") == "request"
     operation = F.col("record_type") == "operation"
     failed = request & (F.col("outcome") == "failed")
-    message = text.failure_text(F.col("failures"), F.col("diagnostics"))
+    message = F.col("message_text")
 
     def rows(condition: Column) -> Column:
         return F.count_if(F.coalesce(condition, F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text
+from opsight.functions.derive import computed
 from opsight.operators.keys import top_per_group
 from opsight.operators.quantiles import order_statistics
 from opsight.params import TimeRange
@@ -114,12 +115,16 @@ def duration_summary(requests: DataFrame) -> DataFrame:
 def failed_with_category(requests: DataFrame) -> DataFrame:
     """Failed requests with their category and root-cause message."""
     failures, diagnostics = F.col("failures"), F.col("diagnostics")
-    return requests.where("outcome = 'failed'").withColumns(
-        {
-            "category": text.failure_category(text.failure_text(failures, diagnostics)),
-            "cause": text.root_cause(text.first_message(failures, diagnostics)),
-        }
+    read = computed(
+        requests.where("outcome = 'failed'"),
+        failure_text=text.failure_text(failures, diagnostics),
+        first_message=text.first_message(failures, diagnostics),
     )
+    return computed(
+        read,
+        category=text.failure_category("failure_text"),
+        cause=text.root_cause("first_message"),
+    ).drop("failure_text", "first_message")
 
 
 def failure_categories(requests: DataFrame) -> DataFrame:

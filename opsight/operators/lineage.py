@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, variants
+from opsight.functions.derive import computed
 from opsight.operators.coverage import years_in
 from opsight.operators.insights import failed_with_category, named_outcome
 from opsight.operators.keys import top_per_group
@@ -169,16 +170,16 @@ def request_lineage(requests: DataFrame) -> DataFrame:
     All of it happens inside the row: a request is one document, so nothing is
     shuffled until collections are counted.
     """
-    entries = F.flatten(F.transform("payloads", _payload_entries))
-    return (
-        requests.where("process = 'orchestrate'")
-        .withColumn("payloads", workflow_payloads(F.col("inputs")))
-        .select(
-            *requests.columns,
-            (F.size("payloads") > 0).alias("has_lineage"),
-            variants.let(entries, _merge).alias("requested"),
-        )
+    parsed = computed(
+        requests.where("process = 'orchestrate'"),
+        payloads=workflow_payloads(F.col("inputs")),
     )
+    entries = F.flatten(F.transform("payloads", _payload_entries))
+    return computed(
+        parsed,
+        has_lineage=F.size("payloads") > 0,
+        requested=variants.let(entries, _merge),
+    ).drop("payloads")
 
 
 def exploded_lineage(lineage: DataFrame, *kept: str | Column) -> DataFrame:

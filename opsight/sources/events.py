@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, times
+from opsight.functions.derive import computed
 
 FAILURE = "struct<code:string,locator:string,message:string>"
 DIAGNOSTIC = "struct<source:string,message:string>"
@@ -20,21 +21,14 @@ def read_event_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_id"),
     )
     return parsed_lines(lines.where(F.trim("value") != ""))
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Add ``v`` and ``line_id``.
-
-    The line number keeps later filters on ``v`` above this step, so each line is
-    parsed once.
-    """
-    return lines.select(
-        "*",
-        F.monotonically_increasing_id().alias("line_id"),
-        F.try_parse_json("value").alias("v"),
-    )
+    """Add the value ``v`` of each line; null where the line is not JSON."""
+    return computed(lines, v=F.try_parse_json("value"))
 
 
 def event_rejects(lines: DataFrame) -> DataFrame:
@@ -109,10 +103,13 @@ def parse_events(lines: DataFrame, tz: str = "UTC") -> DataFrame:
 
 def with_event_time(events: DataFrame, tz: str = "UTC") -> DataFrame:
     """Add the instant an event counts for: finished, else recorded."""
-    text = F.coalesce(
+    written = F.coalesce(
         F.nullif("finished_at", F.lit("")), F.nullif("recorded_at", F.lit(""))
     )
-    return events.withColumn("event_time", times.iso_instant(text, tz))
+    events = computed(events, event_text=written)
+    return computed(events, event_time=times.iso_instant(F.col("event_text"), tz)).drop(
+        "event_text"
+    )
 
 
 def read_events(

@@ -42,7 +42,7 @@ def range_candidates(period: TimeRange) -> Column:
     It is written on the stored column, so it is pushed into the scan; the exact
     filter follows once the times are in UTC.
     """
-    condition = F.col("operation") == "execute"
+    condition = (F.col("operation") == "execute") & F.col("time_start").isNotNull()
     if period.start is not None:
         earliest = times.wall_clock(period.start - MAX_WRITER_OFFSET)
         condition = condition & (F.col("time_start") >= earliest)
@@ -53,7 +53,7 @@ def range_candidates(period: TimeRange) -> Column:
 
 
 def within(period: TimeRange, column: str = "started_at") -> Column:
-    condition = F.col(column).isNotNull()
+    condition = F.lit(True)
     if period.start is not None:
         condition = condition & (F.col(column) >= times.instant(period.start))
     if period.end is not None:

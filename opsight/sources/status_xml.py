@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, times
+from opsight.functions.derive import computed
 
 _STATE = "struct<_VALUE:string>"
 _EXCEPTION = "struct<_exceptionCode:string,_locator:string,ExceptionText:array<string>>"
@@ -123,9 +124,7 @@ def parse_status(documents: DataFrame) -> DataFrame:
 
     ``problem`` says why a document cannot be used; it is null for good ones.
     """
-    parsed = documents.withColumn(
-        "doc", F.from_xml("content", F.lit(DOCUMENT), OPTIONS)
-    )
+    parsed = computed(documents, doc=F.from_xml("content", F.lit(DOCUMENT), OPTIONS))
     status = F.col("doc.Status")
     present = F.filter(
         F.array(
@@ -136,24 +135,26 @@ def parse_status(documents: DataFrame) -> DataFrame:
         ),
         lambda state: state.isNotNull(),
     )
-    states = F.coalesce(present, F.array().cast("array<string>"))
-    creation = times.iso_instant(status["_creationTime"])
-    return parsed.withColumns(
-        {
-            "state": F.when(F.size(states) == 1, F.get(states, F.lit(0))),
-            "labelled_creation": creation,
-            "process": F.coalesce(
-                F.nullif(text.collapse_spaces("doc.Process.Identifier"), F.lit("")),
-                F.lit("unknown"),
-            ),
-            "problem": F.when(
-                F.col("doc").isNull() | F.col("doc._corrupt").isNotNull(), "invalid XML"
-            )
-            .when(status.isNull(), "missing Status")
-            .when(F.size(states) != 1, "not exactly one state")
-            .when(creation.isNull(), "invalid Status creationTime"),
-        }
+    listed = computed(
+        parsed,
+        states=F.coalesce(present, F.array().cast("array<string>")),
+        labelled_creation=times.iso_instant(status["_creationTime"]),
     )
+    count = F.size("states")
+    return computed(
+        listed,
+        state=F.when(count == 1, F.get("states", F.lit(0))),
+        process=F.coalesce(
+            F.nullif(text.collapse_spaces("doc.Process.Identifier"), F.lit("")),
+            F.lit("unknown"),
+        ),
+        problem=F.when(
+            F.col("doc").isNull() | F.col("doc._corrupt").isNotNull(), "invalid XML"
+        )
+        .when(status.isNull(), "missing Status")
+        .when(count != 1, "not exactly one state")
+        .when(F.col("labelled_creation").isNull(), "invalid Status creationTime"),
+    ).drop("states")
 
 
 def status_requests(
