@@ -120,9 +120,20 @@ select o_orderdate as snapshot_ts, cast(o_orderkey as string) as job_id,
 from orders)"""
 
 CAPACITY = """capacity as (
-select concat('node',cast(s_suppkey as string)) as node, case when s_suppkey%13=0 then 'down' else 'up' end as partition_state,
-  case s_suppkey%6 when 0 then 'idle' when 1 then 'allocated+' when 2 then 'mixed' when 3 then 'down*' when 4 then 'drained' else 'allocated*+' end as node_state,
-  'none' as reason from supplier)"""
+select o_orderdate as snapshot_ts, concat('node',cast(o_custkey as string)) as node, case when o_orderkey%53=0 then 'down' else 'up' end as partition_state,
+  case o_orderkey%12 when 0 then 'idle' when 1 then 'allocated+' when 2 then 'down*' when 3 then 'drained' when 4 then 'allocated*+' else 'MIXED' end as node_state,
+  case when o_orderkey%53=0 or o_orderkey%12 in (2,3,4) then 0 else 1 end as usable
+from orders where o_orderstatus='F')"""
+
+MEMORY = """captured as (
+select concat('host',cast(c_custkey as string)) as host, case when c_custkey%17<>0 then 1000+c_custkey%100*10 end as total,
+  case when c_custkey%19<>0 then 100+c_custkey%90 end as available, c_custkey%50 as swap_total,
+  case when c_custkey%23<>0 then c_custkey%60 end as swap_free from customer)"""
+
+FILESYSTEMS = """mounts as (
+select concat('host',cast(c_custkey%5 as string)) as host, c_custkey as position, concat('/mnt/',cast(c_custkey as string)) as path, c_nationkey as device,
+  case when c_custkey%13=0 then null when c_custkey%11=0 then 0 else 5000+c_nationkey end as total,
+  case when c_custkey%13=0 then null else c_custkey%5000 end as used from customer)"""
 
 
 def with_tables(*tables: str, body: str) -> str:

@@ -259,11 +259,53 @@ def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capacity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node rows with healthy states, flags and bad states."""
-    return table(spark, sf_dir, "supplier").selectExpr(
-        "timestamp'2024-01-01 00:00:00' as snapshot_ts",
-        "concat('node',cast(s_suppkey as string),'|', case when s_suppkey%13=0 then"
-        " 'down' else 'up' end,'|', case s_suppkey%6 when 0 then 'idle' when 1 then"
-        " 'allocated+' when 2 then 'mixed' when 3 then 'down*' when 4 then 'drained'"
-        " else 'allocated*+' end,'|none') as value",
+    """Node rows of each day: mostly healthy states, some flags and bad states."""
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return finished.selectExpr(
+        "cast(o_orderdate as timestamp) as snapshot_ts",
+        "concat('node',cast(o_custkey as string),'|', case when o_orderkey%53=0 then"
+        " 'down' else 'up' end,'|', case o_orderkey%12 when 0 then 'idle' when 1 then"
+        " 'allocated+' when 2 then 'down*' when 3 then 'drained' when 4 then"
+        " 'allocated*+' else 'MIXED' end,'|', case when o_orderkey%2=0 then 'none'"
+        " else '' end) as value",
+    )
+
+
+def memory_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured memory totals, one host per customer."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('host',cast(c_custkey as string)) as host",
+        "case when c_custkey%17<>0 then 1000+c_custkey%100*10 end as total",
+        "case when c_custkey%19<>0 then 100+c_custkey%90 end as available",
+        "c_custkey%50 as swap_total",
+        "case when c_custkey%23<>0 then c_custkey%60 end as swap_free",
+    )
+
+
+def filesystem_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured mounts: several paths per host and device, some unavailable."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('host',cast(c_custkey%5 as string)) as host",
+        "c_custkey as position",
+        "concat('/mnt/',cast(c_custkey as string)) as path",
+        "c_nationkey as device",
+        "case when c_custkey%13=0 then null when c_custkey%11=0 then 0"
+        " else 5000+c_nationkey end as total",
+        "case when c_custkey%13=0 then null else c_custkey%5000 end as used",
+    )
+
+
+def poll_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job rows of the polled identifiers, finished and open ones."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat(lpad(lower(hex(c_custkey)),8,'0'),'-0000-4000-8000-000000000000') as uuid",
+        "case c_custkey%4 when 0 then 2 when 1 then 4 when 2 then 5 end as status",
+    )
+
+
+def poll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status documents that exist for some of the polled identifiers."""
+    return table(spark, sf_dir, "supplier").where("s_acctbal > 5000").selectExpr(
+        "concat(lpad(lower(hex(s_suppkey)),8,'0'),'-0000-4000-8000-000000000000')"
+        " as job_id"
     )
