@@ -186,9 +186,9 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_access_lines(table(spark, sf_dir, "events"))
 
 
-def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape_status_documents(orders: DataFrame) -> DataFrame:
     """One status document per order."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return orders.selectExpr(
         "concat('job-',cast(o_orderkey as string)) as job_id",
         "cast(o_orderdate + make_dt_interval(0,0,0,cast(floor(o_totalprice/100) as int))"
         " as timestamp) as modification_time",
@@ -201,6 +201,10 @@ def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_status_documents(table(spark, sf_dir, "orders"))
+
+
 def job_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dump files: one per order line, so jobs have none, one or several."""
     return table(spark, sf_dir, "lineitem").selectExpr(
