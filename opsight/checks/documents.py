@@ -21,6 +21,7 @@ from opsight.checks.sql_tables import (
 from opsight.functions import text, times
 from opsight.operators import findings
 from opsight.params import Thresholds
+from opsight.session import scratch_path
 from opsight.sources import access_log, dumps, incidents, status_xml
 from opsight.sources import driver_tables as tables
 
@@ -260,7 +261,8 @@ def _all_findings(spark, sf):
         job_checks.database_findings(spark, sf),
         findings.polling_findings(_decisions(spark, sf)),
     ]
-    return reduce(DataFrame.unionByName, layers)
+    found = reduce(DataFrame.unionByName, layers)
+    return findings.store_findings(spark, found, scratch_path(spark, "findings"))
 
 
 FINDINGS = f"""findings as (select * from xml_findings union all by name select * from db_findings union all by name

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opsight import fixed
+from opsight.functions.derive import let
 
 ANY_CASE = "(?i)"
 
@@ -159,23 +160,37 @@ def log_fields(message: Column | str) -> Column:
     """``key=value`` pairs of a log message as a map; a later duplicate wins."""
     message = _col(message)
     keys = F.regexp_extract_all(message, F.lit(fixed.LOG_FIELD), F.lit(1))
-    values = F.regexp_extract_all(message, F.lit(fixed.LOG_FIELD), F.lit(2))
-    pairs = F.zip_with(
-        keys,
-        values,
-        lambda key, value: F.struct(
-            F.translate(key, "-", "_").alias("key"),
-            F.when(~value.isin(*fixed.NULL_FIELD_VALUES), value).alias("value"),
-        ),
+    found = F.struct(
+        F.split(F.translate(F.concat_ws(" ", keys), "-", "_"), " ").alias("names"),
+        F.transform(
+            F.regexp_extract_all(message, F.lit(fixed.LOG_FIELD), F.lit(2)),
+            lambda value: F.when(~value.isin(*fixed.NULL_FIELD_VALUES), value),
+        ).alias("values"),
     )
-    names = F.transform(pairs, lambda pair: pair["key"])
+    return let(found, _last_of_each)
+
+
+def _last_of_each(found: Column) -> Column:
+    names, values = found["names"], found["values"]
     last = F.filter(
-        pairs,
-        lambda pair, at: ~F.array_contains(
-            F.slice(names, at + F.lit(2), F.size(names)), pair["key"]
+        F.sequence(F.lit(0), F.size(values) - 1),
+        lambda at: ~F.array_contains(
+            F.slice(names, at + F.lit(2), F.size(names)), F.get(names, at)
         ),
     )
-    return F.map_from_entries(last)
+    chosen = F.map_from_arrays(
+        F.transform(last, lambda at: F.get(names, at)),
+        F.transform(last, lambda at: F.get(values, at)),
+    )
+    none = F.create_map().cast("map<string,string>")
+    return (
+        F.when(F.size(values) == 0, none)
+        .when(
+            F.size(F.array_distinct(names)) == F.size(names),
+            F.map_from_arrays(names, values),
+        )
+        .otherwise(chosen)
+    )
 
 
 def typed_log_fields(fields: Column | str) -> Column:

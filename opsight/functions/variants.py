@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsight.functions.derive import let
+
 NESTED_LISTS = 3
 
 
@@ -43,11 +43,6 @@ def _quoted_strings(value: Column) -> Column:
     )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def string_values(value: Column, depth: int = NESTED_LISTS) -> Column:
     """Strings of a value: itself, or those in a list and its inner lists.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsight import fixed
@@ -14,6 +14,7 @@ from opsight.functions.derive import computed
 from opsight.operators.keys import top_per_group
 from opsight.params import StatusCodes, Thresholds
 from opsight.sources.jobs import MAX_WRITER_OFFSET
+from opsight.sources.status_xml import percent_decoded
 
 FINDING_COLUMNS = ["layer", "job_id", "status", "finding", "evidence_ts", "reason"]
 LAYER_ORDER = {"xml": 1, "database": 2, "polling": 3}
@@ -155,20 +156,18 @@ def missing_status_polls(
     raw_path = F.regexp_extract(
         "target", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1
     )
-    path = F.coalesce(
-        F.try_url_decode(F.replace(raw_path, F.lit("+"), F.lit("%2B"))), raw_path
-    )
+    path = percent_decoded(F.col("raw_path"))
     earliest = times.instant(now - timedelta(minutes=thresholds.poll_window_minutes))
     latest = times.instant(now + timedelta(minutes=5))
-    polls = (
-        accesses.where(
-            F.col("method").isin("GET", "HEAD")
-            & (F.col("status") == 404)
-            & (F.col("ts") >= earliest)
-            & (F.col("ts") <= latest)
-        )
-        .select("ts", F.regexp_extract(path, status_path, 1).alias("job_id"))
-        .where(F.col("job_id").rlike(fixed.UUID_PATTERN))
+    failed = accesses.where(
+        F.col("method").isin("GET", "HEAD")
+        & (F.col("status") == 404)
+        & (F.col("ts") >= earliest)
+        & (F.col("ts") <= latest)
+    )
+    located = computed(failed.select("ts", "target"), raw_path=raw_path)
+    polls = computed(located, job_id=F.regexp_extract(path, status_path, 1)).where(
+        F.col("job_id").rlike(fixed.UUID_PATTERN)
     )
     return poll_groups(polls, ["job_id"], thresholds)
 
@@ -262,6 +261,16 @@ def dump_match(stalled: DataFrame, dumps: DataFrame) -> DataFrame:
     )
 
 
+def store_findings(spark: SparkSession, findings: DataFrame, path: str) -> DataFrame:
+    """Write the findings of a run and read them back.
+
+    Summary and plan use the findings several times; from the table each layer's
+    documents, rows and logs are read once.
+    """
+    findings.write.mode("overwrite").parquet(path)
+    return spark.read.schema(findings.schema).parquet(path)
+
+
 def layer_summary(findings: DataFrame) -> DataFrame:
     """Stalled, long-running and error counts per layer."""
     return findings.groupBy("layer").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, variants
-from opsight.functions.derive import computed
+from opsight.functions.derive import computed, let
 from opsight.operators.coverage import years_in
 from opsight.operators.insights import failed_with_category, named_outcome
 from opsight.operators.keys import top_per_group
@@ -44,7 +44,7 @@ def range_years(values: Column) -> Column:
 
 def requested_years(ranges: Column, components: Column) -> Column:
     """Component years win over the years of the ranges."""
-    return variants.let(
+    return let(
         component_years(components),
         lambda years: F.when(F.size(years) > 0, years).otherwise(range_years(ranges)),
     )
@@ -96,7 +96,7 @@ def _payload_entries(payload: Column) -> Column:
     )
     bound = F.struct(aliases.alias("aliases"), steps.alias("steps"))
     return F.coalesce(
-        variants.let(bound, lambda b: _entries_of(b["aliases"], b["steps"])),
+        let(bound, lambda b: _entries_of(b["aliases"], b["steps"])),
         F.array().cast(f"array<{ENTRY}>"),
     )
 
@@ -125,10 +125,10 @@ def _entries_of(aliases: Column, steps: Column) -> Column:
             _is_source,
         )
         bound = F.struct(
-            variants.let(
+            let(
                 referenced, lambda r: F.when(F.size(r) > 0, r).otherwise(given)
             ).alias("selected"),
-            variants.let(
+            let(
                 ranges,
                 lambda r: F.struct(
                     requested_years(r, strings(step, "time_components")).alias("years"),
@@ -136,7 +136,7 @@ def _entries_of(aliases: Column, steps: Column) -> Column:
                 ),
             ).alias("asked"),
         )
-        return variants.let(
+        return let(
             bound,
             lambda b: _entries(b["selected"], b["asked"]["years"], b["asked"]["ranges"]),
         )
@@ -152,7 +152,7 @@ def _merge(entries: Column) -> Column:
     """Entries of one request with one item per collection."""
 
     def one(name: Column) -> Column:
-        return variants.let(
+        return let(
             F.filter(entries, lambda entry: entry["collection"] == name),
             lambda same: F.struct(
                 name.alias("collection"),
@@ -178,7 +178,7 @@ def request_lineage(requests: DataFrame) -> DataFrame:
     return computed(
         parsed,
         has_lineage=F.size("payloads") > 0,
-        requested=variants.let(entries, _merge),
+        requested=let(entries, _merge),
     ).drop("payloads")
 
 

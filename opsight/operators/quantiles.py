@@ -9,10 +9,12 @@ BUCKETS_PER_E_FOLD = 256
 
 
 def _bucket(value: Column) -> Column:
-    """Non-decreasing in ``value``; a few thousand buckets span all durations."""
-    return (
-        F.signum(value) * F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD)
-    ).cast("bigint")
+    """Non-decreasing in ``value``; a few thousand buckets span all durations.
+
+    Never null, so that joining on it adds no filter below the shared shuffle.
+    """
+    scaled = F.signum(value) * F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD)
+    return F.coalesce(scaled.cast("bigint"), F.lit(0))
 
 
 def p95_nearest(count: Column) -> Column:
@@ -44,8 +46,12 @@ def order_statistics(
     A group of any size is therefore spread over its buckets.
     """
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    # Both users of `measured` see the same filters, so its shuffle is made once.
+    present = F.col(value).isNotNull() & ~F.isnan(value)
+    for key in keys:
+        present = present & F.col(key).isNotNull()
     measured = (
-        rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+        rows.where(present)
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(count.alias("c"))
         .withColumn("bucket", _bucket(F.col("v")))

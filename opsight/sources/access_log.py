@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsight import fixed
+from opsight.functions.derive import computed
+
+PARTS = ("client", "time", "method", "target", "protocol", "status")
+PART_GROUPS = [f"${at + 1}" for at in range(len(PARTS))]
+PART_MARK = "\u0001"
 
 
 def read_access_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -13,21 +18,28 @@ def read_access_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:
-    """Client, instant, method, target and status of the lines that parse."""
-    names = ("client", "time_text", "method", "target", "protocol", "status")
-    parts = [
-        F.regexp_extract("value", fixed.ACCESS_LOG_LINE, index + 1).alias(name)
-        for index, name in enumerate(names)
-    ]
+    """Client, instant, method, target and status of the lines that parse.
+
+    One replacement puts the six parts of a line next to each other, so a line is
+    matched twice and not once per part.
+    """
+    joined = F.regexp_replace(
+        "value", "(?s)" + fixed.ACCESS_LOG_LINE + ".*$", PART_MARK.join(PART_GROUPS)
+    )
+    parsed = computed(
+        lines.where(F.col("value").rlike(fixed.ACCESS_LOG_LINE)),
+        parts=F.split(joined, PART_MARK),
+    )
+    part = {name: F.get("parts", F.lit(at)) for at, name in enumerate(PARTS)}
+    stamp = F.try_to_timestamp(part["time"], F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
     return (
-        lines.where(F.col("value").rlike(fixed.ACCESS_LOG_LINE))
-        .select(*parts)
+        computed(parsed, ts=stamp)
+        .where("ts is not null")
         .select(
-            "client",
-            F.try_to_timestamp("time_text", F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"),
-            "method",
-            "target",
-            F.col("status").cast("int").alias("status"),
+            part["client"].alias("client"),
+            "ts",
+            part["method"].alias("method"),
+            part["target"].alias("target"),
+            part["status"].cast("int").alias("status"),
         )
-        .where("ts is not null")
     )

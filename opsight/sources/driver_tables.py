@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsight.functions.derive import computed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,16 +65,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests as JSON text, with broken and non-object lines among them."""
-    return requests(spark, sf_dir).selectExpr(
-        "event_id",
+    value = F.expr(
         "case when event_id%50=7 then '{\"service\": broken'"
         " when event_id%50=13 then concat('[', event_id, ']')"
         " else to_json(named_struct('record_type', record_type, 'service', service,"
         " 'job_id', job_id, 'process', process, 'outcome', outcome,"
         " 'duration_seconds', duration_seconds, 'finished_at',"
         " date_format(event_time, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"),"
-        " 'failures', failures)) end as value",
+        " 'failures', failures)) end"
     )
+    return computed(requests(spark, sf_dir), value=value).select("event_id", "value")
 
 
 def shape_workflows(events: DataFrame) -> DataFrame:
@@ -171,15 +173,16 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_access_lines(events: DataFrame) -> DataFrame:
     """Combined-format access lines with other methods, statuses and paths."""
-    return with_k(events).selectExpr(
+    value = F.expr(
         """concat('192.0.2.',cast(user_id%250 as string),' - - [',
           date_format(cast(ts as timestamp),'dd/MMM/yyyy:HH:mm:ss'),' +0000] "',
           case when k%10=0 then 'POST' when k%10=1 then 'HEAD' else 'GET' end,
           ' /outputs/',case when k%5=4 then 'other' else 'alpha' end,'/',
           lpad(lower(hex(user_id)),8,'0'),
           '-0000-4000-8000-000000000000.xml?poll=1 HTTP/1.1" ',
-          case when k%3=0 then '200' else '404' end,' 153 "-" "client" "-"') as value"""
+          case when k%3=0 then '200' else '404' end,' 153 "-" "client" "-"')"""
     )
+    return computed(with_k(events), value=value).select("value")
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

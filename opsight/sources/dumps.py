@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text
+from opsight.functions.derive import computed
 
 
 def read_job_dumps(spark: SparkSession, path: str) -> DataFrame:
@@ -39,37 +40,33 @@ def read_error_outputs(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_dumps(dumps: DataFrame) -> DataFrame:
     """Job, work folder, lineage flag and input count of valid dumps."""
-    parsed = dumps.withColumn("v", F.try_parse_json("dump")).withColumn(
-        "request",
-        F.try_parse_json(F.try_variant_get("v", "$.wps_request", "string")),
-    )
-    inputs = F.try_variant_get("request", "$.inputs", "map<string,variant>")
+    parsed = computed(dumps, v=F.try_parse_json("dump"))
+    named = computed(
+        parsed,
+        job_id=F.nullif(
+            F.coalesce(F.try_variant_get("v", "$.process.uuid", "string"), F.lit("")),
+            F.lit(""),
+        ),
+    ).where("job_id is not null")
+    request = F.try_parse_json(F.try_variant_get("v", "$.wps_request", "string"))
+    inputs = F.try_variant_get(request, "$.inputs", "map<string,variant>")
     sizes = F.transform(
         F.map_values(inputs),
         lambda value: F.coalesce(
             F.size(F.try_variant_get(value, "$", "array<variant>")), F.lit(1)
         ),
     )
-    return parsed.select(
+    lineage = F.coalesce(F.try_variant_get(request, "$.lineage", "string"), F.lit(""))
+    return named.select(
         "directory",
-        F.nullif(
-            F.coalesce(F.try_variant_get("v", "$.process.uuid", "string"), F.lit("")),
-            F.lit(""),
-        ).alias("job_id"),
+        "job_id",
         F.try_variant_get("v", "$.process.workdir", "string").alias("workdir"),
-        (
-            F.lower(
-                F.coalesce(
-                    F.try_variant_get("request", "$.lineage", "string"), F.lit("")
-                )
-            )
-            == "true"
-        ).alias("lineage"),
+        (F.lower(lineage) == "true").alias("lineage"),
         F.aggregate(sizes, F.lit(0), lambda total, size: total + size).alias(
             "input_count"
         ),
-        F.col("request").isNotNull().alias("is_valid"),
-    ).where("job_id is not null")
+        request.isNotNull().alias("is_valid"),
+    )
 
 
 def tail(content: Column, size: int) -> Column:
@@ -85,12 +82,16 @@ def job_diagnostics(dumps: DataFrame, errors: DataFrame) -> DataFrame:
     Of several dumps of one job the last folder wins.
     """
     message = text.collapse_spaces(tail(F.col("error_output"), fixed.DIAGNOSTIC_TAIL_BYTES))
+    outputs = (
+        errors.select("directory", message.alias("message"))
+        .where("message != ''")
+        .groupBy("directory")
+        .agg(F.max("message").alias("message"))
+    )
     return (
         dumps.select("job_id", "directory")
-        .join(
-            errors.select("directory", message.alias("message")).where("message != ''"),
-            "directory",
-        )
+        .distinct()
+        .join(outputs, "directory")
         .groupBy("job_id")
         .agg(F.max_by("message", "directory").alias("message"))
         .select(

@@ -37,6 +37,29 @@ def metric_windows(
     )
 
 
+def transitions(alerts: DataFrame, initial: str) -> DataFrame:
+    """Snapshots whose status differs from the one before.
+
+    Each day is compared inside itself; its first snapshot is compared with the last
+    one of the day before, by one row per day.
+    """
+    dated = alerts.withColumn("day", F.to_date("snapshot_ts"))
+    inside = F.lag("status").over(Window.partitionBy("day").orderBy("snapshot_ts"))
+    days = dated.groupBy("day").agg(
+        F.max_by("status", "snapshot_ts").alias("last_status")
+    )
+    carried = days.select(
+        "day",
+        F.lag("last_status", 1, initial).over(Window.orderBy("day")).alias("carried"),
+    )
+    return (
+        dated.withColumn("inside", inside)
+        .join(carried, "day")
+        .where(F.col("status") != F.coalesce("inside", "carried"))
+        .select(*alerts.columns)
+    )
+
+
 def alert_transitions(
     jobs: DataFrame,
     capacity: DataFrame,
@@ -50,7 +73,7 @@ def alert_transitions(
     """Store a row whenever the alert state differs from the snapshot before.
 
     ``jobs`` is a stream of queue rows whose snapshots arrive whole; ``capacity`` is
-    the table of node rows. The window runs over one row per snapshot.
+    the table of node rows.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -63,8 +86,7 @@ def alert_transitions(
         )
         earlier = tables.earlier_batches(spark, path, batch_id, alerts)
         last = earlier.agg(F.max_by("status", "snapshot_ts")).first()[0]
-        before = F.lag("status", 1, last or "clear").over(Window.orderBy("snapshot_ts"))
-        changed = alerts.withColumn("before", before).where("status != before")
-        tables.write_batch(changed.drop("before"), path, batch_id)
+        changed = transitions(alerts, last or "clear")
+        tables.write_batch(changed, path, batch_id)
 
     return tables.run(jobs, store, checkpoint, **trigger)
