@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsight import fixed
 from opsight.functions import text, variants
@@ -14,7 +15,11 @@ from opsight.functions.derive import computed
 from opsight.operators.insights import named_process
 from opsight.operators.keys import top_per_group
 
-LEAVES = "array<struct<path:string,leaf:string>>"
+LEAVES = T.ArrayType(
+    T.StructType(
+        [T.StructField("path", T.StringType()), T.StructField("leaf", T.StringType())]
+    )
+)
 
 
 @F.pandas_udf(LEAVES)
