@@ -144,8 +144,7 @@ def event_append_defaults(spark, sf):
         ).alias("recorded_at"),
         F.to_date("event_time").alias("date"),
     )
-    filled = event_source.with_append_defaults(bare, times.instant(NOW))
-    filled.write.mode("append").partitionBy("service", "date").parquet(path)
+    event_source.append_events(bare, path, times.instant(NOW))
     return spark.read.parquet(path).select(
         "event_id", "service", "schema_version", "recorded_at"
     )
@@ -259,7 +258,7 @@ FAILURE_MESSAGES = with_tables(
 
 
 def _incident_paths(spark, sf):
-    return tables.table(spark, sf, "events").where("event_id % 20 = 4").select(
+    return tables.table(spark, sf, "events").where("value > 15").select(
         F.concat(
             F.lit("/archive/rook/20240101T000000Z__error__rook__subset__JOB-"),
             F.col("event_id").cast("string"),
@@ -279,7 +278,7 @@ FAILURE_EXAMPLES = with_tables(
     DEDUPED,
     GROUPS,
     """named as (select distinct category, code, locator, text, job_id,
-  case when cast(substr(job_id,5) as bigint)%20=4 then 1 else 0 end as documents from failed)""",
+  case when job_id in (select concat('job-', cast(event_id as string)) from events where value > 15) then 1 else 0 end as documents from failed)""",
     body="""select * from (select category, code, locator, text, job_id, documents,
 row_number() over (partition by category, code, locator, text order by documents desc, job_id) as rank from named)
 where rank <= 3""",

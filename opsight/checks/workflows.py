@@ -172,15 +172,14 @@ COLLECTION_SUMMARY = with_tables(WORKFLOWS, FACTS, ISLANDS, body=SUMMARY)
 
 
 def collections_sorted(spark, sf):
-    ordered = lines.collections_sorted(lines.collection_summary(_lineage(spark, sf)), "failed")
-    return ordered.limit(5)
+    return lines.collections_sorted(lines.collection_summary(_lineage(spark, sf)), "failed")
 
 
 COLLECTIONS_SORTED = with_tables(
     WORKFLOWS,
     FACTS,
     ISLANDS,
-    body=f"select * from ({SUMMARY}) order by failed desc, collection limit 5",
+    body=f"select * from ({SUMMARY}) order by failed desc, collection",
 )
 
 

@@ -17,6 +17,7 @@ from opsight.sources.jobs import MAX_WRITER_OFFSET
 from opsight.sources.status_xml import percent_decoded
 
 FINDING_COLUMNS = ["layer", "job_id", "status", "finding", "evidence_ts", "reason"]
+MAX_BROADCAST_LIMIT = 10_000
 LAYER_ORDER = {"xml": 1, "database": 2, "polling": 3}
 
 
@@ -314,8 +315,8 @@ def recovery_plan(
     Each layer recovers findings up to the run's limit and defers the rest to the
     next run; no finding is dropped. Documents go in name order, the other layers
     oldest first. A job whose document is in error
-    is blocked in the database layer. The selected jobs number a few hundred at
-    most, whatever the size of the findings, and can be broadcast.
+    is blocked in the database layer. The selected jobs are at most three times the
+    limit, whatever the size of the findings; they are broadcast while that is small.
     """
     recoverable = findings.where("finding in ('stalled', 'slurm-oom', 'missing-status')")
     blocked = findings.where(
@@ -356,7 +357,11 @@ def recovery_plan(
     )
     steps = F.create_map(*[F.lit(part) for pair in LAYER_ORDER.items() for part in pair])
     return (
-        candidates.join(F.broadcast(selected), ["layer", "job_id"], "left")
+        candidates.join(
+            F.broadcast(selected) if widest <= MAX_BROADCAST_LIMIT else selected,
+            ["layer", "job_id"],
+            "left",
+        )
         .select(
             F.element_at(steps, F.col("layer")).alias("step"),
             "layer",

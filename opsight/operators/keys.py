@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT_THRESHOLD = 1000
+SALTS = 256
+
 
 def first_by_key(
     rows: DataFrame, keys: list[Column | str], order: list[str]
@@ -36,8 +40,19 @@ def top_per_group(
     """At most ``limit`` rows per group with their ``rank``.
 
     Spark turns the ``row_number() <= limit`` filter into a group limit that also
-    runs before the shuffle, so no task receives a whole hot group.
+    runs before the shuffle, so no task receives a whole hot group. It does so up to
+    a limit of 1000; above that, groups are first ranked in salted parts, which
+    leaves at most ``limit`` rows of each part for the final ranking.
     """
+    if limit > GROUP_LIMIT_THRESHOLD:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+        parts = Window.partitionBy(*groups, "__salt").orderBy(*order)
+        rows = (
+            rows.withColumn("__salt", salt)
+            .withColumn("__place", F.row_number().over(parts))
+            .where(F.col("__place") <= limit)
+            .drop("__salt", "__place")
+        )
     window = Window.partitionBy(*groups).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(window)).where(
         F.col("rank") <= limit

@@ -218,7 +218,7 @@ def job_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
         " concat('job-',cast(l_orderkey as string)), 'workdir', 'x'), 'wps_request',"
         " to_json(named_struct('lineage', l_suppkey%2=0, 'inputs',"
         " map('dataset', array('a','b'), 'time', array('c')))))) end as dump",
-    ).where("directory is not null")
+    )
 
 
 def error_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

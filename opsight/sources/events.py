@@ -132,6 +132,21 @@ def with_append_defaults(events: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def append_events(events: DataFrame, path: str, now: Column) -> None:
+    """Append events with their defaults to the table by service and ``date``.
+
+    The rebalance hint lets Spark size the files: small partitions are joined and a
+    service with most of the events is split.
+    """
+    (
+        with_append_defaults(events, now)
+        .hint("rebalance", "service", "date")
+        .write.mode("append")
+        .partitionBy("service", "date")
+        .parquet(path)
+    )
+
+
 def log_events(messages: DataFrame, source: str = "job-control") -> DataFrame:
     """Operation events from log messages (``message, level, service, recorded_at``).
 

@@ -51,5 +51,13 @@ def read_metric_csv(
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Store long-form metrics so that plugin and date ranges prune partitions."""
-    metrics.write.mode("append").partitionBy("plugin", "date").parquet(path)
+    """Store long-form metrics so that plugin and date ranges prune partitions.
+
+    The rebalance hint gives files of even size, also when one plugin has most rows.
+    """
+    (
+        metrics.hint("rebalance", "plugin", "date")
+        .write.mode("append")
+        .partitionBy("plugin", "date")
+        .parquet(path)
+    )

@@ -13,8 +13,9 @@ BATCH = "batch_id"
 
 def write_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Store the rows of one batch; a retry of the batch replaces its own rows."""
+    placed = rows.hint("rebalance", *partitions) if partitions else rows
     (
-        rows.withColumn(BATCH, F.lit(batch_id))
+        placed.withColumn(BATCH, F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions, BATCH)

@@ -159,6 +159,23 @@ def test_derived_and_unreferenced_steps(spark):
     assert lineage.lineage_availability(found).first()["with_lineage"] == 2
 
 
+def test_collections_in_the_chosen_order(spark):
+    summary = spark.createDataFrame([("b", 3, 1, 2), ("a", 3, 3, 0), ("c", 9, 0, 2)], "collection string, requests int, successful int, failed int")
+    orders = {"name": "abc", "requests": "cab", "successful": "abc", "failed": "bca"}
+    for sort_by, names in orders.items():
+        assert "".join(r["collection"] for r in lineage.collections_sorted(summary, sort_by).collect()) == names
+
+
+def test_top_rows_of_a_hot_group(spark):
+    from opsight.operators.keys import top_per_group
+
+    rows = spark.range(6000).selectExpr("'hot' as g", "id as v").unionByName(spark.range(3).selectExpr("'small' as g", "id as v"))
+    for limit in (2, 1500):
+        found = top_per_group(rows, ["g"], [F.col("v").desc()], limit).collect()
+        assert sorted((r["rank"], r["v"]) for r in found if r["g"] == "hot") == [(n + 1, 5999 - n) for n in range(limit)]
+        assert len([r for r in found if r["g"] == "small"]) == min(limit, 3)
+
+
 def test_failures_without_lineage_are_unknown(spark):
     found = lineage_of(spark, workflow("{", "1", outcome="failed"))
     row = lineage.collection_failures(found).first()
