@@ -202,36 +202,31 @@ def lineage_availability(lineage: DataFrame) -> DataFrame:
 
 
 def collection_summary(lineage: DataFrame) -> DataFrame:
-    """Requests, outcomes and year coverage of each collection.
+    """Requests, outcomes and year coverage of each collection, in one pass.
 
-    Requests are first counted per collection, outcome and set of years. Counts and
-    years both start from that one shuffle, so the documents are read once (a plain
-    explode would push a filter below one of the two). A year has four digits: the set of a collection cannot outgrow 2 000 numbers, and it is built
-    on the map side first.
+    Requests are first counted per collection, outcome and set of years; each count is
+    then credited to the first year of its set. A year has four digits: the set of a
+    collection cannot outgrow 2 000 numbers, and it is built on the map side first.
     """
     asked = (
         exploded_lineage(lineage, named_outcome().alias("outcome"))
         .groupBy("collection", "outcome", "years")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            "collection", "outcome", "n", F.posexplode_outer("years").alias("at", "year")
+        )
     )
+    once = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n"))
 
     def requests_with(outcome: str) -> Column:
-        return F.coalesce(
-            F.sum(F.when(F.col("outcome") == outcome, F.col("n"))), F.lit(0)
-        ).alias(outcome)
-
-    counts = asked.groupBy("collection").agg(
-        F.sum("n").alias("requests"), requests_with("successful"), requests_with("failed")
-    )
-    coverage = (
-        asked.select("collection", F.explode_outer("years").alias("year"))
-        .groupBy("collection")
-        .agg(
-            text.compact_years(F.sort_array(F.collect_set("year"))).alias("year_coverage")
-        )
-    )
-    return counts.join(coverage, "collection", "left").withColumn(
-        "year_coverage", F.coalesce("year_coverage", F.lit("unknown"))
+        counted = F.sum(F.when(F.col("outcome") == outcome, once))
+        return F.coalesce(counted, F.lit(0)).alias(outcome)
+
+    return asked.groupBy("collection").agg(
+        F.sum(once).alias("requests"),
+        requests_with("successful"),
+        requests_with("failed"),
+        text.compact_years(F.sort_array(F.collect_set("year"))).alias("year_coverage"),
     )
 
 
