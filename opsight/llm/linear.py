@@ -59,14 +59,20 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic_scale(scores: np.ndarray, positive: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities (Newton steps, smoothed targets)."""
+def logistic_scale(
+    scores: np.ndarray, positive: np.ndarray, counts: np.ndarray | float = 1.0, steps: int = 60
+) -> tuple[float, float]:
+    """Slope and offset that turn margins into probabilities (Newton steps, smoothed targets).
+
+    ``counts`` tells how many rows each sampled row stands for.
+    """
+    counts = np.broadcast_to(np.asarray(counts, float), scores.shape)
     up, down = positive.sum(), (~positive).sum()
     target = np.where(positive, (up + 1) / (up + 2), 1 / (down + 2))
     slope, offset = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(slope * scores + offset)
-        error, weight = p - target, np.maximum(p * (1 - p), 1e-9)
+        error, weight = counts * (p - target), counts * np.maximum(p * (1 - p), 1e-9)
         gradient = np.array([error @ scores, error.sum()])
         curve = np.array(
             [[weight @ scores**2 + 1e-6, weight @ scores], [weight @ scores, weight.sum() + 1e-6]]

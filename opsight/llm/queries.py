@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import language
+from opsight.llm import language, quality, toxicity
 from opsight.llm.common import fold, table
 
 
+def _in_fold(folds: int, number: int) -> Column:
+    return F.coalesce(fold("doc_id", folds) == number, F.lit(False)).alias("held_out")
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language.train(docs, ~F.coalesce(fold("doc_id", 4) == 2, F.lit(True)))
-    return language.identify(docs.select("doc_id", "text"), model).select(
+    model = language.train(docs, ~_in_fold(4, 2))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _in_fold(4, 2), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~_in_fold(5, 0))
+    return quality.score(docs, model).select("doc_id", _in_fold(5, 0), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_in_fold(5, 0))
+    return toxicity.severity(docs, model).select(
         "doc_id",
-        F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
-        "lang_pred",
-        "score",
+        _in_fold(5, 0),
+        "expected_severity",
+        "grade",
+        "toxic_probability",
+        (F.col("toxic_probability") >= 0.5).alias("toxic"),
     )
 
 
-REGISTRY = {"op1_language": (op1_language, None)}
+REGISTRY = {
+    "op1_language": (op1_language, None),
+    "op3_quality": (op3_quality, None),
+    "op8_toxicity": (op8_toxicity, None),
+}

@@ -33,9 +33,9 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words begin and end."""
-    blank = _IS_BLANK[data]
+def spans(data: np.ndarray, separates: np.ndarray = _IS_BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end; ``separates`` tells which bytes lie between words."""
+    blank = separates[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     return edges[::2], edges[1::2]
 
