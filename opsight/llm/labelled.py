@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.llm.common import by_batch
@@ -33,15 +34,17 @@ def sample(
     The rows are chosen by the hash of the id on the narrow label table. Their ids are
     bounded by ``per_class`` and so may be broadcast; texts are not shuffled.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        labels.filter(learnable & F.col(label).isin(0, 1) & F.col(id_column).isNotNull())
-        .select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= per_class)
-        .groupBy("id")
-        .agg(F.min("label").alias("label"))
+    usable = labels.filter(learnable & F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")
     )
+    chosen = reduce(
+        DataFrame.unionByName,
+        (
+            usable.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
+            for value in (0, 1)
+        ),
+    )
+    chosen = chosen.groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
         F.broadcast(chosen), "id"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import language, quality, toxicity
+from opsight.llm import fingerprint, language, linededup, quality, toxicity
 from opsight.llm.common import fold, table
 
 
@@ -20,6 +20,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _in_fold(4, 2), "lang_pred", "score")
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~_in_fold(5, 0))
@@ -35,12 +39,41 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "expected_severity",
         "grade",
         "toxic_probability",
-        (F.col("toxic_probability") >= 0.5).alias("toxic"),
+        (F.col("toxic_probability") >= toxicity.TOXIC_FROM).alias("toxic"),
     )
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bitmaps = linededup.keep_bitmaps(docs)
+    return linededup.digests(docs, bitmaps)
+
+
+OP10_SQL = """
+with line as (
+  select doc_id, idx, l, trim(l, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) as k0
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as idx
+        from documents)
+), keyed as (
+  select doc_id, idx, l, translate(k0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from line
+), hot as (
+  select k, max(doc_id) as keeper from keyed where length(k) >= 20
+  group by k having count(distinct doc_id) >= 3
+), marked as (
+  select a.doc_id, a.idx, a.l, (h.k is not null and a.doc_id <> h.keeper) as gone
+  from keyed a left join hot h on a.k = h.k
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) order by idx) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
 REGISTRY = {
     "op1_language": (op1_language, None),
+    "op2_fingerprint": (op2_fingerprint, None),
     "op3_quality": (op3_quality, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op10_linededup": (op10_linededup, OP10_SQL),
 }

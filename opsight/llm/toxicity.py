@@ -30,6 +30,9 @@ from opsight.llm.words import SLICE, spans
 BITS = 22
 GRADES = 3
 PREFIXES = (3, 4, 5, 6)
+#: From this probability of a grade above 0 on a document is called toxic. It lies below a
+#: half since one telling word in a long text is enough for the label.
+TOXIC_FROM = 0.25
 _letters = np.zeros(256, bool)
 _letters[ord("a") : ord("z") + 1] = True
 _letters[128:] = True
