@@ -194,7 +194,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     dealt, count = in_order(docs, parts)
     schema = SCHEMA
     return (
-        dealt.repartitionByRange(count, "part")
+        dealt.repartitionById(count, F.col("part"))
         .sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(_pairs_of_rows(arrow_schema(schema)), schema)
     )
