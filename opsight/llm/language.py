@@ -205,10 +205,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "t
     docs = docs.select(*kept)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.matrix()))
+    weights = model.matrix()
 
     def predicted(batch: pa.RecordBatch) -> dict[str, list]:
-        known, weights = shared.value
         out = {c: batch.column(c) for c in kept}
         names, scores = [], []
         for text in batch.column(text_column).to_pylist():
@@ -221,7 +220,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "t
                 for ids in gram_ids(piece):
                     sums += weights.take(ids, axis=0).sum(axis=0)
                     total += len(ids)
-            name, score = known.decide(sums * (SCALE / total) + weights[-1])
+            name, score = model.decide(sums * (SCALE / total) + weights[-1])
             names.append(name)
             scores.append(score)
         return out | {"lang_pred": names, "score": scores}

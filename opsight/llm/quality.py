@@ -142,11 +142,9 @@ def score(docs: DataFrame, model: QualityModel, text_column: str = "text", thres
     """Add ``score`` and ``predicted`` (1 from ``threshold`` on) to all rows."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(*kept)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batch: pa.RecordBatch) -> dict[str, list]:
-        known = shared.value
-        values = [known.score(indicators(text)) for text in batch.column(text_column).to_pylist()]
+        values = [model.score(indicators(text)) for text in batch.column(text_column).to_pylist()]
         return {c: batch.column(c) for c in kept} | {
             "score": values,
             "predicted": [int(value >= threshold) for value in values],

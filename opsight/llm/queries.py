@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import fingerprint, language, linededup, quality, toxicity
+from opsight.llm import bpe, fingerprint, language, linededup, quality, toxicity, warc
 from opsight.llm.common import fold, table
 
 
@@ -30,6 +31,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", _in_fold(5, 0), "score", "predicted")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_in_fold(5, 0))
@@ -43,6 +49,26 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.roundtrip(spark, pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"
+    )
+
+
+OP9_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by payload_digest
+)
+select p.page_id, p.payload_bytes, p.payload_digest,
+       case when f.first_id < p.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first_id < p.page_id then f.first_id end as refers_to, cast(null as varchar) as error
+from p left join f on f.payload_digest = p.payload_digest
+"""
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = linededup.keep_bitmaps(docs)
@@ -74,6 +100,8 @@ REGISTRY = {
     "op1_language": (op1_language, None),
     "op2_fingerprint": (op2_fingerprint, None),
     "op3_quality": (op3_quality, None),
+    "op6_bpe": (op6_bpe, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op9_warc": (op9_warc, OP9_SQL),
     "op10_linededup": (op10_linededup, OP10_SQL),
 }

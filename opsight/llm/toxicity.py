@@ -157,13 +157,11 @@ def severity(docs: DataFrame, model: OrdinalModel, text_column: str = "text") ->
     added = ("toxic_probability", "grade", "expected_severity")
     kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*kept)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def graded(batch: pa.RecordBatch) -> dict[str, list]:
-        known = shared.value
         out = {c: batch.column(c) for c in kept} | {c: [] for c in added}
         for text in batch.column(text_column).to_pylist():
-            above = known.probabilities(features(text))
+            above = model.probabilities(features(text))
             out["toxic_probability"].append(float(above[0]))
             out["grade"].append(int((above >= 0.5).sum()))
             out["expected_severity"].append(float(above.sum()))
