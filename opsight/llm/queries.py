@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, fingerprint, language, linededup, quality, toxicity, warc
+from opsight.llm import bpe, fingerprint, language, linededup, packing, quality, toxicity, warc
 from opsight.llm.common import fold, table
 
 
@@ -31,6 +31,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", _in_fold(5, 0), "score", "predicted")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -100,6 +105,7 @@ REGISTRY = {
     "op1_language": (op1_language, None),
     "op2_fingerprint": (op2_fingerprint, None),
     "op3_quality": (op3_quality, None),
+    "op4_packing": (op4_packing, None),
     "op6_bpe": (op6_bpe, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_warc": (op9_warc, OP9_SQL),
