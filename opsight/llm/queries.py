@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, fingerprint, language, linededup, packing, quality, toxicity, warc
+from opsight.llm import bpe, fingerprint, jaccard, language, linededup, packing, quality, topk, toxicity, warc
 from opsight.llm.common import fold, table
 
 
@@ -36,11 +36,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, cast(r as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s
+) where r <= 20
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_in_fold(5, 0))
@@ -106,7 +131,9 @@ REGISTRY = {
     "op2_fingerprint": (op2_fingerprint, None),
     "op3_quality": (op3_quality, None),
     "op4_packing": (op4_packing, None),
+    "op5_jaccard": (op5_jaccard, None),
     "op6_bpe": (op6_bpe, None),
+    "op7_topk": (op7_topk, OP7_SQL),
     "op8_toxicity": (op8_toxicity, None),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_linededup": (op10_linededup, OP10_SQL),
