@@ -42,7 +42,7 @@ from opsight.llm.words import as_bytes, ascii_lower, mixed, shingle_hashes, word
 
 #: Documents with a token at most -> shared tokens asked for; beyond the last: one more.
 CLASSES = ((64, 1), (2048, 2))
-PART_TOKENS = 4
+PART_TOKENS = 5
 SMALLEST_THRESHOLD = 80
 
 
@@ -56,9 +56,15 @@ def may_miss(size: int, percent: int) -> int:
     return size - -(-percent * size // 100)
 
 
+def filter_size(size: int, percent: int) -> int:
+    """Tokens that the first filter looks at: half as many again as a partner may lack."""
+    return min(size, 3 * (may_miss(size, percent) + 1) // 2 + 8)
+
+
 def prefix_size(size: int, percent: int) -> int:
-    spare = may_miss(size, percent) + 1
-    return min(size, math.ceil(1.6 * spare) + 8)
+    """Tokens that are enough for every extension: a part loses one less than it asks for."""
+    lost = sum(range(1, len(CLASSES) + 1)) << max(part_levels(size, percent))
+    return min(size, may_miss(size, percent) + 1 + lost)
 
 
 def identity(tokens: np.ndarray) -> tuple[int, int]:
@@ -80,7 +86,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             out["size"].append(len(tokens))
             out["first"].append(first)
             out["second"].append(second)
-            out["prefix"].append(tokens[: prefix_size(len(tokens), percent)].view(np.int64))
+            out["prefix"].append(tokens[: filter_size(len(tokens), percent)].view(np.int64))
         return out
 
     schema = "doc_id bigint, size bigint, first bigint, second bigint, prefix array<bigint>"
