@@ -1,7 +1,7 @@
 """Documents joined by the Jaccard similarity of their word shingles, as components.
 
 Candidates come from token-combination prefixes. Tokens (hashes of shingles) have one global
-order; a document's prefix is extended until it must share enough tokens with any partner:
+order, rare ones first; a document's prefix is extended until it must share enough tokens with any partner:
 a class of tokens that are frequent asks for ``k`` shared tokens at once and is indexed by
 combinations of ``k`` prefix tokens, rare tokens are indexed alone. With ``n_c`` prefix
 tokens of a part ``c`` that asks for ``k_c``, a partner that shares no signature misses
@@ -12,13 +12,14 @@ of parts follows the set's size, a set is indexed for each number that a partner
 
 Before that, two exact filters use up most documents. Equal sets are one class, represented
 by the smallest id. And a set that has more tokens of its own, shared with no other set,
-than a partner may miss has no partner; the tokens of its prefix are counted first, those
-of the whole set only for what is left.
+than a partner may miss has no partner; some tokens of each set are counted first, those
+of the whole set only for what is left. Only this rest is ordered and indexed.
 
 Candidates are verified on whole sets. Large groups are not enumerated: every signature
-first meets only its hub, the set with the fewest tokens of its own. Pairs of the others
-are formed where both are not connected yet, and where sizes, own tokens and the known
-differences to the hub leave the similarity possible. No partner or candidate is capped.
+first meets only its hub, the set with the fewest tokens before it. Pairs of the others are
+formed where both are not connected yet, and where sizes, the tokens before the signature
+and the known differences to the hub leave the similarity possible. The tokens before are
+a valid bound at the first signature that a pair shares, so no pair is lost by them. No partner or candidate is capped.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words than a shingle has form
 one shingle, no word or null text is an empty set, linked with nothing. Rows with a null id
@@ -61,12 +62,6 @@ def filter_size(size: int, percent: int) -> int:
     return min(size, 3 * (may_miss(size, percent) + 1) // 2 + 8)
 
 
-def prefix_size(size: int, percent: int) -> int:
-    """Tokens that are enough for every extension: a part loses one less than it asks for."""
-    lost = sum(range(1, len(CLASSES) + 1)) << max(part_levels(size, percent))
-    return min(size, may_miss(size, percent) + 1 + lost)
-
-
 def identity(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits that tell sets apart, as two signed numbers."""
     with np.errstate(over="ignore"):
@@ -133,28 +128,46 @@ def _combined(group: np.ndarray, asked: int, level: int) -> np.ndarray:
     return mark
 
 
-def signatures(tokens: np.ndarray, sets_with: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """Signatures of a prefix; ``sets_with`` counts the sets that have each token in theirs."""
+def signatures(
+    tokens: np.ndarray, sets_with: np.ndarray, size: int, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of ``size`` tokens, of which ``tokens`` are in other sets too.
+
+    With each comes how many tokens stand before it. A partner that shares this signature
+    and none before lacks them all: for a rare token those that precede it, for a
+    combination those of the rare class, as classes follow each other in the order.
+
+    ``sets_with`` counts the sets that have each of these. The order is by that count, then
+    by the token; tokens that no other set has come first and are missed by any partner.
+    """
     need = may_miss(size, percent) + 1
-    asked = 1 + np.searchsorted([most for most, _ in CLASSES], sets_with, side="left")
-    found = [np.zeros(0, np.uint64)]
+    own = size - len(tokens)
+    if own >= need:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    order = np.lexsort((tokens, sets_with))
+    tokens = tokens[order]
+    asked = 1 + np.searchsorted([most for most, _ in CLASSES], sets_with[order], side="left")
+    rare = own + int((asked == 1).sum())
+    found, before = [], []
     for level in part_levels(size, percent):
         part = np.where(asked > 1, mixed(tokens) & np.uint64((1 << level) - 1), np.uint64(0))
         held: dict[tuple[int, int], int] = defaultdict(int)
-        missed, end = 0, len(tokens)
-        for at, key in enumerate(zip(asked.tolist(), part.tolist(), strict=True)):
+        missed, end = own, 0
+        for key in zip(asked.tolist(), part.tolist(), strict=True):
             held[key] += 1
             missed += held[key] >= key[0]
+            end += 1
             if missed == need:
-                end = at + 1
                 break
-        if missed < need and end < size:
-            raise ValueError("the prefix is too short for its classes")
-        found.append(tokens[:end][(asked[:end] == 1) & (sets_with[:end] > 1)])
+        asked_here, part_here = asked[:end], part[:end]
+        found.append(tokens[:end][asked_here == 1])
+        before.append(own + np.flatnonzero(asked_here == 1))
         for k, p in held:
             if k > 1:
-                found.append(_combined(tokens[:end][(asked[:end] == k) & (part[:end] == p)], k, level))
-    return np.unique(np.concatenate(found))
+                found.append(_combined(tokens[:end][(asked_here == k) & (part_here == p)], k, level))
+                before.append(np.full(len(found[-1]), rare))
+    found, first = np.unique(np.concatenate(found), return_index=True)
+    return found, np.concatenate(before)[first]
 
 
 def _whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -177,46 +190,44 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
 
 def _signed(candidates: DataFrame, percent: int) -> DataFrame:
-    """(sig, rep, size, own): the index of the candidates, without signatures of one set."""
-
-    def cut(batch: pa.RecordBatch) -> dict[str, list]:
-        prefixes = [t[: prefix_size(len(t), percent)] for t in batch.column("tokens").to_pylist()]
-        return {c: batch.column(c) for c in ("rep", "size", "own")} | {"prefix": prefixes}
-
-    prefixes = by_batch(candidates, cut, "rep bigint, size bigint, own bigint, prefix array<bigint>")
-    tokens = prefixes.select("rep", F.explode("prefix").alias("token"))
+    """(sig, rep, size, before): the index of the candidates."""
+    tokens = candidates.select("rep", "size", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
-    known = tokens.join(counts, "token").groupBy("rep").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "sets"))).alias("sets")
-    )
+    shared = tokens.join(counts, "token").groupBy("rep", "size")
+    shared = shared.agg(F.collect_list("token").alias("tokens"), F.collect_list("sets").alias("sets"))
 
     def sign(batch: pa.RecordBatch) -> dict[str, list]:
-        out = {"rep": batch.column("rep"), "size": batch.column("size"), "own": batch.column("own"), "sigs": []}
-        rows = (batch.column(c).to_pylist() for c in ("prefix", "size", "sets"))
-        for prefix, size, sets_with in zip(*rows, strict=True):
-            sets_with = dict(sets_with or ())
-            counted = np.array([sets_with.get(t, 1) for t in prefix], np.int64)
-            tokens = np.array(prefix, np.int64).view(np.uint64)
-            out["sigs"].append(signatures(tokens, counted, size, percent).view(np.int64))
+        out = {"rep": batch.column("rep"), "size": batch.column("size"), "sigs": [], "before": []}
+        for size, tokens, sets_with in zip(*(batch.column(c).to_pylist() for c in ("size", "tokens", "sets")), strict=True):
+            sigs, before = signatures(np.array(tokens, np.int64).view(np.uint64), np.array(sets_with), size, percent)
+            out["sigs"].append(sigs.view(np.int64))
+            out["before"].append(before)
         return out
 
-    signed = by_batch(
-        prefixes.join(known, "rep", "left"), sign, "rep bigint, size bigint, own bigint, sigs array<bigint>"
-    ).select("rep", "size", "own", F.explode("sigs").alias("sig"))
-    return signed
+    signed = by_batch(shared, sign, "rep bigint, size bigint, sigs array<bigint>, before array<bigint>")
+    return signed.select("rep", "size", F.inline(F.arrays_zip("sigs", "before"))).withColumnRenamed("sigs", "sig")
 
 
 def _buckets(index: DataFrame) -> DataFrame:
-    """The index without buckets of one set or with equal members, and with each bucket's hub."""
+    """The index without buckets of one set, with each bucket's hub.
+
+    Buckets with the same members are one; a member keeps the smallest ``before`` of them.
+    """
     buckets = index.groupBy("sig").agg(
         F.count("*").alias("members"),
         F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark"),
         F.sum(F.xxhash64(F.lit(7), "rep").cast("decimal(20,0)")).alias("second_mark"),
-        F.min(F.struct("own", "rep", "size")).alias("hub"),
     )
-    buckets = buckets.filter("members > 1").groupBy("members", "mark", "second_mark", "hub").agg(F.min("sig").alias("sig"))
-    hubs = buckets.select("sig", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.own").alias("hub_own"))
-    return index.join(hubs, "sig")
+    buckets = written(buckets.filter("members > 1"), "buckets")
+    alike = ["members", "mark", "second_mark"]
+    named = buckets.join(buckets.groupBy(*alike).agg(F.min("sig").alias("bucket")), alike).select("sig", "bucket")
+    rows = index.join(named, "sig").groupBy("bucket", "rep", "size").agg(F.min("before").alias("before"))
+    rows = written(rows.withColumnRenamed("bucket", "sig"), "bucket-rows")
+    hubs = rows.groupBy("sig").agg(F.min(F.struct("before", "rep", "size")).alias("hub"))
+    hubs = hubs.select(
+        "sig", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.before").alias("hub_before")
+    )
+    return rows.join(hubs, "sig")
 
 
 def _possible(size: Column, other_size: Column, missing: Column, percent: int) -> Column:
@@ -255,7 +266,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     # Every set of a bucket meets the hub.
     to_hub = index.filter("rep != hub").filter(
-        _possible(F.col("size"), F.col("hub_size"), F.col("own") + F.col("hub_own"), percent)
+        _possible(F.col("size"), F.col("hub_size"), F.col("before") + F.col("hub_before"), percent)
     )
     to_hub = to_hub.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     hub_pairs = written(_verified(to_hub, candidates, percent), "hubs")
@@ -273,15 +284,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         (F.col("a_size") - F.col("shared")).alias("lack"), (F.col("b_size") - F.col("shared")).alias("extra"),
     )
     members = written(
-        members.join(known, ["hub", "rep"], "left").select("sig", "rep", "size", "own", "component", "outside", "lack", "extra"),
+        members.join(known, ["hub", "rep"], "left").select("sig", "rep", "size", "before", "component", "outside", "lack", "extra"),
         "members",
     )
     left = members.filter("outside").alias("x")
     right = members.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     nothing = F.lit(0)
-    more_left = F.greatest(x("own"), F.coalesce(y("lack") - x("lack"), nothing), F.coalesce(x("extra") - y("extra"), nothing))
-    more_right = F.greatest(y("own"), F.coalesce(x("lack") - y("lack"), nothing), F.coalesce(y("extra") - x("extra"), nothing))
+    more_left = F.greatest(x("before"), F.coalesce(y("lack") - x("lack"), nothing), F.coalesce(x("extra") - y("extra"), nothing))
+    more_right = F.greatest(y("before"), F.coalesce(x("lack") - y("lack"), nothing), F.coalesce(y("extra") - x("extra"), nothing))
     rest = left.join(
         right,
         (x("sig") == y("sig"))

@@ -98,7 +98,8 @@ class LanguageModel:
     pairs: list[Machine]
 
     def matrix(self) -> np.ndarray:
-        return np.array([m.weights for m in self.rest + self.pairs]).T.copy()
+        machines = self.rest + self.pairs
+        return np.array([m.weights for m in machines]).reshape(len(machines), -1 if machines else (1 << WIDTH_BITS) + 1).T.copy()
 
     def decide(self, values: np.ndarray) -> tuple[str, float]:
         """Language and score from the margins of all machines."""
