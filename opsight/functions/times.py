@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,7 +40,9 @@ def instant(value: datetime) -> Column:
 
 
 def wall_clock(value: datetime) -> Column:
-    """A zone-less literal, so a filter on a raw NTZ column reaches the scan."""
+    """A zone-less UTC literal, so a filter on a raw NTZ column reaches the scan."""
+    if value.tzinfo is not None:
+        value = value.astimezone(timezone.utc)
     return F.lit(value.replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
 
 

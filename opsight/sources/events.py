@@ -23,7 +23,7 @@ def read_event_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
     )
-    return parsed_lines(lines.where(F.trim("value") != ""))
+    return parsed_lines(lines.where(F.col("value").rlike(r"\S")))
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
@@ -31,10 +31,15 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return computed(lines, v=F.try_parse_json("value"))
 
 
+def is_object() -> Column:
+    """Whether the parsed value is an object, whatever blanks stand before it."""
+    return F.schema_of_variant("v").startswith("OBJECT")
+
+
 def event_rejects(lines: DataFrame) -> DataFrame:
     """Lines that are not JSON, or are JSON but not an object."""
     reason = F.when(F.col("v").isNull(), "invalid-json").when(
-        ~F.ltrim("value").startswith("{"), "not-an-object"
+        ~is_object(), "not-an-object"
     )
     return (
         lines.withColumn("reason", reason).where("reason is not null").drop("v")
@@ -62,9 +67,7 @@ def parse_events(lines: DataFrame, tz: str = "UTC") -> DataFrame:
 
     ``tz`` is the zone of event times written without an offset.
     """
-    objects = lines.where(
-        F.col("v").isNotNull() & F.ltrim("value").startswith("{")
-    )
+    objects = lines.where(F.col("v").isNotNull() & is_object())
     duration = F.try_variant_get("v", "$.duration_seconds", "variant")
     is_number = F.schema_of_variant(duration).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     position = [name for name in READ_ORDER if name in lines.columns]

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +207,13 @@ def test_strings_of_nested_lists_are_all_found(spark):
     assert one(spark, variants.string_values(F.try_parse_json("j")), j='"x"') == ["x"]
     assert one(spark, variants.string_values(F.try_parse_json("j")), j="3") == []
     assert one(spark, variants.string_values(F.lit(None).cast("variant"))) == []
+
+
+def test_wall_clock_is_utc(spark):
+    west = timezone(timedelta(hours=-8))
+    both = spark.range(1).select(
+        times.wall_clock(datetime(2026, 8, 1, 20, tzinfo=west)).alias("aware"),
+        times.wall_clock(datetime(2026, 8, 2, 4)).alias("naive"),
+    )
+    row = both.first()
+    assert row["aware"] == row["naive"] == datetime(2026, 8, 2, 4)

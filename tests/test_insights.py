@@ -229,3 +229,16 @@ def test_full_report_from_files(spark, tmp_path):
     assert sections["operations"].first()["recovered_jobs"] == 1
     plan.write_report(sections, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "collection_failures")).first()["collection"] == "unknown"
+
+
+def test_blanks_around_event_lines(spark, tmp_path):
+    path = tmp_path / "events.jsonl"
+    path.write_bytes(b'\t{"a": 1}\r\n \t \n\t\r\n\n{"a": 2}\n\t[1]\n\t"x"\nbroken\n')
+    lines = source.read_event_lines(spark, str(path))
+    assert source.parse_events(lines).count() == 2
+    rejects = source.event_rejects(lines).select("value", "reason").collect()
+    assert sorted((r["value"].strip(), r["reason"]) for r in rejects) == [
+        ('"x"', "not-an-object"),
+        ("[1]", "not-an-object"),
+        ("broken", "invalid-json"),
+    ]
