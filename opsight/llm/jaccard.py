@@ -17,9 +17,13 @@ of the whole set only for what is left. Only this rest is ordered and indexed.
 
 Candidates are verified on whole sets. Large groups are not enumerated: every signature
 first meets only its hub, the set with the fewest tokens before it. Pairs of the others are
-formed where both are not connected yet, and where sizes, the tokens before the signature
-and the known differences to the hub leave the similarity possible. The tokens before are
-a valid bound at the first signature that a pair shares, so no pair is lost by them. No partner or candidate is capped.
+formed where both are not connected yet, and where sizes, the tokens before the signature,
+the known differences to the hub and the parity bits leave the similarity possible. The
+tokens before are a valid bound at the first signature that a pair shares, so no pair is lost
+by them. Parity bits tell for each of several cells whether it holds an odd number of a set's
+tokens; every cell that differs proves a token that one set lacks, so they lose no pair
+either. There are at least two cells for each token, whatever the size. No partner or
+candidate is capped.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words than a shingle has form
 one shingle, no word or null text is an empty set, linked with nothing. Rows with a null id
@@ -70,6 +74,17 @@ def identity(tokens: np.ndarray) -> tuple[int, int]:
     return int(first.astype(np.int64)), int(second.astype(np.int64))
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """For each of a power of two of cells whether an odd number of tokens falls into it.
+
+    Halves that are xored give the bits for half as many cells.
+    """
+    longs = 1 << max(-(-len(tokens) // 32) - 1, 0).bit_length()
+    spread = mixed(tokens ^ np.uint64(0x6A09E667F3BCC909)) & np.uint64(64 * longs - 1)
+    odd = (np.bincount(spread.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint64).reshape(longs, 64)
+    return (odd << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, size, first, second, prefix) of each row."""
 
@@ -238,6 +253,36 @@ def _possible(size: Column, other_size: Column, missing: Column, percent: int) -
     )
 
 
+def _bits(candidates: DataFrame) -> DataFrame:
+    """(rep, bits): the parity bits of each candidate."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        tokens = batch.column("tokens").to_pylist()
+        bits = [parity_bits(np.array(t, np.int64).view(np.uint64)).view(np.int64) for t in tokens]
+        return {"rep": batch.column("rep"), "bits": bits}
+
+    return by_batch(candidates.select("rep", "tokens"), run, "rep bigint, bits array<bigint>")
+
+
+def _odd_cells(bits: Column, other: Column) -> Column:
+    """In how many cells two sets differ; similar sets have as many cells or twice as many."""
+
+    def halved(wide: Column) -> Column:
+        half = (F.size(wide) / 2).cast("int")
+        return F.zip_with(F.slice(wide, 1, half), F.slice(wide, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    def differing(a: Column, b: Column) -> Column:
+        cells = F.zip_with(a, b, lambda m, n: F.bit_count(m.bitwiseXOR(n)))
+        return F.aggregate(cells, F.lit(0), lambda total, n: total + n)
+
+    return (
+        F.when(F.size(bits) == F.size(other), differing(bits, other))
+        .when(F.size(bits) == 2 * F.size(other), differing(halved(bits), other))
+        .when(2 * F.size(bits) == F.size(other), differing(bits, halved(other)))
+        .otherwise(F.lit(0))
+    )
+
+
 def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with the sizes and the exact number of shared tokens."""
     tokens = candidates.select("rep", "tokens")
@@ -287,6 +332,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         members.join(known, ["hub", "rep"], "left").select("sig", "rep", "size", "before", "component", "outside", "lack", "extra"),
         "members",
     )
+    open_buckets = members.filter("outside").select("sig").distinct()
+    members = written(members.join(open_buckets, "sig", "left_semi").join(_bits(candidates), "rep"), "open-members")
     left = members.filter("outside").alias("x")
     right = members.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
@@ -298,7 +345,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         (x("sig") == y("sig"))
         & (x("component") != y("component"))
         & (~y("outside") | (x("rep") < y("rep")))
-        & _possible(x("size"), y("size"), more_left + more_right, percent),
+        & _possible(x("size"), y("size"), more_left + more_right, percent)
+        & _possible(x("size"), y("size"), _odd_cells(x("bits"), y("bits")), percent),
     ).select(F.least(x("rep"), y("rep")).alias("a"), F.greatest(x("rep"), y("rep")).alias("b"))
     others = _verified(rest.distinct(), candidates, percent).filter("linked").select("a", "b")
     labels = connected(links.unionByName(others)).withColumnRenamed("node", "rep")

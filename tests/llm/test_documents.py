@@ -208,6 +208,21 @@ def test_similar_sets_share_a_signature(percent, monkeypatch):
         assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("size", [1, 31, 33, 64, 65, 500, 3000])
+def test_parity_bits_never_exceed_the_difference(spark, size):
+    random = np.random.default_rng(size)
+    rows, differing = [], []
+    for _ in range(20):
+        left = np.unique(random.integers(0, 2**64, size, dtype=np.uint64))
+        cut = int(random.integers(0, size // 5 + 1))
+        right = np.unique(np.concatenate((left[cut:], random.integers(0, 2**64, cut + 2, dtype=np.uint64))))
+        rows.append([jaccard.parity_bits(side).view(np.int64).tolist() for side in (left, right)])
+        differing.append(len(np.setxor1d(left, right)))
+    frame = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").coalesce(1)
+    odd = [row[0] for row in frame.select(jaccard._odd_cells(F.col("a"), F.col("b"))).collect()]
+    assert all(o <= d and (d - o) % 2 == 0 for o, d in zip(odd, differing, strict=True))
+
+
 def test_connected(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 100), (7, 7)]
     found = dict(map(tuple, connected(spark.createDataFrame(chain, "a bigint, b bigint")).collect()))
