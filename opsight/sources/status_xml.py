@@ -50,8 +50,9 @@ def read_status_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def percent_decoded(value: Column) -> Column:
-    """URL-decode a text, keeping ``+`` and text that is not valid encoding."""
-    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    """URL-decode a text, keeping ``+`` and each ``%`` that two hex digits don't follow."""
+    kept = F.regexp_replace(F.replace(value, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(kept), value)
 
 
 def _attributes(element: Column, names: tuple[str, ...]) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from opsight.functions import jobs, text, times, units, variants
 from opsight.operators import lineage
+from opsight.sources.status_xml import percent_decoded
 
 
 def one(spark, column, **values):
@@ -217,3 +218,19 @@ def test_wall_clock_is_utc(spark):
     )
     row = both.first()
     assert row["aware"] == row["naive"] == datetime(2026, 8, 2, 4)
+
+
+@pytest.mark.parametrize(
+    ("raw", "decoded"),
+    [
+        ("/a%20b%C3%A9", "/a bé"),
+        ("/100%/a%20b", "/100%/a b"),
+        ("%zz%41+%", "%zzA+%"),
+        ("%+1%%41", "%+1%A"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_percent_decoding_keeps_invalid_escapes(spark, raw, decoded):
+    frame = spark.createDataFrame([(raw,)], "raw string")
+    assert frame.select(percent_decoded(F.col("raw"))).first()[0] == decoded
