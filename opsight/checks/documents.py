@@ -13,6 +13,7 @@ from opsight.checks.sql_tables import (
     ACCESS,
     DOCUMENTS,
     DUMPS,
+    EVIDENCE,
     JOB_FACTS,
     JOBS,
     iso,
@@ -21,6 +22,7 @@ from opsight.checks.sql_tables import (
 from opsight.functions import text, times
 from opsight.operators import findings
 from opsight.params import Thresholds
+from opsight.plans import monitor
 from opsight.session import scratch_path
 from opsight.sources import access_log, dumps, incidents, status_xml
 from opsight.sources import driver_tables as tables
@@ -61,16 +63,33 @@ def xml_requests(spark, sf):
         first["code"].alias("code"),
         first["locator"].alias("locator"),
         first["message"].alias("message"),
+        F.to_json("inputs").alias("inputs"),
     )
 
 
-REQUEST_COLUMNS = f"""job_id, process, case state when 'ProcessFailed' then 'failed' else 'successful' end as outcome,
-(epoch_us(modification_time) - epoch_us(creation_time))/1e6 as duration_seconds, 'status_creation_time' as duration_source,
-{iso('modification_time')} as finished_at, case state when 'ProcessFailed' then 'NoApplicableCode' end as code,
-case state when 'ProcessFailed' then 'dataset' end as locator, case state when 'ProcessFailed' then 'Dataset not found' end as message"""
+INPUTS = """case when o_orderkey%8=4 then concat('{"site":[{"type":"LiteralData","value":"north ', o_orderkey%3,
+' end","attributes":{"dataType":"string","note":"a>b"}},{"type":"ComplexData","value":"{\\"k\\": <1>}"}],"file":[{"type":"reference","value":"https://data.test/a b/',
+o_custkey, '.nc"}]}') else '{}' end as inputs"""
+STARTED = "coalesce(uuid_time, creation_time)"
+OUTCOME = "case final_state when 'ProcessFailed' then 'failed' else 'successful' end as outcome"
+DURATION = f"greatest(0, (epoch_us(modification_time) - epoch_us({STARTED}))/1e6) as duration_seconds"
+REQUEST_COLUMNS = f"""job_id, process, {OUTCOME}, {DURATION},
+case when uuid_time is not null then 'uuid1' else 'status_creation_time' end as duration_source,
+{iso('modification_time')} as finished_at, case final_state when 'ProcessFailed' then 'NoApplicableCode' end as code,
+case final_state when 'ProcessFailed' then 'dataset' end as locator, case final_state when 'ProcessFailed' then 'Dataset not found' end as message,
+{INPUTS}"""
 XML_REQUESTS = with_tables(
     DOCUMENTS,
-    body=f"select {REQUEST_COLUMNS} from status_docs where state <> 'ProcessStarted'",
+    body=f"select {REQUEST_COLUMNS} from status_docs where final_state is not null",
+)
+
+
+def xml_rejects(spark, sf):
+    return status_xml.rejected_documents(_parsed(spark, sf)).select("job_id", "reject")
+
+
+XML_REJECTS = with_tables(
+    DOCUMENTS, body="select job_id, reject from status_docs where reject is not null"
 )
 
 
@@ -106,7 +125,7 @@ def job_diagnostics(spark, sf):
 
 
 DIAGNOSTICS = """diagnostics as (
-select job_id, arg_max(error_text, directory) as message from dumps where valid group by job_id)"""
+select job_id, arg_max(error_text, directory) as message from dumps where parsed group by job_id)"""
 JOB_DIAGNOSTICS = with_tables(
     DUMPS, DIAGNOSTICS, body="select job_id, 1 as items, message from diagnostics"
 )
@@ -127,42 +146,46 @@ REQUESTS_WITH_DIAGNOSTICS = with_tables(
     DOCUMENTS,
     DUMPS,
     DIAGNOSTICS,
-    body="""select s.job_id, case state when 'ProcessFailed' then 'failed' else 'successful' end as outcome,
-case state when 'ProcessFailed' then d.message end as message
-from status_docs s left join diagnostics d using (job_id) where state <> 'ProcessStarted'""",
+    body=f"""select s.job_id, {OUTCOME},
+case final_state when 'ProcessFailed' then d.message end as message
+from status_docs s left join diagnostics d using (job_id) where final_state is not null""",
 )
 
 
+def _started(spark, sf):
+    parsed = status_xml.parse_status(tables.status_documents(spark, sf), with_inputs=False)
+    return parsed.where("state = 'ProcessStarted' and problem is null").select("job_id")
+
+
 def oom_marker(spark, sf):
-    return dumps.oom_jobs(_dumps(spark, sf), _errors(spark, sf))
+    return dumps.oom_jobs(_started(spark, sf), tables.job_dumps(spark, sf), _errors(spark, sf))
 
 
 OOM_MARKER = with_tables(
+    DOCUMENTS,
     DUMPS,
-    body="""select distinct job_id from dumps where valid and directory in (select directory from dumps where oom)""",
+    EVIDENCE,
+    body="select job_id from status_docs join evidence using (job_id) where state='ProcessStarted' and oom",
 )
 
 
 def dump_match(spark, sf):
-    stalled = _parsed(spark, sf).where("state = 'ProcessStarted'")
-    return findings.dump_match(stalled, _dumps(spark, sf))
+    return findings.dump_match(_started(spark, sf), _dumps(spark, sf))
 
 
 DUMP_MATCH = with_tables(
     DOCUMENTS,
     DUMPS,
+    EVIDENCE,
     body="""select s.job_id, coalesce(n, 0) as dumps, case when n is null then 'missing' when n=1 then 'matched' else 'duplicate' end as match,
-case when n=1 then directory end as directory from status_docs s left join
-(select job_id, count(*) as n, min(directory) as directory from dumps where valid group by job_id) d using (job_id) where state='ProcessStarted'""",
+directory from status_docs s left join evidence d using (job_id) where state='ProcessStarted'""",
 )
 
 
 def _xml_findings(spark, sf):
+    parsed = status_xml.parse_status(tables.status_documents(spark, sf), with_inputs=False)
     return findings.xml_findings(
-        _parsed(spark, sf),
-        dumps.oom_jobs(_dumps(spark, sf), _errors(spark, sf)),
-        NOW,
-        THRESHOLDS,
+        parsed, tables.job_dumps(spark, sf), _errors(spark, sf), NOW, THRESHOLDS
     )
 
 
@@ -172,11 +195,15 @@ def xml_findings(spark, sf):
     )
 
 
-XML_SQL = """xml_findings as (select * from (select 'xml' as layer, job_id, 'running' as status,
-  case when modification_time > timestamp '2001-08-02' - interval 500000 minute then null
-    when job_id in (select job_id from dumps where valid and directory in (select directory from dumps where oom)) then 'slurm-oom'
+XML_SQL = f"""{EVIDENCE},
+xml_findings as (select * from (select 'xml' as layer, job_id, 'running' as status,
+  case when problem is not null then 'error' when state is distinct from 'ProcessStarted' then null
+    when modification_time > timestamp '2001-08-02' - interval 500000 minute then null
+    when n > 1 then 'error' when oom then 'slurm-oom'
     when modification_time <= timestamp '2001-08-02' - interval 1000000 minute then 'stalled' end as finding,
-  modification_time as evidence_ts, cast(null as varchar) as reason from status_docs where state='ProcessStarted') where finding is not null)"""
+  modification_time as evidence_ts, case when problem is not null then problem when n > 1 then 'several job dumps' end as reason,
+  case when problem is null then directory end as evidence
+  from status_docs left join evidence using (job_id) where is_job) where finding is not null)"""
 XML_FINDINGS = with_tables(
     DOCUMENTS,
     DUMPS,
@@ -255,19 +282,28 @@ case when job_id in {OPEN_JOBS} then 'database-request-is-nonfinal' end as reaso
 )
 
 
-def _all_findings(spark, sf):
+def _all_findings(spark, sf, polls=None):
+    decisions = findings.polling_decisions(
+        _polls(spark, sf) if polls is None else polls,
+        tables.poll_jobs(spark, sf),
+        tables.poll_documents(spark, sf),
+    )
     layers = [
         _xml_findings(spark, sf),
         job_checks.database_findings(spark, sf),
-        findings.polling_findings(_decisions(spark, sf)),
+        findings.polling_findings(decisions),
     ]
     found = reduce(DataFrame.unionByName, layers)
     return findings.store_findings(spark, found, scratch_path(spark, "findings"))
 
 
-FINDINGS = f"""findings as (select * from xml_findings union all by name select * from db_findings union all by name
-select 'polling' as layer, job_id, 'running' as status, 'missing-status' as finding, first_seen as evidence_ts, cast(null as varchar) as reason
+FINDINGS = f"""findings as (select * from xml_findings union all by name
+select *, cast(null as varchar) as evidence from db_findings union all by name
+select 'polling' as layer, job_id, 'running' as status, 'missing-status' as finding, first_seen as evidence_ts, cast(null as varchar) as reason, cast(null as varchar) as evidence
 from polls where job_id not in {OPEN_JOBS} and job_id not in {EXISTING})"""
+CHECKED_SQL = """checked as (select 'xml' as layer, count(*) as checked from status_docs where is_job
+union all select 'database', count(*) from facts where started_at between timestamp '2001-08-01' and timestamp '2001-08-02'
+union all select 'polling', count(*) from polls)"""
 FINDING_TABLES = (
     DOCUMENTS,
     DUMPS,
@@ -278,16 +314,27 @@ FINDING_TABLES = (
     ACCESS,
     POLLS,
     FINDINGS,
+    CHECKED_SQL,
 )
 
 
+def _checked(spark, sf):
+    return findings.checked_counts(
+        xml=findings.status_files(tables.status_documents(spark, sf)).agg(F.count(F.lit(1))),
+        database=monitor.recent_mix(tables.jobs(spark, sf), NOW, THRESHOLDS).select("total"),
+        polling=_polls(spark, sf).agg(F.count(F.lit(1))),
+    )
+
+
 def layer_summary(spark, sf):
-    return findings.layer_summary(_all_findings(spark, sf))
+    return findings.layer_summary(_all_findings(spark, sf), _checked(spark, sf))
 
 
-SUMMARY_SELECT = """select layer, count(case when finding in ('stalled','slurm-oom','missing-status') then 1 end) as stalled,
-count(case when finding='long-running' then 1 end) as long_running, count(case when finding='error' then 1 end) as errors from findings group by layer"""
+SUMMARY_SELECT = """select layer, any_value(checked) as checked, count(case when finding in ('stalled','slurm-oom','missing-status') then 1 end) as stalled,
+count(case when finding='long-running' then 1 end) as long_running, count(case when finding='error' then 1 end) as errors
+from checked left join findings using (layer) group by layer"""
 LAYER_SUMMARY = with_tables(*FINDING_TABLES, body=SUMMARY_SELECT)
+COMPLETED = "concat('completed with ', errors, case when errors=1 then ' error' else ' errors' end)"
 
 
 def overall_result(spark, sf):
@@ -296,9 +343,8 @@ def overall_result(spark, sf):
 
 OVERALL = with_tables(
     *FINDING_TABLES,
-    body=f"""select sum(stalled) as stalled, sum(long_running) as long_running, sum(errors) as errors,
-case when sum(errors) > 0 then 'completed with errors' when sum(stalled)+sum(long_running) > 0 then 'attention required' else 'healthy' end as result
-from ({SUMMARY_SELECT})""",
+    body=f"""select *, case when errors > 0 then {COMPLETED} when stalled+long_running > 0 then 'attention required' else 'healthy' end as result
+from (select sum(stalled) as stalled, sum(long_running) as long_running, sum(errors) as errors from ({SUMMARY_SELECT}))""",
 )
 
 
@@ -308,17 +354,45 @@ def recovery_plan(spark, sf):
     )
 
 
+PLAN_SQL = """xml_stalled as (select * from findings where layer='xml' and finding in ('stalled','slurm-oom')),
+stop as (select min(job_id) as last from xml_stalled where evidence is not null
+  and job_id >= (select job_id from xml_stalled order by job_id offset 99 limit 1)),
+marked as (select f.*, layer='xml' and (last is null or job_id <= last) as reached from findings f, stop where finding<>'long-running'),
+failed as (select distinct job_id from marked where layer='xml' and reached and (finding='error' or evidence is null)),
+placed as (select layer, job_id, row_number() over (partition by layer order by evidence_ts, job_id) as place
+  from marked where layer<>'xml' and finding in ('stalled','missing-status') and not (layer='database' and job_id in (select job_id from failed))),
+acted as (select m.*, case when place <= case m.layer when 'polling' then 20 else 100 end then place end as rank,
+  case when m.layer='database' and job_id in (select job_id from failed) then 'blocked' when m.layer='xml' and not reached then 'defer'
+    when finding='error' or (m.layer='xml' and evidence is null) then 'error'
+    when m.layer='xml' or place <= case m.layer when 'polling' then 20 else 100 end then 'recover' else 'defer' end as action
+  from marked m left join placed using (layer, job_id))"""
 RECOVERY_PLAN = with_tables(
     *FINDING_TABLES,
-    """ranked as (select *, row_number() over (partition by layer order by case when layer <> 'xml' then evidence_ts end, job_id) as place,
-  case layer when 'polling' then 20 else 100 end as top from findings where finding in ('stalled','slurm-oom','missing-status'))""",
+    PLAN_SQL,
     body=f"""select case layer when 'xml' then 1 when 'database' then 2 else 3 end as step, layer, job_id, finding, {iso('evidence_ts')} as evidence_ts,
-case when place <= top then 'recover' else 'defer' end as action, case when place <= top then place end as rank,
-case when finding='slurm-oom' then 'Process failed: stalled-job recovery detected that Slurm terminated the worker after it exceeded its memory allocation.'
+action, rank, coalesce(reason, case when action='error' then 'no job dump' end) as reason, evidence,
+case when action<>'recover' then null
+when finding='slurm-oom' then 'Process failed: stalled-job recovery detected that Slurm terminated the worker after it exceeded its memory allocation.'
 when layer='xml' then 'Process failed: stalled-job recovery found no status update for at least 1e+06 minutes.'
 when layer='polling' then 'Process failed: repeated polling found that this status document was not created. The request can no longer be monitored.'
 when status='accepted' then 'Process failed: stalled-job recovery found an accepted database request that did not advance for at least 20000 hours.'
-else 'Process failed: stalled-job recovery found no database update for at least 1e+06 minutes.' end as message from ranked""",
+else 'Process failed: stalled-job recovery found no database update for at least 1e+06 minutes.' end as message from acted""",
+)
+
+
+def recovery_result(spark, sf):
+    """Totals of a recovery run and its closing line."""
+    plan = findings.recovery_plan(_all_findings(spark, sf), THRESHOLDS)
+    return findings.overall_result(findings.recovery_summary(plan, _checked(spark, sf)))
+
+
+RECOVERY_RESULT = with_tables(
+    *FINDING_TABLES,
+    PLAN_SQL,
+    body=f"""select *, case when errors > 0 then {COMPLETED} when recovered > 0 then concat('recovered ', recovered, case when recovered=1 then ' job' else ' jobs' end)
+else 'no recovery needed' end as result from (
+select count(case when action in ('recover','error') and finding in ('stalled','slurm-oom','missing-status') then 1 end) as stalled,
+count(case when action='recover' then 1 end) as recovered, count(case when action='error' then 1 end) as errors from acted)""",
 )
 
 
@@ -336,7 +410,7 @@ def incident_archive(spark, sf):
 INCIDENT_ARCHIVE = with_tables(
     DOCUMENTS,
     body="""select concat(strftime(creation_time, '%Y%m%dT%H%M%SZ'), '__error__rook__', process, '__', job_id, '.xml') as archive_name,
-job_id, 'error' as kind from status_docs where state='ProcessFailed' and modification_time >= timestamp '1998-01-01'""",
+job_id, 'error' as kind from status_docs where state='ProcessFailed' and is_job and modification_time >= timestamp '1998-01-01'""",
 )
 
 
@@ -373,6 +447,8 @@ REGISTRY = {
     "xml_time_fix": (xml_time_fix, XML_TIME_FIX),
     "job_diagnostics": (job_diagnostics, JOB_DIAGNOSTICS),
     "requests_with_diagnostics": (requests_with_diagnostics, REQUESTS_WITH_DIAGNOSTICS),
+    "xml_rejects": (xml_rejects, XML_REJECTS),
+    "recovery_result": (recovery_result, RECOVERY_RESULT),
     "oom_marker": (oom_marker, OOM_MARKER),
     "dump_match": (dump_match, DUMP_MATCH),
     "xml_findings": (xml_findings, XML_FINDINGS),

@@ -94,21 +94,38 @@ select concat('192.0.2.',cast(user_id%250 as string)) as client, date_trunc('sec
   concat(lpad(lower(to_hex(user_id)),8,'0'),'-0000-4000-8000-000000000000') as uuid
 from (select e.*, cast(json_extract(props,'$.k') as bigint) as k from events e) e)"""
 
-DOCUMENTS = """status_docs as (
-select concat('job-',cast(o_orderkey as string)) as job_id,
-  o_orderdate + to_seconds(cast(floor(o_totalprice/100) as int)) as modification_time,
-  date_trunc('day', o_orderdate) as creation_time,
-  concat('p', cast(o_orderkey%5 as string)) as process,
-  case when o_orderstatus='F' then 'ProcessSucceeded' when o_orderstatus='P' then 'ProcessFailed' else 'ProcessStarted' end as state,
-  o_orderkey
-from orders)"""
-
-DUMPS = """dumps as (
+V4_ID = "concat(lpad(lower(to_hex(cast({key} as bigint)*2654435761%4294967296)),8,'0'),'-0000-4000-8000-000000000000')"
+DOCUMENTS = f"""raw_docs as (
+select case when o_orderkey%50=0 then concat('job-',cast(o_orderkey as string))
+    when o_orderkey%4=1 then concat(substr(h,8,8),'-',substr(h,4,4),'-1',substr(h,1,3),'-8000-',lpad(lower(to_hex(o_orderkey)),12,'0'))
+    else {V4_ID.format(key="o_orderkey")} end as job_id, o_orderkey%50<>0 as is_job,
+  o_orderdate + to_seconds(cast(floor(o_totalprice/100) as int)) as modification_time, date_trunc('day', o_orderdate) as midnight,
+  case when o_orderkey%50<>0 and o_orderkey%4=1 then utc_start end as uuid_time, concat('p', cast(o_orderkey%5 as string)) as process,
+  case when o_orderstatus='F' then 'ProcessSucceeded' when o_orderstatus='P' then 'ProcessFailed' else 'ProcessStarted' end as given,
+  o_orderkey, o_custkey, o_orderkey%40 as kind
+from (select o.*, lpad(lower(to_hex(epoch_us(utc_start)*10+122192928000000000)),15,'0') as h
+  from (select orders.*, o_orderdate + to_seconds(cast(o_orderkey*37%86400 as int)) as utc_start from orders) o)),
+status_docs as (
+select *, case when kind in (13,14) then null else midnight end as creation_time,
+  case kind when 7 then 'invalid XML' when 9 then 'missing Status' when 11 then 'not exactly one state'
+    when 13 then 'invalid Status creationTime' when 14 then 'invalid Status creationTime' end as problem,
+  case when kind in (7,9,11,13,14) then null else given end as state,
+  case when kind=7 then 'invalid XML' when kind=9 then 'missing Status'
+    when kind in (13,14) and given<>'ProcessStarted' and uuid_time is null then 'invalid Status creationTime' end as reject,
+  case when kind in (7,9) then null when kind=11 then 'ProcessSucceeded' when kind in (13,14) and uuid_time is null then null
+    when given<>'ProcessStarted' then given end as final_state
+from raw_docs)"""
+
+DUMPS = f"""dumps as (
 select concat('/work/process_',cast(l_orderkey as string),'_',cast(l_linenumber as string),'_',cast(l_partkey as string)) as directory,
-  concat('job-',cast(l_orderkey as string)) as job_id, l_suppkey%9<>0 as valid, l_suppkey%2=0 as lineage,
+  {V4_ID.format(key="l_orderkey")} as job_id, l_suppkey%9<>0 as parsed, l_suppkey%9>3 as valid, l_suppkey%2=0 as lineage,
   concat('warning line ',cast(l_linenumber as string),' ', case when l_partkey%4=0 then 'slurmstepd: error: Detected 1 oom-kill event(s) in StepId=7.batch.' when l_partkey%4=1 then 'ValueError: broken chunk' else 'slurmstepd: error: Detected 0 oom-kill event(s)' end) as error_text,
   l_partkey%4=0 as oom
-from lineitem)"""
+from lineitem where l_partkey%3=0)"""
+
+# What the valid dumps of a job say; one is needed, not several.
+EVIDENCE = """evidence as (select job_id, count(*) as n, case when count(*)=1 then min(directory) end as directory,
+  count(*)=1 and bool_or(oom) as oom from dumps where valid group by job_id)"""
 
 QUEUE = """queue as (
 select o_orderdate as snapshot_ts, cast(o_orderkey as string) as job_id,

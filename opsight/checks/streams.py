@@ -44,24 +44,38 @@ def _paths(spark: SparkSession, label: str) -> tuple[str, str]:
     return scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
 
 
-def stream_ingest(spark, sf):
-    """Status documents to stored request events."""
+def _ingested(spark, sf):
     stored, checkpoint = _paths(spark, "requests")
+    rejected = scratch_path(spark, "rejects")
     shaped = tables.shape_status_documents(_stream(spark, sf, "orders"))
-    found = status_xml.status_requests(status_xml.parse_status(shaped), "rook")
-    events.ingest(found.drop("inputs"), stored, checkpoint).awaitTermination()
+    events.ingest_documents(shaped, "rook", stored, rejected, checkpoint).awaitTermination()
+    return stored, rejected
+
+
+def stream_ingest(spark, sf):
+    """Status documents to stored request events, inputs included."""
+    stored, _ = _ingested(spark, sf)
     return spark.read.parquet(stored).select(
-        "job_id", "process", "outcome", "duration_seconds"
+        "job_id",
+        "process",
+        "outcome",
+        "duration_seconds",
+        F.to_json("inputs").alias("inputs"),
     )
 
 
 STREAM_INGEST = with_tables(
     DOCUMENTS,
-    body="""select job_id, process, case state when 'ProcessFailed' then 'failed' else 'successful' end as outcome,
-(epoch_us(modification_time) - epoch_us(creation_time))/1e6 as duration_seconds from status_docs where state <> 'ProcessStarted'""",
+    body=f"""select job_id, process, {documents.OUTCOME}, {documents.DURATION}, {documents.INPUTS} from status_docs where final_state is not null""",
 )
 
 
+def stream_rejects(spark, sf):
+    """The documents of the same stream that could not be used."""
+    _, rejected = _ingested(spark, sf)
+    return spark.read.parquet(rejected).select("job_id", "reject")
+
+
 def stream_dedup(spark, sf):
     stored, checkpoint = _paths(spark, "unique")
     unique = events.deduplicated(tables.shape_requests(_stream(spark, sf, "events")))
@@ -224,6 +238,7 @@ STREAM_ALERTS = with_tables(
 
 REGISTRY = {
     "stream_ingest": (stream_ingest, STREAM_INGEST),
+    "stream_rejects": (stream_rejects, documents.XML_REJECTS),
     "stream_dedup": (stream_dedup, STREAM_DEDUP),
     "stream_daily": (stream_daily, STREAM_DAILY),
     "stream_hourly_metrics": (stream_hourly_metrics, STREAM_METRICS),

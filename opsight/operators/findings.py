@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,14 @@ from opsight.functions import text, times
 from opsight.functions.derive import computed
 from opsight.operators.keys import top_per_group
 from opsight.params import StatusCodes, Thresholds
+from opsight.sources import dumps as dump_sources
 from opsight.sources.jobs import MAX_WRITER_OFFSET
 from opsight.sources.status_xml import percent_decoded
 
-FINDING_COLUMNS = ["layer", "job_id", "status", "finding", "evidence_ts", "reason"]
+FINDING_COLUMNS = ["layer", "job_id", "status", "finding", "evidence_ts", "reason", "evidence"]
 MAX_BROADCAST_LIMIT = 10_000
+SEVERAL_DUMPS, NO_DUMP = "several job dumps", "no job dump"
+STALLED = ("stalled", "slurm-oom", "missing-status")
 LAYER_ORDER = {"xml": 1, "database": 2, "polling": 3}
 
 
@@ -84,6 +88,7 @@ def job_findings(
         .otherwise(last_update)
         .alias("evidence_ts"),
         F.when(last_update.isNull(), "no start or update time").alias("reason"),
+        F.lit(None).cast("string").alias("evidence"),
     ).where("finding is not null")
 
 
@@ -97,20 +102,30 @@ def document_times(parsed: DataFrame, local_tz: str = "UTC") -> DataFrame:
     )
 
 
+def status_files(parsed: DataFrame) -> DataFrame:
+    """Documents that belong to a job: those whose name is a UUID."""
+    return parsed.where(F.col("job_id").rlike(fixed.UUID_PATTERN))
+
+
 def xml_findings(
     parsed: DataFrame,
-    oom_jobs: DataFrame,
+    dumps: DataFrame,
+    errors: DataFrame,
     now: datetime,
     thresholds: Thresholds = Thresholds(),
     local_tz: str = "UTC",
+    tail_bytes: int | None = None,
 ) -> DataFrame:
-    """Findings of the status documents.
-
-    Only started documents can be stalled. A job past the long-running age whose
-    error output ends with the scheduler's memory marker is found without waiting
-    for the stale age. Unusable documents are errors.
+    """Findings of the status documents of jobs.
+
+    Only started documents can be stalled. The age is tested first; a job past the
+    long-running age is then judged by its dumps. With several valid ones nothing can
+    be said about it, which is an error; with exactly one whose error output holds the
+    scheduler's memory marker it is found without waiting for the stale age; else it is
+    stalled at that age. ``evidence`` is the folder of the one valid dump. Unusable
+    documents are errors.
     """
-    documents = document_times(parsed, local_tz)
+    documents = document_times(status_files(parsed), local_tz)
     broken = F.col("problem").isNotNull()
     old_enough = F.col("state").eqNullSafe("ProcessStarted") & _reached(
         now, F.col("last_update"), thresholds.long_running_minutes
@@ -118,22 +133,24 @@ def xml_findings(
     suspects = documents.where(broken | old_enough).select(
         "job_id", "state", "last_update", "problem"
     )
-    marked = oom_jobs.select("job_id").distinct().withColumn("is_oom", F.lit(True))
+    judged = dump_sources.evidence(suspects.where("problem is null"), dumps, errors, tail_bytes)
     stale = _reached(now, F.col("last_update"), thresholds.xml_stale_minutes)
+    several = F.coalesce(F.col("dumps") > 1, F.lit(False))
     finding = (
-        F.when(broken, "error")
+        F.when(broken | several, "error")
         .when(F.col("is_oom"), "slurm-oom")
         .when(stale, "stalled")
     )
     return (
-        suspects.join(marked, "job_id", "left")
+        suspects.join(judged, "job_id", "left")
         .select(
             F.lit("xml").alias("layer"),
             "job_id",
-            F.coalesce(_document_status(), F.lit("running")).alias("status"),
+            F.coalesce(F.when(~broken, _document_status()), F.lit("running")).alias("status"),
             finding.alias("finding"),
             F.col("last_update").alias("evidence_ts"),
-            F.col("problem").alias("reason"),
+            F.when(broken, F.col("problem")).when(several, SEVERAL_DUMPS).alias("reason"),
+            F.when(~broken, F.col("directory")).alias("evidence"),
         )
         .where("finding is not null")
     )
@@ -238,6 +255,7 @@ def polling_findings(decisions: DataFrame) -> DataFrame:
         F.lit("missing-status").alias("finding"),
         F.col("first_seen").alias("evidence_ts"),
         "reason",
+        F.lit(None).cast("string").alias("evidence"),
     )
 
 
@@ -272,68 +290,116 @@ def store_findings(spark: SparkSession, findings: DataFrame, path: str) -> DataF
     return spark.read.schema(findings.schema).parquet(path)
 
 
-def layer_summary(findings: DataFrame) -> DataFrame:
-    """Stalled, long-running and error counts per layer."""
-    return findings.groupBy("layer").agg(
-        F.count_if(
-            F.col("finding").isin("stalled", "slurm-oom", "missing-status")
-        ).alias("stalled"),
+def checked_counts(**layers: DataFrame) -> DataFrame:
+    """``layer, checked``: one row for each layer, from a one-row count of each."""
+    rows = [
+        counted.select(F.lit(name).alias("layer"), F.col(counted.columns[0]).cast("bigint").alias("checked"))
+        for name, counted in layers.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def layer_summary(findings: DataFrame, checked: DataFrame) -> DataFrame:
+    """Checked, stalled, long-running and error counts of every layer in ``checked``."""
+    counts = findings.groupBy("layer").agg(
+        F.count_if(F.col("finding").isin(*STALLED)).alias("stalled"),
         F.count_if(F.col("finding") == "long-running").alias("long_running"),
         F.count_if(F.col("finding") == "error").alias("errors"),
     )
+    none = F.lit(0).cast("bigint")
+    return checked.join(counts, "layer", "left").select(
+        "layer",
+        "checked",
+        *[F.coalesce(name, none).alias(name) for name in ("stalled", "long_running", "errors")],
+    )
 
 
-def overall_result(summary: DataFrame) -> DataFrame:
-    """One line over the layers: errors, then attention, else healthy."""
-    total = summary.agg(
-        *[
-            F.coalesce(F.sum(name), F.lit(0)).alias(name)
-            for name in ("stalled", "long_running", "errors")
-        ]
-    )
-    errors = F.col("errors")
-    result = (
-        F.when(
-            errors > 0,
-            F.concat(
-                F.lit("completed with "),
-                errors.cast("string"),
-                F.when(errors == 1, " error").otherwise(" errors"),
-            ),
-        )
-        .when(F.col("stalled") + F.col("long_running") > 0, "attention required")
-        .otherwise("healthy")
+def recovery_summary(plan: DataFrame, checked: DataFrame) -> DataFrame:
+    """What a recovery run reports of every layer in ``checked``."""
+    counts = plan.groupBy("layer").agg(
+        F.count_if((F.col("action").isin("recover", "error")) & F.col("finding").isin(*STALLED)).alias("stalled"),
+        F.count_if(F.col("action") == "recover").alias("recovered"),
+        F.count_if(F.col("action") == "error").alias("errors"),
+    )
+    none = F.lit(0).cast("bigint")
+    return checked.join(counts, "layer", "left").select(
+        "layer",
+        "checked",
+        *[F.coalesce(name, none).alias(name) for name in ("stalled", "recovered", "errors")],
+    )
+
+
+def _counted(number: Column, noun: str) -> Column:
+    return F.concat(
+        number.cast("string"), F.lit(f" {noun}"), F.when(number == 1, "").otherwise("s")
     )
+
+
+def overall_result(summary: DataFrame) -> DataFrame:
+    """One line over the layers of a monitoring run or, with ``recovered``, a recovery."""
+    names = [name for name in summary.columns if name not in ("layer", "checked")]
+    total = summary.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
+    result = F.when(
+        F.col("errors") > 0,
+        F.concat(F.lit("completed with "), _counted(F.col("errors"), "error")),
+    )
+    if "recovered" in names:
+        recovered = F.concat(F.lit("recovered "), _counted(F.col("recovered"), "job"))
+        result = result.when(F.col("recovered") > 0, recovered).otherwise("no recovery needed")
+    else:
+        attention = F.col("stalled") + F.col("long_running") > 0
+        result = result.when(attention, "attention required").otherwise("healthy")
     return total.withColumn("result", result)
 
 
+def _document_stop(findings: DataFrame, limit: int) -> str | None:
+    """Name of the last document a recovery run reaches; None if it reaches all.
+
+    The run goes through the documents by name and ends after a successful recovery,
+    once ``limit`` stalled ones have been seen. A document without exactly one dump can't
+    be recovered, so the run goes on beyond the limit until one can. The two look-ups
+    read one row each from the stored findings.
+    """
+    stalled = findings.where(F.col("finding").isin(*STALLED) & (F.col("layer") == "xml"))
+    last = stalled.select("job_id").distinct().orderBy("job_id").offset(limit - 1).limit(1).first()
+    if last is None:
+        return None
+    usable = stalled.where(F.col("evidence").isNotNull() & (F.col("job_id") >= last["job_id"]))
+    return usable.agg(F.min("job_id")).first()[0]
+
+
 def recovery_plan(
     findings: DataFrame, thresholds: Thresholds = Thresholds()
 ) -> DataFrame:
-    """What a recovery run would do with every finding.
-
-    Each layer recovers findings up to the run's limit and defers the rest to the
-    next run; no finding is dropped. Documents go in name order, the other layers
-    oldest first. A job whose document is in error
-    is blocked in the database layer. The selected jobs are at most three times the
-    limit, whatever the size of the findings; they are broadcast while that is small.
+    """What a recovery run would do with every finding but the long-running ones.
+
+    Documents go in name order and need the one valid dump that ``evidence`` names;
+    without it the attempt is an ``error``. The other layers recover the oldest findings
+    up to their limit. What a run does not reach it leaves for the next (``defer``); no
+    finding is dropped. A job whose document ended in an error in this run is ``blocked``
+    in the database layer. The selected jobs are at most twice the limit, whatever the
+    size of the findings; they are broadcast while that is small.
     """
-    recoverable = findings.where("finding in ('stalled', 'slurm-oom', 'missing-status')")
-    blocked = findings.where(
-        (F.col("layer") == "xml")
-        & (F.col("finding") == "error")
-        & F.col("job_id").rlike(fixed.UUID_PATTERN)
-    )
-    candidates = recoverable.join(
-        blocked.select("job_id", F.lit("database").alias("layer")).distinct(),
-        ["layer", "job_id"],
-        "left_anti",
+    findings = findings.where(F.col("finding") != "long-running")
+    is_document = F.col("layer") == "xml"
+    stop = _document_stop(findings, thresholds.recovery_limit)
+    reached = F.lit(True) if stop is None else F.col("job_id") <= stop
+    failed_document = is_document & reached & (
+        (F.col("finding") == "error") | F.col("evidence").isNull()
+    )
+    blocked = (
+        findings.where(failed_document)
+        .select("job_id", F.lit("database").alias("layer"), F.lit(True).alias("is_blocked"))
+        .distinct()
     )
+    known = findings.join(blocked, ["layer", "job_id"], "left")
     widest = max(thresholds.recovery_limit, thresholds.polling_recovery_limit)
     oldest = top_per_group(
-        candidates.select("layer", "job_id", "evidence_ts").distinct(),
+        known.where(~is_document & F.col("finding").isin(*STALLED) & F.col("is_blocked").isNull())
+        .select("layer", "job_id", "evidence_ts")
+        .distinct(),
         ["layer"],
-        [F.when(F.col("layer") != "xml", F.col("evidence_ts")), F.col("job_id")],
+        [F.col("evidence_ts"), F.col("job_id")],
         widest,
     )
     limit = F.when(
@@ -343,7 +409,7 @@ def recovery_plan(
     message = (
         F.when(F.col("finding") == "slurm-oom", fixed.MESSAGE_XML_OOM)
         .when(
-            F.col("layer") == "xml",
+            is_document,
             fixed.MESSAGE_XML_STALLED.format(minutes=thresholds.xml_stale_minutes),
         )
         .when(F.col("layer") == "polling", fixed.MESSAGE_POLLING)
@@ -355,22 +421,32 @@ def recovery_plan(
             fixed.MESSAGE_DB_STARTED.format(minutes=thresholds.database_stale_minutes)
         )
     )
+    action = (
+        F.when(F.col("is_blocked"), "blocked")
+        .when(is_document & ~reached, "defer")
+        .when(failed_document | (F.col("finding") == "error"), "error")
+        .when(is_document | F.col("rank").isNotNull(), "recover")
+        .otherwise("defer")
+    )
     steps = F.create_map(*[F.lit(part) for pair in LAYER_ORDER.items() for part in pair])
     return (
-        candidates.join(
+        known.join(
             F.broadcast(selected) if widest <= MAX_BROADCAST_LIMIT else selected,
             ["layer", "job_id"],
             "left",
         )
+        .withColumn("action", action)
         .select(
             F.element_at(steps, F.col("layer")).alias("step"),
             "layer",
             "job_id",
             "finding",
             "evidence_ts",
-            F.when(F.col("rank").isNotNull(), "recover").otherwise("defer").alias("action"),
+            "action",
             "rank",
-            message.alias("message"),
+            F.coalesce("reason", F.when(F.col("action") == "error", NO_DUMP)).alias("reason"),
+            "evidence",
+            F.when(F.col("action") == "recover", message).alias("message"),
         )
     )
 
@@ -383,11 +459,11 @@ def incident_archive(
 ) -> DataFrame:
     """Archive rows of the failed documents that are not archived yet."""
     failed = document_times(
-        parsed.where("state = 'ProcessFailed' and problem is null"), local_tz
+        status_files(parsed).where("state = 'ProcessFailed' and problem is null"), local_tz
     )
     texts = F.flatten(
         F.transform(
-            F.col("doc.Status.ProcessFailed.ExceptionReport.Exception"),
+            F.flatten(F.filter(F.col("doc.Status.ProcessFailed.ExceptionReport.Exception"), F.isnotnull)),
             lambda item: F.coalesce(item["ExceptionText"], F.array().cast("array<string>")),
         )
     )

@@ -189,18 +189,46 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_access_lines(table(spark, sf_dir, "events"))
 
 
+#: A version-4 job id from an order key; the keys are spread over all names.
+V4_ID = (
+    "concat(lpad(lower(hex({key}*2654435761%4294967296)),8,'0'),"
+    "'-0000-4000-8000-000000000000')"
+)
+#: The version-1 id that the job table gives an order.
+V1_HEX = (
+    "lpad(lower(hex(unix_micros(cast(o_orderdate + make_dt_interval(0,0,0,"
+    "cast(o_orderkey*37%86400 as int)) as timestamp))*10+122192928000000000)),15,'0')"
+)
+
+
 def shape_status_documents(orders: DataFrame) -> DataFrame:
-    """One status document per order."""
-    return orders.selectExpr(
-        "concat('job-',cast(o_orderkey as string)) as job_id",
+    """One status document per order, with unusable ones and foreign names among them."""
+    inputs = (
+        "'<wps:DataInputs><wps:Input><ows:Identifier>site</ows:Identifier><wps:Data>"
+        "<wps:LiteralData dataType=\"string\" ows:note=\"a&gt;b\">north <b>',"
+        "cast(o_orderkey%3 as string),'</b>\n end</wps:LiteralData></wps:Data></wps:Input>"
+        "<wps:Input><ows:Identifier>file</ows:Identifier><wps:Reference"
+        " ows:href=\"https://data.test/a%20b/',cast(o_custkey as string),'.nc\"/></wps:Input>"
+        "<wps:Input><ows:Identifier>site</ows:Identifier><wps:Data><wps:ComplexData>"
+        "{&quot;k&quot;: <![CDATA[<1>]]>}</wps:ComplexData></wps:Data></wps:Input></wps:DataInputs>'"
+    )
+    return orders.withColumn("h", F.expr(V1_HEX)).selectExpr(
+        f"""case when o_orderkey%50=0 then concat('job-',cast(o_orderkey as string))
+          when o_orderkey%4=1 then concat(substr(h,8,8),'-',substr(h,4,4),'-1',substr(h,1,3),
+            '-8000-',lpad(lower(hex(o_orderkey)),12,'0'))
+          else {V4_ID.format(key="o_orderkey")} end as job_id""",
         "cast(o_orderdate + make_dt_interval(0,0,0,cast(floor(o_totalprice/100) as int))"
         " as timestamp) as modification_time",
-        """concat('<wps:ExecuteResponse xmlns:wps="http://www.opengis.net/wps/1.0.0" xmlns:ows="http://www.opengis.net/ows/1.1"><wps:Process><ows:Identifier>p',cast(o_orderkey%5 as string),
-          '</ows:Identifier></wps:Process><wps:Status creationTime="',substr(cast(o_orderdate as string),1,10),'T00:00:00Z">',
-          case when o_orderstatus='F' then '<wps:ProcessSucceeded>ok</wps:ProcessSucceeded>'
-            when o_orderstatus='P' then '<wps:ProcessFailed><wps:ExceptionReport><ows:Exception exceptionCode="NoApplicableCode" locator="dataset"><ows:ExceptionText>Dataset  not found</ows:ExceptionText></ows:Exception></wps:ExceptionReport></wps:ProcessFailed>'
-            else '<wps:ProcessStarted>run</wps:ProcessStarted>' end,
-          '</wps:Status></wps:ExecuteResponse>') as content""",
+        f"""concat('<wps:ExecuteResponse xmlns:wps="http://www.opengis.net/wps/1.0.0" xmlns:ows="http://www.opengis.net/ows/1.1"><wps:Process><ows:Identifier>p',cast(o_orderkey%5 as string),
+          '</ows:Identifier></wps:Process>',
+          case when o_orderkey%40=9 then '' else concat('<wps:Status creationTime="',
+            case when o_orderkey%40 in (13,14) then 'soon' else concat(substr(cast(o_orderdate as string),1,10),'T00:00:00Z') end,'">',
+            case when o_orderkey%40=11 then '<wps:ProcessStarted>run</wps:ProcessStarted><wps:ProcessSucceeded>ok</wps:ProcessSucceeded>'
+              when o_orderstatus='F' then '<wps:ProcessSucceeded>ok</wps:ProcessSucceeded>'
+              when o_orderstatus='P' then '<wps:ProcessFailed><wps:ExceptionReport><ows:Exception exceptionCode="NoApplicableCode" locator="dataset"><ows:ExceptionText>Dataset <i>not</i>  found</ows:ExceptionText></ows:Exception></wps:ExceptionReport></wps:ProcessFailed>'
+              else '<wps:ProcessStarted>run</wps:ProcessStarted>' end, '</wps:Status>') end,
+          case when o_orderkey%8=4 then concat({inputs}) else '' end,
+          case when o_orderkey%40=7 then '' else '</wps:ExecuteResponse>' end) as content""",
     )
 
 
@@ -208,24 +236,36 @@ def status_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_status_documents(table(spark, sf_dir, "orders"))
 
 
+DUMP_FOLDER = (
+    "concat('/work/process_',cast(l_orderkey as string),'_',"
+    "cast(l_linenumber as string),'_',cast(l_partkey as string))"
+)
+
+
 def job_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dump files: one per order line, so jobs have none, one or several."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat('/work/process_',cast(l_orderkey as string),'_',"
-        "cast(l_linenumber as string),'_',cast(l_partkey as string)) as directory",
-        "case when l_suppkey%9=0 then '{\"process\": {' else"
-        " to_json(named_struct('process', named_struct('uuid',"
-        " concat('job-',cast(l_orderkey as string)), 'workdir', 'x'), 'wps_request',"
-        " to_json(named_struct('lineage', l_suppkey%2=0, 'inputs',"
-        " map('dataset', array('a','b'), 'time', array('c')))))) end as dump",
+    """Dump files of a third of the order lines, so jobs have none, one or several.
+
+    Some are no evidence: broken, in another folder than they say, with a list for
+    inputs or a request that is no JSON.
+    """
+    request = (
+        "to_json(named_struct('lineage', l_suppkey%2=0, 'inputs',"
+        " map('dataset', array('a','b'), 'time', array('c'))))"
+    )
+    return table(spark, sf_dir, "lineitem").where("l_partkey%3=0").selectExpr(
+        f"{DUMP_FOLDER} as directory",
+        f"""case when l_suppkey%9=0 then '{{"process": {{' else
+          to_json(named_struct('process', named_struct('uuid', {V4_ID.format(key="l_orderkey")},
+            'workdir', case when l_suppkey%9=1 then '/elsewhere' else concat({DUMP_FOLDER}, '/') end),
+            'wps_request', case when l_suppkey%9=2 then '{{"inputs": [1]}}'
+              when l_suppkey%9=3 then 'no request' else {request} end)) end as dump""",
     )
 
 
 def error_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error output next to each dump; part of it carries the memory marker."""
+    """Error output of each line; part of it carries the memory marker."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat('/work/process_',cast(l_orderkey as string),'_',"
-        "cast(l_linenumber as string),'_',cast(l_partkey as string)) as directory",
+        f"{DUMP_FOLDER} as directory",
         "cast(concat('warning   line ',cast(l_linenumber as string), char(10),"
         " case when l_partkey%4=0 then"
         " 'slurmstepd: error: Detected 1 oom-kill event(s) in StepId=7.batch.'"

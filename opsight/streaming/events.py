@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from opsight.operators import daily
 from opsight.operators.dedup import dedup_by_content
+from opsight.session import scratch_path
+from opsight.sources import status_xml
 from opsight.streaming import tables
 
 RETENTION_DAYS = 42
@@ -27,6 +29,36 @@ def ingest(
     )
 
 
+def ingest_documents(
+    documents: DataFrame,
+    service: str,
+    requests_path: str,
+    rejects_path: str,
+    checkpoint: str,
+    limits: status_xml.ValueLimits = status_xml.WHOLE,
+    **trigger,
+) -> StreamingQuery:
+    """Store the requests of finished documents, and the documents that can't be read.
+
+    A batch is parsed once into a table of its own and split from there. Both targets
+    keep one folder for each batch, so a batch that is run again replaces its rows.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        parsed = status_xml.parse_status(batch)
+        needed = parsed.where("reject is not null or final_state is not null")
+        path = scratch_path(spark, "parsed-documents")
+        needed.write.parquet(path)
+        held = spark.read.schema(needed.schema).parquet(path)
+        found = status_xml.status_requests(held, service, limits=limits)
+        tables.write_batch(found, requests_path, batch_id)
+        tables.write_batch(status_xml.rejected_documents(held), rejects_path, batch_id)
+        tables.delete(spark, path)
+
+    return tables.run(documents, store, checkpoint, **trigger)
+
+
 def deduplicated(requests: DataFrame, keep: str = f"{RETENTION_DAYS} days") -> DataFrame:
     """One event per service and job while its copies may still arrive.
 

@@ -29,6 +29,12 @@ def has_rows(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a working table that has been read for the last time."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def earlier_batches(
     spark: SparkSession, path: str, batch_id: int, like: DataFrame
 ) -> DataFrame:

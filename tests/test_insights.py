@@ -15,30 +15,32 @@ def as_map(rows, key, value):
     return {row[key]: row[value] for row in rows.collect()}
 
 
-def four(spark):
-    return events_of(
+def levels(*values):
+    return {"level": [{"type": "LiteralData", "value": value} for value in values]}
+
+
+def test_outcomes_durations_coverage_and_causes(spark):
+    """Five requests; the numbers are worked out by hand."""
+    events = events_of(
         spark,
         [
-            request("1"),
-            request("2", duration_seconds=120),
-            request("3", "failed", "slurmstepd: oom-kill event(s)", duration_seconds=180, inputs={"dataset": [{"type": "LiteralData", "value": "pr"}]}),
-            request("4", "failed", "Job cancelled due to time limit", duration_seconds=240),
+            request("a", inputs=levels(850, 500), duration_seconds=30),
+            request("b", inputs=levels(850), duration_seconds=90),
+            request("c", "failed", "Requested latitude 91 is outside the latitude bounds", inputs=levels(850), duration_seconds=5),
+            request("d", "failed", "sbatch: queue is closed", process="average", duration_seconds=700),
+            request("e", "failed", "sbatch: queue is closed", process="average", duration_seconds=None),
         ],
     )
-
-
-def test_outcomes_durations_coverage_and_causes(spark):
-    events = four(spark)
     outcomes = insights.process_outcomes(events).where("scope = 'all'")
-    assert as_map(outcomes, "outcome", "requests") == {"failed": 2, "successful": 2}
-    assert as_map(insights.failure_categories(events), "category", "failures") == {"memory": 1, "timeout": 1}
-    durations = as_map(insights.duration_summary(events).where("scope = 'all'"), "name", "max_seconds")
-    assert durations == {"all": 240.0}
+    assert as_map(outcomes, "outcome", "requests") == {"failed": 3, "successful": 2}
+    assert as_map(insights.failure_categories(events), "category", "failures") == {"spatial": 1, "scheduler": 2}
+    durations = insights.duration_summary(events).where("scope = 'all'").first()
+    assert (durations["name"], durations["count"], durations["max_seconds"]) == ("all", 4, 700.0)
     counts = coverage.coverage_counts(events)
     row = coverage.coverage(counts).first()
-    assert (row["dimension"], row["uses"], row["distinct_values"]) == ("subset.dataset", 4, 2)
+    assert (row["dimension"], row["uses"], row["distinct_values"]) == ("subset.level", 4, 2)
     top = coverage.coverage_top(counts, 1).first()
-    assert (top["value"], top["count"]) == ('"tas"', 3)
+    assert (top["value"], top["count"]) == ("850", 3)
 
 
 def test_durations_that_do_not_count(spark):
@@ -108,9 +110,9 @@ def test_examples_prefer_archived_jobs(spark):
 
 
 def test_diagnostics_override_the_generic_message(spark):
-    item = request("1", "failed", "Process failed, please check server error log")
-    item["diagnostics"] = [{"source": "job-error.txt", "message": "Detected 1 oom-kill event(s)"}, "noise"]
-    events = events_of(spark, [item, request("2", "failed", "Process failed, please check server error log")])
+    generic = [{"code": "NoApplicableCode", "message": "Process failed, please check server error log"}]
+    noted = [{"source": "job-error.txt", "message": "Detected 1 oom-kill event(s)"}, "noise"]
+    events = events_of(spark, [request("1", "failed", failures=generic, diagnostics=noted), request("2", "failed", failures=generic)])
     assert as_map(insights.failure_categories(events), "category", "failures") == {"memory": 1, "unknown": 1}
     codes = {(r["code"], r["locator"]) for r in insights.failure_messages(events).collect()}
     assert codes == {("NoApplicableCode", ""), ("diagnostic", "job-error.txt")}

@@ -184,47 +184,119 @@ def test_status_documents_to_requests(spark):
         ("d", "2026-08-12T10:02:00", status_xml(STARTED)),
         ("e", "2026-08-12T10:02:00", "not xml"),
         ("843b6f0e-94f4-11f1-aca4-fa163e934c9b", "2026-08-10T19:49:53.661467", status_xml(created="")),
+        ("f", "2026-08-12T10:02:00", status_xml("<wps:ProcessFailed/><wps:ProcessFailed/>")),
+        ("g", "2026-08-12T10:02:00", status_xml(STARTED + "<wps:ProcessSucceeded/>", created="soon")),
+        ("h", "2026-08-12T10:02:00", status_xml(STARTED + "<wps:ProcessSucceeded/>")),
     )
     parsed = xml.parse_status(docs)
-    problems = {r["job_id"]: r["problem"] for r in parsed.collect() if r["problem"]}
-    assert problems == {"e": "invalid XML", "843b6f0e-94f4-11f1-aca4-fa163e934c9b": "invalid Status creationTime"}
+    problems = {r["job_id"]: (r["problem"], r["reject"]) for r in parsed.collect() if r["problem"]}
+    states = "not exactly one state"
+    assert problems == {
+        "e": ("invalid XML", "invalid XML"),
+        "843b6f0e-94f4-11f1-aca4-fa163e934c9b": ("invalid Status creationTime", None),
+        "f": (states, "not exactly one final state"),
+        "g": (states, "invalid Status creationTime"),
+        "h": (states, None),
+    }
+    assert {r["job_id"] for r in xml.rejected_documents(parsed).collect()} == {"e", "f", "g"}
     diagnostics = spark.sql("select job_id, array(named_struct('source','s','message','m')) diagnostics from values ('a'), ('b') t(job_id)")
     rows = {r["job_id"]: r for r in xml.status_requests(parsed, "rook", diagnostics).collect()}
-    assert set(rows) == {"a", "b", "c", "843b6f0e-94f4-11f1-aca4-fa163e934c9b"}
+    assert set(rows) == {"a", "b", "c", "h", "843b6f0e-94f4-11f1-aca4-fa163e934c9b"}
     a = rows["a"]
-    assert (a["process"], a["outcome"], a["duration_seconds"], a["duration_source"]) == ("subset", "successful", 120.0, "status_creation_time")
+    assert (a["process"], a["outcome"], a["duration_seconds"], a["duration_source"]) == ("zonal", "successful", 120.0, "status_creation_time")
     assert a["diagnostics"] is None and rows["b"]["diagnostics"][0]["message"] == "m"
-    assert a["inputs"]["dataset"][0]["value"] == "https://data.test/a b+c.nc"
-    assert [v["value"] for v in a["inputs"]["time"]] == ["2020/2021", "2022"]
-    assert a["inputs"]["time"][0]["attributes"] == {"dataType": "string"}
-    assert len(a["inputs"]["big"][0]["value"]) == 65536
+    assert a["inputs"]["mesh"][0]["value"] == "https://store.test/p q+r.nc"
+    assert [v["value"] for v in a["inputs"]["level"]] == ["low half", "high"]
+    assert a["inputs"]["level"][0]["attributes"] == {"dataType": "string", "note": 'a>b "c"'}
+    assert len(a["inputs"]["big"][0]["value"]) == 70002
     assert a["inputs"]["none"][0]["type"] == "unknown"
     assert rows["b"]["duration_seconds"] == 0.0
-    assert tuple(rows["b"]["failures"][0]) == ("NoApplicableCode", "dataset", "Input was unavailable")
+    assert tuple(rows["b"]["failures"][0]) == ("Refused", "mesh", "The mesh had < 3 cells")
     assert tuple(rows["c"]["failures"][0]) == (None, None, "plain text")
     uuid_row = rows["843b6f0e-94f4-11f1-aca4-fa163e934c9b"]
     assert (uuid_row["duration_source"], uuid_row["duration_seconds"]) == ("uuid1", 60.0)
+    cut = {r["job_id"]: r for r in xml.status_requests(parsed, "rook", limits=xml.RECORDED).collect()}["a"]["inputs"]
+    assert (len(cut["big"][0]["value"]), cut["big"][0]["truncated"], cut["level"][0]["truncated"]) == (65536, True, False)
+
+
+def test_texts_are_flattened_in_document_order(spark):
+    item = "<w:Input><Identifier>x</Identifier><w:Data>{}</w:Data></w:Input>"
+    values = [
+        "<w:LiteralData>a<b k='>'>b<c/></b><!-- - -->c</w:LiteralData>",
+        "<w:ComplexData n:a='1' b=\"it's &quot;x&quot;\"><![CDATA[<raw> & ]]><k>v</k></w:ComplexData>",
+        "<w:BoundingBoxData crs='e'><l>0 0</l>\n<u>1 1</u></w:BoundingBoxData>",
+        "<w:LiteralData/>",
+        "<w:LiteralDataX>no value</w:LiteralDataX>",
+    ]
+    body = "".join(item.format(v) for v in values)
+    text = f"<w:R xmlns:w='w' xmlns:n='n'><w:Status creationTime='2026-08-12T10:00:00Z'><w:ProcessSucceeded/></w:Status><w:DataInputs>{body}</w:DataInputs></w:R>"
+    parsed = xml.parse_status(documents(spark, ("j", "2026-08-12T10:00:00", text)))
+    found = [tuple(v) for v in xml.status_requests(parsed, "s").first()["inputs"]["x"]]
+    assert found == [
+        ("LiteralData", "abc", None),
+        ("ComplexData", "<raw> & v", {"a": "1", "b": 'it\'s "x"'}),
+        ("BoundingBoxData", "0 0 1 1", {"crs": "e"}),
+        ("LiteralData", None, None),
+        ("unknown", None, None),
+    ]
 
 
-def test_xml_findings_and_archive(spark):
-    docs = documents(
-        spark,
-        ("old", "2026-08-12T10:25:00", status_xml(STARTED)),
-        ("oom", "2026-08-12T11:50:00", status_xml(STARTED)),
-        ("oom-young", "2026-08-12T11:51:00", status_xml(STARTED)),
-        ("recent", "2026-08-12T10:25:01", status_xml(STARTED)),
-        ("accepted", "2026-08-01T00:00:00", status_xml("<wps:ProcessAccepted/>")),
-        ("failed", "2026-08-01T00:00:00", status_xml(FAILED)),
-        ("bad", "2026-08-01T00:00:00", "<x"),
-    )
-    parsed = xml.parse_status(docs)
-    oom = spark.createDataFrame([("oom",), ("oom-young",), ("oom",)], "job_id string")
-    found = {r["job_id"]: r["finding"] for r in findings.xml_findings(parsed, oom, NOW).collect()}
-    assert found == {"old": "stalled", "oom": "slurm-oom", "bad": "error"}
-    archive = findings.incident_archive(parsed, "rook/1")
-    name = archive.first()["archive_name"]
-    assert name == "20260812T100000Z__error__rook-1__subset__failed.xml"
-    assert findings.incident_archive(parsed, "rook/1", archive).count() == 0
+def job_id(number):
+    return f"{number:08x}-0000-4000-8000-000000000000"
+
+
+DUMPS = "directory string, dump string"
+
+
+def dump_row(job, folder, workdir=None, request='{"inputs": {"a": [1, 2], "b": 3}, "lineage": "True"}'):
+    import json
+
+    return (f"file:/w/{folder}", json.dumps({"process": {"uuid": job, "workdir": workdir or f"/w/./{folder}/"}, "wps_request": request}))
+
+
+def test_xml_findings_follow_the_evidence(spark):
+    ages = {"young": 9, "late": 12, "stale": 96}
+    wanted = {}
+    docs, dump_rows, outputs = [], [], []
+    number = 0
+    for age, minutes in ages.items():
+        for valid in (0, 1, 2):
+            for oom in (False, True):
+                number += 1
+                at = (NOW - timedelta(minutes=minutes)).replace(tzinfo=None).isoformat()
+                docs.append((job_id(number), at, status_xml(STARTED, created="2026-08-12T08:00:00Z")))
+                # Dumps that are no evidence lie beside the valid ones.
+                dump_rows += [dump_row(job_id(number), f"x{number}", "/elsewhere"), dump_row(job_id(number), f"y{number}", request="oops"), dump_row(job_id(number), f"z{number}", request='{"inputs": [1]}'), (f"file:/w/q{number}", "{")]
+                for copy in range(valid):
+                    dump_rows.append(dump_row(job_id(number), f"d{number}_{copy}"))
+                outputs += [(f"file:/w/{name}", b"slurmstepd: error: Detected 3 oom-kill event(s) in StepId=9.batch." + b" later" * 60_000) for name in [f"x{number}"] + ([f"d{number}_0"] if oom else [])]
+                if age == "young":
+                    continue
+                if valid > 1:
+                    wanted[job_id(number)] = ("error", findings.SEVERAL_DUMPS, None)
+                elif valid and oom:
+                    wanted[job_id(number)] = ("slurm-oom", None, f"file:/w/d{number}_0")
+                elif age == "stale":
+                    wanted[job_id(number)] = ("stalled", None, f"file:/w/d{number}_0" if valid else None)
+    docs += [
+        (job_id(900), "2026-08-01T00:00:00", "<x"),
+        ("no-job", "2026-08-01T00:00:00", "<x"),
+        ("old", "2026-08-01T00:00:00", status_xml(STARTED)),
+        (job_id(901), "2026-08-01T00:00:00", status_xml("<wps:ProcessAccepted/>")),
+        (job_id(902), "2026-08-01T00:00:00", status_xml(FAILED)),
+    ]
+    wanted[job_id(900)] = ("error", "invalid XML", None)
+    parsed = xml.parse_status(documents(spark, *docs), with_inputs=False)
+    raw_dumps = spark.createDataFrame(dump_rows, DUMPS)
+    errors = spark.createDataFrame(outputs, "directory string, error_output binary")
+    found = findings.xml_findings(parsed, raw_dumps, errors, NOW)
+    assert {r["job_id"]: (r["finding"], r["reason"], r["evidence"]) for r in found.collect()} == wanted
+    # The marker lies before the last bytes, which are all that is looked at here.
+    tail = findings.xml_findings(parsed, raw_dumps, errors, NOW, tail_bytes=262_144)
+    assert not [r for r in tail.collect() if r["finding"] == "slurm-oom"]
+    archive = findings.incident_archive(xml.parse_status(documents(spark, *docs)), "rook/1")
+    assert archive.first()["archive_name"] == f"20260812T100000Z__error__rook-1__zonal__{job_id(902)}.xml"
+    assert findings.incident_archive(xml.parse_status(documents(spark, *docs)), "rook/1", archive).count() == 0
 
 
 def test_creation_time_labelled_utc_but_local(spark):
@@ -239,22 +311,34 @@ def test_dump_and_error_files(spark, tmp_path):
     long_output = b"x" * 9000 + b" \n slurmstepd: error: Detected 2 oom-kill event(s) in StepId=1.batch."
     for name, uuid, error in (("a", "1", long_output), ("b", "2", b"\xff bytes"), ("c", "2", b"  "), ("d", "", b"no job")):
         folder = tmp_path / f"process_{name}"
-        folder.mkdir()
+        (folder / "deeper").mkdir(parents=True)
         request_text = json.dumps({"lineage": "True", "inputs": {"x": [1, 2], "y": 3}})
-        (folder / "job_1.dump").write_text(json.dumps({"process": {"uuid": uuid, "workdir": str(folder)}, "wps_request": request_text}))
+        body = json.dumps({"process": {"uuid": uuid, "workdir": str(folder)}, "wps_request": request_text})
+        (folder / "job_1.dump").write_text(body)
+        (folder / "deeper" / "job_2.dump").write_text(body)
         (folder / "job-error.txt").write_bytes(error)
-    parsed = dumps.parse_dumps(dumps.read_job_dumps(spark, str(tmp_path)))
+    raw = dumps.read_job_dumps(spark, str(tmp_path))
+    parsed = dumps.parse_dumps(raw)
     errors = dumps.read_error_outputs(spark, str(tmp_path))
-    assert {(r["job_id"], r["lineage"], r["input_count"]) for r in parsed.collect()} == {("1", True, 3), ("2", True, 3)}
-    messages = {r["job_id"]: r["diagnostics"][0]["message"] for r in dumps.job_diagnostics(parsed, errors).collect()}
+    assert sorted((r["job_id"], r["lineage"], r["input_count"], r["is_valid"]) for r in parsed.collect()) == [("1", True, 3, True), ("2", True, 3, True), ("2", True, 3, True)]
+    messages = {r["job_id"]: r["diagnostics"][0]["message"] for r in dumps.job_diagnostics(parsed, errors, 8000).collect()}
     assert messages["1"] == " ".join(long_output[-8000:].decode().split())
     assert messages["2"] == "� bytes"
-    assert [r["job_id"] for r in dumps.oom_jobs(parsed, errors).collect()] == ["1"]
+    whole = {r["job_id"]: r["diagnostics"][0]["message"] for r in dumps.job_diagnostics(parsed, errors).collect()}
+    assert whole["1"] == " ".join(long_output.decode().split())
     stalled = spark.createDataFrame([("1",), ("2",), ("3",)], "job_id string")
+    assert [r["job_id"] for r in dumps.oom_jobs(stalled, raw, errors).collect()] == ["1"]
     match = {r["job_id"]: r["match"] for r in findings.dump_match(stalled, parsed).collect()}
     assert match == {"1": "matched", "2": "duplicate", "3": "missing"}
 
 
+def test_requests_without_inputs_are_valid_and_lists_are_not(spark):
+    cases = {"none": "{}", "null": '{"inputs": null}', "list": "[]", "empty": '{"inputs": {}}', "text": '{"inputs": "a"}'}
+    rows = [dump_row(name, name, request=request) for name, request in cases.items()]
+    valid = {r["job_id"] for r in dumps.parse_dumps(spark.createDataFrame(rows, DUMPS)).where("is_valid").collect()}
+    assert valid == {"none", "empty"}
+
+
 UUID = "123e4567-e89b-42d3-a456-426614174000"
 
 
@@ -282,19 +366,47 @@ def test_polls_need_count_and_span(spark):
     assert polls([-12, -8, -2], path=f"http://host/outputs/a+b%20c/{UUID}.xml").count() == 1
 
 
+FOUND = "layer string, job_id string, status string, finding string, evidence_ts timestamp, reason string, evidence string"
+
+
 def test_recovery_plan_defers_and_blocks(spark):
-    rows = [("database", f"j{n:02}", "running", "stalled", datetime(2026, 8, 1, n)) for n in range(5)]
-    rows += [("polling", f"p{n}", "running", "missing-status", datetime(2026, 8, 1, n)) for n in range(3)]
-    rows += [("xml", UUID, "running", "error", None), ("database", UUID, "accepted", "stalled", datetime(2026, 7, 1)), ("database", "x", "running", "long-running", datetime(2026, 7, 1))]
-    found = spark.createDataFrame(rows, "layer string, job_id string, status string, finding string, evidence_ts timestamp").withColumn("reason", F.lit(None).cast("string"))
-    plan = findings.recovery_plan(found, Thresholds(recovery_limit=2, polling_recovery_limit=1)).collect()
-    assert len(plan) == 8
-    assert {r["job_id"] for r in plan if r["action"] == "recover"} == {"j00", "j01", "p0"}
-    assert {r["step"] for r in plan} == {2, 3}
-    summary = findings.layer_summary(found)
+    rows = [("database", f"j{n:02}", "running", "stalled", datetime(2026, 8, 1, n), None, None) for n in range(5)]
+    rows += [("polling", f"p{n}", "running", "missing-status", datetime(2026, 8, 1, n), None, None) for n in range(3)]
+    rows += [("xml", UUID, "running", "error", None, "invalid XML", None), ("database", UUID, "accepted", "stalled", datetime(2026, 7, 1), None, None), ("database", "x", "running", "long-running", datetime(2026, 7, 1), None, None)]
+    found = spark.createDataFrame(rows, FOUND)
+    plan = findings.recovery_plan(found, Thresholds(recovery_limit=2, polling_recovery_limit=1))
+    actions = {(r["layer"], r["job_id"]): r["action"] for r in plan.collect()}
+    assert len(actions) == 10
+    assert {job for (_, job), action in actions.items() if action == "recover"} == {"j00", "j01", "p0"}
+    assert actions["xml", UUID] == "error" and actions["database", UUID] == "blocked"
+    checked = spark.createDataFrame([("xml", 7), ("database", 5), ("polling", 3), ("idle", 0)], "layer string, checked bigint")
+    summary = findings.layer_summary(found, checked)
+    assert {tuple(r) for r in summary.collect()} == {("xml", 7, 0, 0, 1), ("database", 5, 6, 1, 0), ("polling", 3, 3, 0, 0), ("idle", 0, 0, 0, 0)}
     assert findings.overall_result(summary).first()["result"] == "completed with 1 error"
     assert findings.overall_result(summary.where("layer = 'polling'")).first()["result"] == "attention required"
-    assert findings.overall_result(summary.where("layer = 'none'")).first()["result"] == "healthy"
+    assert findings.overall_result(summary.where("layer = 'idle'")).first()["result"] == "healthy"
+    recovery = findings.recovery_summary(plan, checked)
+    assert {tuple(r) for r in recovery.collect()} == {("xml", 7, 0, 0, 1), ("database", 5, 2, 2, 0), ("polling", 3, 1, 1, 0), ("idle", 0, 0, 0, 0)}
+    assert findings.overall_result(recovery.where("layer = 'database'")).first()["result"] == "recovered 2 jobs"
+    assert findings.overall_result(recovery.where("layer = 'polling'")).first()["result"] == "recovered 1 job"
+    assert findings.overall_result(recovery.where("layer = 'idle'")).first()["result"] == "no recovery needed"
+
+
+def test_documents_are_recovered_by_name_from_their_one_dump(spark):
+    """The run ends after the recovery that reaches the limit; errors behind it don't block."""
+
+    def document(number, finding, evidence):
+        return ("xml", job_id(number), "running", finding, datetime(2026, 8, 1), None, evidence)
+
+    rows = [document(1, "stalled", None), document(2, "error", None), document(3, "slurm-oom", "/d/3"), document(4, "stalled", None), document(5, "stalled", "/d/5"), document(6, "error", None), document(7, "stalled", "/d/7"), document(8, "stalled", None)]
+    rows += [("database", job_id(n), "running", "stalled", datetime(2026, 8, 1, n), None, None) for n in (1, 2, 6, 8)]
+    plan = findings.recovery_plan(spark.createDataFrame(rows, FOUND), Thresholds(recovery_limit=3)).collect()
+    actions = {(r["layer"], int(r["job_id"][:8], 16)): r["action"] for r in plan}
+    documents_ = [actions["xml", n] for n in range(1, 9)]
+    assert documents_ == ["error", "error", "recover", "error", "recover", "defer", "defer", "defer"]
+    assert [actions["database", n] for n in (1, 2, 6, 8)] == ["blocked", "blocked", "recover", "recover"]
+    assert {r["reason"] for r in plan if r["action"] == "error"} == {findings.NO_DUMP}
+    assert {r["message"] is None for r in plan if r["action"] != "recover"} == {True}
 
 
 def test_polling_vetoes(spark):
