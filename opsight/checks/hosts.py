@@ -245,6 +245,29 @@ count(*) as lines, sum(case when o_orderkey%31 in (2,3) then null else elapsed_s
 )
 
 
+def queue_details(spark, sf):
+    """The six-field snapshot; some rows lack a field."""
+    lines = tables.queue_lines(spark, sf).withColumn(
+        "value",
+        F.expr(
+            "concat_ws('|', job_id, concat('p', cast(job_id as bigint)%3), if(state='RUNNING', 'R', 'PD'), elapsed,"
+            " case when cast(job_id as bigint)%37=1 then null else ' 1-00:00:00 ' end, memory_limit)"
+        ),
+    )
+    return queue_source.queue_details(lines).select(
+        "job_id", "partition", "state", "time_limit_seconds", "memory_limit_bytes", "problem"
+    )
+
+
+BYTES = "case memory_limit when '512' then 536870912 when '1.5G' then 1610612736 when '2Gn' then 2147483648 when '1024K' then 1048576 end"
+QUEUE_DETAILS = with_tables(
+    QUEUE,
+    body=f"""select job_id, concat('p', o_orderkey%3) as partition, case when state='RUNNING' then 'R' else 'PD' end as state,
+case when o_orderkey%37=1 then null else 86400 end as time_limit_seconds, case when o_orderkey%37=1 then null else {BYTES} end as memory_limit_bytes,
+case when o_orderkey%37=1 then 'invalid line' end as problem from queue""",
+)
+
+
 def queue_elapsed(spark, sf):
     return tables.queue_lines(spark, sf).select(
         "job_id", "elapsed", units.elapsed_seconds("elapsed").alias("seconds")
@@ -262,7 +285,6 @@ def queue_memory(spark, sf):
     )
 
 
-BYTES = "case memory_limit when '512' then 536870912 when '1.5G' then 1610612736 when '2Gn' then 2147483648 when '1024K' then 1048576 end"
 QUEUE_MEMORY = with_tables(
     QUEUE, body=f"select job_id, memory_limit, {BYTES} as bytes from queue"
 )
@@ -332,7 +354,7 @@ ALERT_SELECT = f"""select {iso('p.snapshot_ts')} as snapshot_ts,
 case when i.n > 0 or p.is_critical then 'red' else 'clear' end as status,
 case when i.n > 0 then 'slurm-capacity-unavailable' when p.is_critical then 'pending-queue-full' end as reason,
 case when i.n is null and p.is_critical then p.pending end as pending, case when i.n is null and p.is_critical then 5 end as threshold,
-coalesce(i.n, 0) as issues, i.detail from pressure p left join (select snapshot_ts, count(*) as n, min(issue) as detail from issues group by snapshot_ts) i
+coalesce(i.n, 0) as issues, i.detail from pressure p left join (select snapshot_ts, count(*) as n, string_agg(issue, '; ' order by node nulls first, issue) as detail from issues group by snapshot_ts) i
 on i.snapshot_ts = p.snapshot_ts"""
 QUEUE_ALERT = with_tables(QUEUE, CAPACITY, PRESSURE_SQL, ISSUES_SQL, body=ALERT_SELECT)
 
@@ -348,6 +370,7 @@ REGISTRY = {
     "filesystem_usage": (filesystem_usage, FILESYSTEM_USAGE),
     "host_snapshot": (host_snapshot, HOST_SNAPSHOT),
     "queue_scan": (queue_scan, QUEUE_SCAN),
+    "queue_details": (queue_details, QUEUE_DETAILS),
     "queue_elapsed": (queue_elapsed, QUEUE_ELAPSED),
     "queue_memory": (queue_memory, QUEUE_MEMORY),
     "queue_memory_usage": (queue_memory_usage, QUEUE_USAGE),

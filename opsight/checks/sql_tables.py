@@ -140,7 +140,7 @@ CAPACITY = """capacity as (
 select o_orderdate as snapshot_ts, concat('node',cast(o_custkey as string)) as node, case when o_orderkey%53=0 then 'down' else 'up' end as partition_state,
   case o_orderkey%12 when 0 then 'idle' when 1 then 'allocated+' when 2 then 'down*' when 3 then 'drained' when 4 then 'allocated*+' else 'MIXED' end as node_state,
   case when o_orderkey%53=0 or o_orderkey%12 in (2,3,4) then 0 else 1 end as usable
-from orders where o_orderstatus='F')"""
+from orders where o_orderstatus='F' and o_orderkey%41<>0)"""
 
 MEMORY = """captured as (
 select concat('host',cast(c_custkey as string)) as host, case when c_custkey%17<>0 then 1000+c_custkey%100*10 end as total,

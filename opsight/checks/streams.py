@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,14 @@ from opsight.checks.sql_tables import (
 )
 from opsight.functions import times
 from opsight.functions.jobs import with_utc_times
-from opsight.operators import daily
+from opsight.operators import daily, findings
 from opsight.params import StatusCodes, Thresholds
 from opsight.session import ROCKSDB_PROVIDER, scratch_path
 from opsight.sources import access_log, status_xml
 from opsight.sources import driver_tables as tables
 from opsight.sources import queue as queue_source
-from opsight.streaming import events, findings
+from opsight.streaming import events
+from opsight.streaming import findings as stream_findings_of
 from opsight.streaming import hosts as host_streams
 from opsight.streaming import tables as stream_tables
 
@@ -40,6 +43,33 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     )
 
 
+FILES_PER_BATCH = 4
+
+
+def _in_batches(rows: DataFrame, time: str, late: timedelta, batches: int = 6) -> DataFrame:
+    """A stream of ``rows`` in several batches that are not in the order of ``time``.
+
+    A row is put up to half of ``late`` before or after its place, by its content. Batches
+    are written one after the other, so that the stream reads them in that order.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "feed")
+    half = int(late.total_seconds() * 500_000)
+    moved = F.unix_micros(F.col(time).cast("timestamp")) + (
+        F.pmod(F.xxhash64(*rows.columns), F.lit(2 * half)) - half
+    )
+    placed = rows.withColumn("__moved", moved)
+    low, high = placed.agg(F.min("__moved"), F.max("__moved")).first()
+    width = (high - low) // batches + 1
+    for batch in range(batches):
+        inside = F.col("__moved").between(low + batch * width, low + (batch + 1) * width - 1)
+        part = placed.where(inside).drop("__moved").repartition(FILES_PER_BATCH)
+        part.write.mode("append").parquet(path)
+    return (
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+    )
+
+
 def _paths(spark: SparkSession, label: str) -> tuple[str, str]:
     return scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
 
@@ -144,20 +174,27 @@ round(min(value),2) as minimum, round(max(value),2) as maximum from metrics, (se
 )
 
 
+POLL_START = datetime(2024, 1, 1)
+POLL_NOW = POLL_START + timedelta(hours=11)
+POLL_LATE = timedelta(minutes=20)
+POLL_THRESHOLDS = Thresholds(min_poll_count=2, min_poll_span_minutes=60)
+
+
 def stream_missing_status(spark, sf):
+    """Polls of a month put into half a day; those after eleven hours lie in the future."""
     stored, checkpoint = _paths(spark, "polls")
-    accesses = access_log.parse_access_log(
-        tables.shape_access_lines(_stream(spark, sf, "events"))
+    start = F.unix_micros(F.lit(POLL_START).cast("timestamp"))
+    accesses = access_log.parse_access_log(tables.access_lines(spark, sf)).withColumn(
+        "ts", F.timestamp_micros(start + F.floor((F.unix_micros("ts") - start) / 60))
     )
-    polls = accesses.where("method in ('GET','HEAD') and status = 404").select(
-        "ts", F.regexp_extract("target", r"^/outputs/alpha/(.{36})\.xml", 1).alias("job_id")
+    stream = findings.not_from_the_future(
+        _in_batches(accesses, "ts", POLL_LATE), F.lit(POLL_NOW).cast("timestamp")
     )
-    changes = findings.missing_status_windows(
-        polls, documents.POLL_THRESHOLDS, slide="1 day"
+    windows = stream_findings_of.missing_status_windows(
+        findings.failed_status_polls(stream, "/outputs/alpha"), POLL_THRESHOLDS, late="20 minutes"
     )
-    stream_tables.upsert_stream(changes, stored, checkpoint).awaitTermination()
-    latest = stream_tables.latest_versions(spark, stored, ["window_end", "job_id"])
-    return latest.withColumns(
+    events.ingest(windows, stored, checkpoint).awaitTermination()
+    return spark.read.parquet(stored).withColumns(
         {
             name: times.iso_text(name)
             for name in ("window_end", "first_seen", "last_seen")
@@ -167,20 +204,24 @@ def stream_missing_status(spark, sf):
 
 STREAM_MISSING = with_tables(
     ACCESS,
+    """failed as (select uuid, polled from (select uuid, make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000)//60) as polled
+  from access where method in ('GET','HEAD') and status=404 and service_path='alpha') where polled <= timestamp '2024-01-01 11:05:00')""",
     body=f"""select {iso('window_end')} as window_end, job_id, polls, {iso('first_seen')} as first_seen, {iso('last_seen')} as last_seen from (
-select date_trunc('day', ts) + to_days(i) as window_end, uuid as job_id, count(*) as polls, min(ts) as first_seen, max(ts) as last_seen
-from access, (select unnest([1,2,3,4,5,6,7,8,9,10]) as i) where method in ('GET','HEAD') and status=404 and service_path='alpha'
-group by all having count(*) >= 3 and epoch_us(max(ts)) - epoch_us(min(ts)) >= 300000000000)""",
+select time_bucket(interval 5 minute, polled) + to_minutes(5*i) as window_end, uuid as job_id, count(*) as polls, min(polled) as first_seen, max(polled) as last_seen
+from failed, (select unnest(generate_series(1, 38)) as i) group by all having count(*) >= 2 and epoch_us(max(polled)) - epoch_us(min(polled)) >= 3600000000)
+where window_end <= (select max(polled) - interval 20 minute from failed)""",
 )
 
 STREAM_THRESHOLDS = Thresholds()
+UPDATE_LATE = timedelta(days=40)
 
 
 def stream_findings(spark, sf):
     """Started, accepted and finished jobs as updates; findings as they fall due."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     stored, checkpoint = _paths(spark, "findings")
-    timed = with_utc_times(tables.shape_jobs(_stream(spark, sf, "orders")))
+    timed = with_utc_times(tables.jobs(spark, sf))
     opened = F.struct(
         F.when(F.col("status").isin(1, 2, 3), F.col("status")).otherwise(2).alias("status"),
         F.col("started_at").alias("event_time"),
@@ -194,31 +235,40 @@ def stream_findings(spark, sf):
             )
         ),
     )
-    found = findings.job_findings(updates, STREAM_THRESHOLDS, StatusCodes(), "0 seconds")
-    events.ingest(found, stored, checkpoint).awaitTermination()
+    stream = _in_batches(updates, "event_time", UPDATE_LATE)
+    found = stream_findings_of.job_findings(stream, STREAM_THRESHOLDS, StatusCodes(), "40 days")
+    spark.conf.set(provider, ROCKSDB_PROVIDER)
+    try:
+        events.ingest(found, stored, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.parquet(stored).withColumn("due_at", times.iso_text("due_at"))
 
 
 STREAM_FINDINGS = with_tables(
     JOBS,
+    """watched as (select uuid, case when status in (1,2,3) then status else 2 end as opened, started_at,
+  case when status not in (1,2,3) then greatest(started_at, ended_at) end as closed from jobs)""",
     body=f"""select uuid as job_id, finding, {iso("date_trunc('millisecond', due)")} as due_at from (
-select uuid, 'long-running' as finding, started_at + interval 10 minute as due from jobs where status=2
-union all select uuid, 'stalled', started_at + interval 95 minute from jobs where status=2
-union all select uuid, 'stalled', started_at + interval 24 hour from jobs where status=1)
-where due <= (select max(greatest(started_at, coalesce(ended_at, started_at))) from jobs)""",
+select uuid, closed, 'long-running' as finding, started_at + interval 10 minute as due from watched where opened=2
+union all select uuid, closed, 'stalled', started_at + interval 95 minute from watched where opened=2
+union all select uuid, closed, 'stalled', started_at + interval 24 hour from watched where opened=1)
+where (closed is null or closed > due) and due <= (select max(greatest(started_at, coalesce(closed, started_at))) - interval 40 day from watched)""",
 )
 
 
 def stream_alerts(spark, sf):
+    """Snapshots whose rows are spread over several batches."""
     stored, checkpoint = _paths(spark, "alerts")
-    lines = tables.shape_queue_lines(_stream(spark, sf, "orders"))
+    lines = tables.queue_lines(spark, sf).select("snapshot_ts", "value")
     host_streams.alert_transitions(
-        queue_source.queue_jobs(lines.select("snapshot_ts", "value")),
+        queue_source.queue_jobs(_in_batches(lines, "snapshot_ts", timedelta(days=10))),
         queue_source.capacity(tables.capacity_lines(spark, sf)),
         stored,
         checkpoint,
         long_running_seconds=hosts.LONG_RUNNING,
         pending_critical=hosts.PENDING_CRITICAL,
+        late="10 days",
     ).awaitTermination()
     return (
         spark.read.parquet(stored)
@@ -233,7 +283,8 @@ STREAM_ALERTS = with_tables(
     hosts.PRESSURE_SQL,
     hosts.ISSUES_SQL,
     f"alerts as ({hosts.ALERT_SELECT})",
-    body="""select * exclude (before) from (select *, lag(status, 1, 'clear') over (order by snapshot_ts) as before from alerts) where status <> before""",
+    body="""select * exclude (before) from (select *, lag(status, 1, 'clear') over (order by snapshot_ts) as before from alerts)
+where status <> before and snapshot_ts <= (select strftime(max(snapshot_ts) - interval 10 day, '%Y-%m-%dT%H:%M:%S.%f') from queue)""",
 )
 
 REGISTRY = {

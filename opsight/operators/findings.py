@@ -163,37 +163,50 @@ def _document_status() -> Column:
     return F.try_element_at(known, F.col("state"))
 
 
-def missing_status_polls(
-    accesses: DataFrame,
-    output_path: str,
-    now: datetime,
-    thresholds: Thresholds = Thresholds(),
-) -> DataFrame:
-    """Jobs whose status document was asked for again and again but was not there."""
+def failed_status_polls(accesses: DataFrame, output_path: str) -> DataFrame:
+    """``ts, job_id`` of the requests for a status document that was not there."""
     status_path = r"^\Q" + output_path.rstrip("/") + r"\E/([0-9a-fA-F-]{36})\.xml$"
     raw_path = F.regexp_extract(
         "target", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1
     )
     path = percent_decoded(F.col("raw_path"))
-    earliest = times.instant(now - timedelta(minutes=thresholds.poll_window_minutes))
-    latest = times.instant(now + timedelta(minutes=5))
     failed = accesses.where(
-        F.col("method").isin("GET", "HEAD")
-        & (F.col("status") == 404)
-        & (F.col("ts") >= earliest)
-        & (F.col("ts") <= latest)
+        F.col("method").isin("GET", "HEAD") & (F.col("status") == 404)
     )
     located = computed(failed.select("ts", "target"), raw_path=raw_path)
     polls = computed(located, job_id=F.regexp_extract(path, status_path, 1)).where(
         F.col("job_id").rlike(fixed.UUID_PATTERN)
     )
-    return poll_groups(polls, ["job_id"], thresholds)
+    return polls.select("ts", "job_id")
 
 
-def poll_groups(polls: DataFrame, keys: list, thresholds: Thresholds) -> DataFrame:
-    """Groups with enough polls over a long enough span."""
+def not_from_the_future(polls: DataFrame, now: Column) -> DataFrame:
+    """Leave out polls more than five minutes after ``now``: their clock is wrong."""
+    return polls.where(F.col("ts") <= now + F.expr("interval 5 minutes"))
+
+
+def missing_status_polls(
+    accesses: DataFrame,
+    output_path: str,
+    now: datetime,
+    thresholds: Thresholds = Thresholds(),
+) -> DataFrame:
+    """Jobs whose status document was asked for again and again but was not there."""
+    earliest = times.instant(now - timedelta(minutes=thresholds.poll_window_minutes))
+    recent = not_from_the_future(
+        accesses.where(F.col("ts") >= earliest), times.instant(now)
+    )
+    return poll_groups(failed_status_polls(recent, output_path), ["job_id"], thresholds)
+
+
+def enough_polls(thresholds: Thresholds) -> Column:
     span = F.unix_micros("last_seen") - F.unix_micros("first_seen")
     minimum = int(thresholds.min_poll_span_minutes * 60_000_000)
+    return (F.col("polls") >= thresholds.min_poll_count) & (span >= minimum)
+
+
+def poll_groups(polls: DataFrame, keys: list, thresholds: Thresholds) -> DataFrame:
+    """Groups with enough polls over a long enough span."""
     return (
         polls.groupBy(*keys)
         .agg(
@@ -201,7 +214,7 @@ def poll_groups(polls: DataFrame, keys: list, thresholds: Thresholds) -> DataFra
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),
         )
-        .where((F.col("polls") >= thresholds.min_poll_count) & (span >= minimum))
+        .where(enough_polls(thresholds))
     )
 
 

@@ -43,7 +43,12 @@ def queue_memory_usage(jobs: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def capacity_issues(nodes: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Nodes that cannot take work; a snapshot without any node is an issue too."""
+    """Nodes that cannot take work; a snapshot without any node is an issue too.
+
+    Malformed rows (``problem`` set by the reader) are no nodes.
+    """
+    if "problem" in nodes.columns:
+        nodes = nodes.where("problem is null")
     usable = F.coalesce(
         units.is_usable_node("partition_state", "node_state"), F.lit(False)
     )
@@ -79,11 +84,13 @@ def queue_alert(
 ) -> DataFrame:
     """Alert state of each snapshot: capacity first, then a full queue, else clear.
 
-    The alert carries the number of issues and the first one; all of them stay in
-    the issue table.
+    The alert carries all issues of its snapshot, by node; there are at most as many
+    as the cluster has nodes.
     """
+    by_node = F.array_sort(F.collect_list(F.struct("node", "issue")))
     counted = issues.groupBy("snapshot_ts").agg(
-        F.count(F.lit(1)).alias("issues"), F.min("issue").alias("detail")
+        F.count(F.lit(1)).alias("issues"),
+        F.array_join(F.transform(by_node, lambda row: row["issue"]), "; ").alias("detail"),
     )
     joined = pressure.select("snapshot_ts", "pending", "is_critical").join(
         counted, "snapshot_ts", "full"

@@ -306,15 +306,16 @@ def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capacity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node rows of each day: mostly healthy states, some flags and bad states."""
+    """Node rows of each day: mostly healthy states, some flags, bad states, short rows."""
     finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     return finished.selectExpr(
         "cast(o_orderdate as timestamp) as snapshot_ts",
-        "concat('node',cast(o_custkey as string),'|', case when o_orderkey%53=0 then"
+        "case when o_orderkey%41=0 then 'node|up' else"
+        " concat('node',cast(o_custkey as string),'|', case when o_orderkey%53=0 then"
         " 'down' else 'up' end,'|', case o_orderkey%12 when 0 then 'idle' when 1 then"
         " 'allocated+' when 2 then 'down*' when 3 then 'drained' when 4 then"
         " 'allocated*+' else 'MIXED' end,'|', case when o_orderkey%2=0 then 'none'"
-        " else '' end) as value",
+        " else '' end) end as value",
     )
 
 

@@ -66,6 +66,22 @@ def queue_jobs(lines: DataFrame) -> DataFrame:
     )
 
 
+def queue_details(lines: DataFrame) -> DataFrame:
+    """Rows of the six-field snapshot with seconds, bytes and the ``problem`` of bad ones."""
+    state = F.col("state")
+    return split_fields(lines, QUEUE_DETAIL_FIELDS).select(
+        "snapshot_ts",
+        *QUEUE_DETAIL_FIELDS,
+        units.elapsed_seconds("elapsed").alias("elapsed_seconds"),
+        units.elapsed_seconds("time_limit").alias("time_limit_seconds"),
+        units.memory_bytes("memory_limit").alias("memory_limit_bytes"),
+        F.when(
+            (F.col("field_count") != len(QUEUE_DETAIL_FIELDS)) | state.isNull(),
+            "invalid line",
+        ).alias("problem"),
+    )
+
+
 def capacity(lines: DataFrame) -> DataFrame:
     """Node capacity rows and the ``problem`` of malformed ones."""
     return split_fields(lines, CAPACITY_FIELDS).select(

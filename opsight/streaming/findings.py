@@ -9,30 +9,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from opsight import fixed
-from opsight.operators.findings import poll_groups
+from opsight.operators.findings import enough_polls
 from opsight.params import StatusCodes, Thresholds
 from opsight.streaming import tables
 
 
+#: Polls are first counted in panes of this length.
+PANE = "5 minutes"
+
+
 def missing_status_windows(
     polls: DataFrame,
     thresholds: Thresholds = Thresholds(),
-    slide: str = "5 minutes",
+    slide: str = PANE,
     late: str = "5 minutes",
+    pane: str = PANE,
 ) -> DataFrame:
     """Poll groups of every sliding window that reach the count and the span.
 
-    ``polls`` has ``ts`` and ``job_id`` of the failed document requests.
+    ``polls`` has ``ts`` and ``job_id``, as ``findings.failed_status_polls`` gives them.
+    Polls are counted once, in panes; a window is put together from its panes, so what
+    is copied for each window is one row of a job and pane, however many polls it has.
+    A window's row appears once, when no poll of it can arrive any more.
     """
     length = f"{int(thresholds.poll_window_minutes)} minutes"
-    valid = polls.where(F.col("job_id").rlike(fixed.UUID_PATTERN))
-    groups = poll_groups(
-        tables.watermarked(valid, "ts", late),
-        ["job_id", F.window("ts", length, slide).alias("window")],
-        thresholds,
+    panes = (
+        tables.watermarked(polls, "ts", late)
+        .groupBy("job_id", F.window("ts", pane).alias("pane"))
+        .agg(
+            F.count(F.lit(1)).alias("polls"),
+            F.min("ts").alias("first_seen"),
+            F.max("ts").alias("last_seen"),
+        )
+    )
+    windows = panes.groupBy(
+        "job_id", F.window(F.window_time("pane"), length, slide).alias("window")
+    ).agg(
+        F.sum("polls").alias("polls"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
     )
-    return groups.select(
+    return windows.where(enough_polls(thresholds)).select(
         F.col("window.end").alias("window_end"),
         "job_id",
         "polls",
@@ -42,7 +59,8 @@ def missing_status_windows(
 
 
 FINDINGS = "job_id string, finding string, due_at timestamp"
-STATE = "status int, started_ms long, updated_ms long"
+STATE = "status int, started_ms long, updated_ms long, reported boolean"
+UPDATE = "at_ms long, status int"
 
 
 def _milliseconds(value) -> int:
@@ -53,76 +71,114 @@ def _milliseconds(value) -> int:
 
 
 class JobWatch(StatefulProcessor):
-    """Per-job memory of the last update, with a timer for each pending finding.
+    """Follows each job through its updates in the order of their times.
 
-    The state of a job is removed when it finishes or has been found stalled, so it
-    does not grow with the number of finished jobs.
+    Updates wait in state until the watermark has passed them, so neither the order of
+    arrival nor the cut into batches matters. A finding falls due at a time; it is told
+    if the updates up to that time leave the job in the state that the finding is about.
+
+    A finished job leaves a tombstone for as long as older updates may still come in
+    (``late_ms``), so that a start which arrives after the end does not open it again. A
+    job found stalled is remembered for ``keep_ms`` after its last update: if it wakes up
+    its age still counts from its first start, and it is told only once that it runs long.
     """
 
-    def __init__(self, thresholds: Thresholds, codes: StatusCodes) -> None:
+    def __init__(self, thresholds: Thresholds, codes: StatusCodes, late_ms: int, keep_ms: int) -> None:
         self.codes = codes
+        self.open = (codes.started, codes.accepted, codes.paused)
         self.long_ms = int(thresholds.long_running_minutes * 60_000)
         self.stale_ms = int(thresholds.database_stale_minutes * 60_000)
         self.accepted_ms = int(thresholds.accepted_stale_hours * 3_600_000)
+        self.late_ms, self.keep_ms = late_ms, keep_ms
 
     def init(self, handle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", STATE)
+        self.waiting = handle.getListState("waiting", UPDATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        seen = self.job.get() if self.job.exists() else None
         for batch in rows:
-            for row in batch.itertuples(index=False):
-                at = _milliseconds(row.event_time)
-                if seen is None or at >= seen[2]:
-                    started = seen[1] if seen is not None else at
-                    seen = (int(row.status), started, at)
-                else:
-                    seen = (seen[0], min(seen[1], at), seen[2])
-        self._forget_timers()
-        if seen[0] not in (self.codes.started, self.codes.accepted, self.codes.paused):
-            self.job.clear()
-        else:
-            self.job.update(seen)
-            for due in self._due(seen).values():
-                self.handle.registerTimer(due)
+            updates = [
+                (_milliseconds(row.event_time), int(row.status))
+                for row in batch.itertuples(index=False)
+            ]
+            self.waiting.appendList(updates)
+            for at, _ in updates:
+                self.handle.registerTimer(at)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.job.exists():
-            return
-        expired = expiredTimerInfo.getExpiryTimeInMs()
-        seen = self.job.get()
-        due = self._due(seen)
-        found = [name for name, at in due.items() if at == expired]
-        if "stalled" in found:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        seen = self.job.get() if self.job.exists() else None
+        # At equal times the end of a job comes last.
+        updates = sorted(self.waiting.get(), key=lambda u: (u[0], u[1] not in self.open, u[1]))
+        past = [u for u in updates if u[0] <= now]
+        found = []
+        for at, status in past:
+            seen = self._until(seen, at - 1, found)
+            seen = self._updated(seen, at, status)
+        seen = self._until(seen, now, found)
+        if past:
+            self.waiting.put(updates[len(past) :]) if len(past) < len(updates) else self.waiting.clear()
+        if seen is None:
             self.job.clear()
+        else:
+            self.job.update(seen)
+            following = [at for at in (*(at for at, _ in self._due(seen)), self._forgotten(seen)) if at > now]
+            if following:
+                self.handle.registerTimer(min(following))
         if found:
             yield pd.DataFrame(
                 {
                     "job_id": [key[0]] * len(found),
-                    "finding": found,
-                    "due_at": [
-                        datetime.fromtimestamp(expired / 1000, timezone.utc)
-                    ]
-                    * len(found),
+                    "finding": [name for _, name in found],
+                    "due_at": [datetime.fromtimestamp(at / 1000, timezone.utc) for at, _ in found],
                 }
             )
 
-    def _due(self, seen) -> dict[str, int]:
-        status, started, updated = seen
+    def _updated(self, seen, at, status):
+        """The job after an update; one that is older than the last changes its start only."""
+        if seen is None:
+            return (status, at, at, False)
+        if at < seen[2]:
+            return (seen[0], min(seen[1], at), seen[2], seen[3])
+        return (status, seen[1], at, seen[3])
+
+    def _until(self, seen, now, found):
+        """Tell what falls due up to ``now``; None when the job can be forgotten."""
+        if seen is None:
+            return None
+        for at, name in self._due(seen):
+            if at > now:
+                continue
+            found.append((at, name))
+            if name == "long-running":
+                seen = (*seen[:3], True)
+            else:
+                # Stalled is told once for an update: the status no longer counts as open.
+                seen = (-1 - seen[0], *seen[1:])
+        return None if self._forgotten(seen) <= now else seen
+
+    def _due(self, seen) -> list[tuple[int, str]]:
+        status, started, updated, reported = seen
+        due = []
+        if status in (self.codes.started, -1 - self.codes.started) and not reported:
+            # A job that waited in the queue for longer is told when it starts to run.
+            due.append((max(started + self.long_ms, updated), "long-running"))
         if status == self.codes.started:
-            return {
-                "long-running": started + self.long_ms,
-                "stalled": updated + self.stale_ms,
-            }
+            due.append((updated + self.stale_ms, "stalled"))
         if status == self.codes.accepted:
-            return {"stalled": updated + self.accepted_ms}
-        return {}
+            due.append((updated + self.accepted_ms, "stalled"))
+        return sorted(due)
 
-    def _forget_timers(self) -> None:
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
+    def _forgotten(self, seen) -> int:
+        status, _, updated, _ = seen
+        final = status not in self.open and -1 - status not in self.open
+        return updated + (self.late_ms if final else self.keep_ms)
+
+
+def _duration_ms(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
 
 
 def job_findings(
@@ -130,22 +186,23 @@ def job_findings(
     thresholds: Thresholds = Thresholds(),
     codes: StatusCodes = StatusCodes(),
     late: str = "5 minutes",
+    keep: str = "42 days",
 ) -> DataFrame:
     """Long-running and stalled jobs at the moment they become so.
 
-    ``updates`` has ``job_id``, ``status`` and ``event_time``. Event-time timers fire
-    when later updates arrive; a stream that can fall silent needs heartbeat rows.
-    The session must use the RocksDB state store (``session.ROCKSDB_PROVIDER``).
+    ``updates`` has ``job_id``, ``status`` and ``event_time``; each may arrive up to
+    ``late`` after updates that are newer. Event-time timers fire when later updates
+    arrive; a stream that can fall silent needs heartbeat rows. The session must use the
+    RocksDB state store (``session.ROCKSDB_PROVIDER``).
     """
+    watch = JobWatch(thresholds, codes, _duration_ms(late), _duration_ms(keep))
     return (
         tables.watermarked(updates, "event_time", late)
         .groupBy("job_id")
         .transformWithStateInPandas(
-            statefulProcessor=JobWatch(thresholds, codes),
+            statefulProcessor=watch,
             outputStructType=FINDINGS,
             outputMode="Append",
             timeMode="EventTime",
         )
     )
-
-

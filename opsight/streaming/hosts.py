@@ -68,25 +68,44 @@ def alert_transitions(
     *,
     long_running_seconds: float,
     pending_critical: int,
+    late: str = "10 minutes",
+    initial: str = "clear",
     **trigger,
 ) -> StreamingQuery:
     """Store a row whenever the alert state differs from the snapshot before.
 
-    ``jobs`` is a stream of queue rows whose snapshots arrive whole; ``capacity`` is
-    the table of node rows.
+    ``jobs`` is a stream of queue rows; the rows of a snapshot may come in several
+    batches, up to ``late`` after rows of newer ones. Its pressure is kept in state and
+    judged once, when the watermark has passed it. ``capacity`` is the table of node
+    rows. The last status goes along as one row for each batch, beside ``path``; a batch
+    that is run again replaces its rows and its status.
     """
+    status_path = f"{path.rstrip('/')}-status"
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        pressure = queue.queue_pressure(batch, long_running_seconds, pending_critical)
-        snapshots = pressure.select("snapshot_ts")
+        snapshots = batch.select("snapshot_ts")
         nodes = capacity.join(snapshots, "snapshot_ts", "left_semi")
         alerts = queue.queue_alert(
-            pressure, queue.capacity_issues(nodes, snapshots), pending_critical
+            batch, queue.capacity_issues(nodes, snapshots), pending_critical
         )
-        earlier = tables.earlier_batches(spark, path, batch_id, alerts)
-        last = earlier.agg(F.max_by("status", "snapshot_ts")).first()[0]
-        changed = transitions(alerts, last or "clear")
-        tables.write_batch(changed, path, batch_id)
+        before = _last_status(spark, status_path, batch_id) or initial
+        tables.write_batch(transitions(alerts, before), path, batch_id)
+        last = alerts.agg(F.max_by("status", "snapshot_ts").alias("status"))
+        tables.write_batch(
+            last.select(F.coalesce("status", F.lit(before)).alias("status")), status_path, batch_id
+        )
+
+    closed = queue.queue_pressure(
+        tables.watermarked(jobs, "snapshot_ts", late), long_running_seconds, pending_critical
+    )
+    return tables.run(closed, store, checkpoint, **trigger)
+
 
-    return tables.run(jobs, store, checkpoint, **trigger)
+def _last_status(spark: SparkSession, path: str, batch_id: int) -> str | None:
+    """The status after the batch before this one; only that folder is opened."""
+    folder = f"{path}/{tables.BATCH}={batch_id - 1}"
+    if batch_id == 0 or not tables.has_rows(spark, folder):
+        return None
+    row = spark.read.schema("status string").parquet(folder).first()
+    return None if row is None else row["status"]

@@ -90,11 +90,14 @@ def test_polls_add_up_over_batches(spark):
     feed = Feed(spark, "ts timestamp, job_id string")
     path, checkpoint = scratch_path(spark, "polls"), scratch_path(spark, "checkpoint")
     limits = Thresholds(poll_window_minutes=60, min_poll_count=3, min_poll_span_minutes=5)
-    for minutes in ([0], [4], [8]):
-        feed.add([(START + timedelta(minutes=m), job) for m in minutes for job in (UUID, "no-uuid")])
-        tables.upsert_stream(findings.missing_status_windows(feed.stream(), limits, slide="60 minutes"), path, checkpoint).awaitTermination()
-    row = tables.latest_versions(spark, path, ["window_end", "job_id"]).first()
-    assert (row["job_id"], row["polls"], row["first_seen"]) == (UUID, 3, START)
+    polls = [(8, UUID), (0, UUID), (4, UUID), (4, "other"), (31, "other")]
+    for part in (polls[:1], polls[1:3], polls[3:], [(300, "clock")]):
+        feed.add([(START + timedelta(minutes=m), job) for m, job in part])
+        windows = findings.missing_status_windows(feed.stream(), limits, late="30 minutes")
+        events.ingest(windows, path, checkpoint).awaitTermination()
+    found = {r["window_end"]: (r["job_id"], r["polls"], r["first_seen"]) for r in spark.read.parquet(path).collect()}
+    # Every five minutes while the window holds all three polls.
+    assert found == {START + timedelta(minutes=m): (UUID, 3, START) for m in range(10, 65, 5)}
 
 
 def test_job_timers_fire_and_final_jobs_are_forgotten(spark):
@@ -120,17 +123,74 @@ def test_job_timers_fire_and_final_jobs_are_forgotten(spark):
     }
 
 
+def _expected_findings(updates, codes, limits):
+    """Each job's updates in order of time, and the findings between them."""
+    out = set()
+    for job in {j for j, _, _ in updates}:
+        own = sorted((m, s not in (codes.started, codes.accepted, codes.paused), s) for j, s, m in updates if j == job)
+        reported, start = False, own[0][0]
+        for at, (minute, final, status) in enumerate(own):
+            until = own[at + 1][0] if at + 1 < len(own) else 10**9
+            due = max(start + limits.long_running_minutes, minute)
+            if status == codes.started and not reported and due < until:
+                reported = True
+                out.add((job, "long-running", float(due)))
+            stale = {codes.started: limits.database_stale_minutes, codes.accepted: limits.accepted_stale_hours * 60}.get(status)
+            if stale is not None and minute + stale < until:
+                out.add((job, "stalled", float(minute + stale)))
+    return out
+
+
+def test_findings_do_not_depend_on_the_order_of_arrival(spark):
+    """Ends before starts, older starts after ends, and every batch cut give one result."""
+    import random
+
+    codes, limits = StatusCodes(), Thresholds()
+    updates = [("end-first", codes.succeeded, 8), ("end-first", codes.started, 0), ("slow", codes.started, 0), ("slow", codes.succeeded, 50)]
+    updates += [("woken", codes.started, 0), ("woken", codes.started, 120), ("woken", codes.succeeded, 300), ("edge", codes.started, 5), ("edge", codes.succeeded, 15)]
+    updates += [("queue", codes.accepted, 0), ("queue", codes.started, 30), ("tie", codes.succeeded, 40), ("tie", codes.started, 40)]
+    expected = _expected_findings(updates, codes, limits)
+    assert ("woken", "stalled", 95.0) in expected and ("woken", "stalled", 215.0) in expected
+    assert not [f for f in expected if f[0] in ("end-first", "edge", "tie")]
+    for seed in (1, 2):
+        shuffled = random.Random(seed).sample(updates, len(updates))
+        feed = Feed(spark, "job_id string, status int, event_time timestamp")
+        path, checkpoint = scratch_path(spark, "findings"), scratch_path(spark, "checkpoint")
+        for part in (shuffled[:4], shuffled[4:8], shuffled[8:], [("clock", codes.succeeded, 5000)], [("clock", codes.succeeded, 9000)]):
+            feed.add([(job, status, START + timedelta(minutes=m)) for job, status, m in part])
+            found = findings.job_findings(feed.stream(), limits, codes, "400 minutes")
+            events.ingest(found, path, checkpoint).awaitTermination()
+        rows = {(r["job_id"], r["finding"], (r["due_at"] - START).total_seconds() / 60) for r in spark.read.parquet(path).collect()}
+        assert rows == expected
+
+
 def test_alerts_are_raised_and_cleared_once(spark):
     feed = Feed(spark, "snapshot_ts timestamp, value string")
     path, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "checkpoint")
-    pending = [0, 2, 2, 0, 0, 3]
+    pending = [0, 2, 2, 0, 0, 3, 0]
     at = [START + timedelta(hours=9 * n) for n in range(len(pending))]
-    nodes = queue_source.capacity(spark.createDataFrame([(t, "n|up|idle|none") for t in at], "snapshot_ts timestamp, value string"))
-    for part in (slice(0, 2), slice(2, 5), slice(5, 6)):
-        feed.add([(t, f"{n}|{state}|0:01") for t, count in zip(at[part], pending[part]) for n, state in enumerate(["RUNNING"] + ["PENDING"] * count)])
-        hosts.alert_transitions(queue_source.queue_jobs(feed.stream()), nodes, path, checkpoint, long_running_seconds=60, pending_critical=2).awaitTermination()
+    nodes = queue_source.capacity(spark.createDataFrame([(t, n) for t in at for n in ("n|up|idle|none", "short|row")], "snapshot_ts timestamp, value string"))
+    lines = [(t, f"{n}|{state}|0:01") for t, count in zip(at, pending) for n, state in enumerate(["RUNNING"] + ["PENDING"] * count)]
+    # The second and third snapshot are split over batches, and their rows are mixed.
+    for part in (lines[:2] + lines[5:6], lines[2:5] + lines[6:9], lines[9:], [(at[-1] + timedelta(hours=40), "9|RUNNING|0:01")]):
+        feed.add(part)
+        hosts.alert_transitions(queue_source.queue_jobs(feed.stream()), nodes, path, checkpoint, long_running_seconds=60, pending_critical=2, late="20 hours").awaitTermination()
     found = spark.read.parquet(path).orderBy("snapshot_ts").collect()
-    assert [(r["snapshot_ts"], r["status"]) for r in found] == [(at[1], "red"), (at[3], "clear"), (at[5], "red")]
+    assert [(r["snapshot_ts"], r["status"]) for r in found] == [(at[1], "red"), (at[3], "clear"), (at[5], "red"), (at[6], "clear")]
+
+
+def test_rejected_documents_go_to_a_table_of_their_own(spark):
+    from helpers import status_xml
+
+    feed = Feed(spark, "job_id string, modification_time timestamp, content string")
+    requests_path, rejects_path, checkpoint = (scratch_path(spark, n) for n in ("requests", "rejects", "checkpoint"))
+    good, open_ = status_xml(), status_xml("<wps:ProcessStarted/>")
+    for part in ([("a", good), ("b", "<x"), ("c", open_)], [("d", good), ("e", None)], [("f", open_)]):
+        feed.add([(job, START, body) for job, body in part])
+        events.ingest_documents(feed.stream(), "rook", requests_path, rejects_path, checkpoint).awaitTermination()
+    stored = spark.read.parquet(requests_path).collect()
+    assert sorted((r["job_id"], r["inputs"]["level"][1]["value"]) for r in stored) == [("a", "high"), ("d", "high")]
+    assert sorted((r["job_id"], r["reject"]) for r in spark.read.parquet(rejects_path).collect()) == [("b", "invalid XML"), ("e", "invalid XML")]
 
 
 def test_transitions_match_a_plain_loop(spark):
