@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
 
 from opsight.checks.sql_tables import (
@@ -21,6 +23,7 @@ from opsight.operators import queue
 from opsight.params import TimeRange
 from opsight.session import scratch_path
 from opsight.sources import driver_tables as tables
+from opsight.sources import keyed
 from opsight.sources import metrics as metric_source
 from opsight.sources import queue as queue_source
 
@@ -36,16 +39,15 @@ SCALE = 1 / 1.073741824
 def metric_scan(spark, sf):
     """Samples stored by plugin and date, then read for a range of days."""
     path = scratch_path(spark, "metrics")
-    samples = tables.metrics(spark, sf).withColumn("date", F.to_date("ts"))
-    metric_source.write_metrics(samples, path)
+    metric_source.write_metrics(tables.metrics(spark, sf), path)
     period = TimeRange(NOW - timedelta(days=10), NOW - timedelta(days=3))
     chosen = hosts.select_metrics(spark.read.parquet(path), period, ["load", "swap"])
-    return chosen.select("host", "plugin", "value", times.iso_text("ts").alias("ts"))
+    return chosen.select("host", "plugin", "metric", "column", "value", times.iso_text("ts").alias("ts"))
 
 
 METRIC_SCAN = with_tables(
     METRICS,
-    body=f"""select host, plugin, value, {iso('ts')} as ts from metrics where plugin in ('load','swap')
+    body=f"""select host, plugin, metric, "column", value, {iso('ts')} as ts from metrics where plugin in ('load','swap')
 and ts between timestamp '2024-01-20 18:00:00' and timestamp '2024-01-27 18:00:00'""",
 )
 
@@ -60,45 +62,137 @@ def _period_query(period):
     return run
 
 
-def _counter_sql(period: str) -> str:
-    return f"""grown as (select host, plugin, period, sum(case when previous is null then 0 when counter < previous then counter else counter - previous end) as total
-from (select *, lag(counter) over (partition by host, plugin, date_trunc('{period}', ts) order by ts, counter) as previous,
-  date_trunc('{period}', ts) as period from metrics) group by host, plugin, period)"""
+SERIES = 'host, plugin, metric, "column"'
+
+
+def _counter_sql(period: str, table: str = "metrics", name: str = "grown") -> str:
+    return f"""{name} as (select {SERIES}, period, sum(case when previous is null then 0 when reading < previous then reading else reading - previous end) as total
+from (select *, lag(reading) over (partition by {SERIES}, date_trunc('{period}', ts) order by ts, reading) as previous,
+  date_trunc('{period}', ts) as period from (select *, cast(trunc(value) as bigint) as reading from {table})) group by all)"""
+
+
+def _of(plugin: str, column: str) -> str:
+    return f"""case when plugin='{plugin}' and "column"='{column}' then value end"""
+
+
+def _summary_sql(period: str, table: str = "metrics", grown: str = "grown", scale: str = "1.073741824") -> str:
+    return f"""select s.*, round(g.total/{scale},2) as received from (
+select host, date_trunc('{period}', ts) as period,
+ round(min({_of('load', 'shortterm')}),2) as load_min, round(max({_of('load', 'shortterm')}),2) as load_max,
+ round(min({_of('df-root', 'value')}),2) as disk_min, round(max({_of('df-root', 'value')}),2) as disk_max,
+ round(min({_of('memory', 'value')})/{scale},2) as memory_min, round(max({_of('memory', 'value')})/{scale},2) as memory_max
+from {table} where plugin<>'swap' group by 1, 2) s left join {grown} g on g.host=s.host and g.period=s.period and g.plugin='interface-eth0' and g."column"='rx'"""
 
 
 def _period_sql(period: str) -> str:
     return with_tables(
         METRICS,
         _counter_sql(period),
-        body=f"""select s.host, {iso('s.period')} as period, load_min, load_max, disk_min, disk_max, memory_min, memory_max,
-round(g.total/1.073741824,2) as received from (
-select host, date_trunc('{period}', ts) as period,
- min(case when plugin='load' then value end) as load_min, max(case when plugin='load' then value end) as load_max,
- min(case when plugin='df-root' then value end) as disk_min, max(case when plugin='df-root' then value end) as disk_max,
- round(min(case when plugin='memory' then value end)/1.073741824,2) as memory_min,
- round(max(case when plugin='memory' then value end)/1.073741824,2) as memory_max
-from metrics group by 1, 2) s left join grown g on g.host=s.host and g.period=s.period and g.plugin='interface'""",
+        body=f"select * replace ({iso('period')} as period) from ({_summary_sql(period)})",
     )
 
 
 def counter_total(spark, sf):
-    totals = hosts.counter_total(tables.metrics(spark, sf), "day")
+    totals = hosts.counter_total(tables.metrics(spark, sf).where("metric = 'if_octets'"), "day")
     return totals.withColumn("period", times.iso_text("period"))
 
 
 COUNTER_TOTAL = with_tables(
     METRICS,
     _counter_sql("day"),
-    body=f"select host, plugin, {iso('period')} as period, total from grown",
+    body=f"select {SERIES}, {iso('period')} as period, total from grown where metric='if_octets'",
 )
 
-WINDOW_SQL = """win as (select host, plugin, count(value) as count, arg_max(value, (ts, value)) as current,
+
+def metric_summary_replace(spark, sf):
+    """A second run replaces the days it covers and leaves the stored ones before."""
+    path = scratch_path(spark, "summary")
+    samples = tables.metrics(spark, sf)
+    shifted = samples.withColumn("value", F.col("value") + 1)
+    for run in (shifted, samples.where("ts >= timestamp'2024-01-15'")):
+        hosts.store_summary(hosts.period_summary(run, memory_scale=SCALE, counter_scale=SCALE), path)
+    stored = hosts.summary_lines(keyed.read_keyed(spark, path))
+    return stored.select("host", "label", "load_min", "memory_max", "received", "line")
+
+
+def _text(column: str, unit: str = "") -> str:
+    return f"coalesce(regexp_replace(printf('%.2f', {column}), '0$', '') || '{unit}', 'NA')"
+
+
+LINE = " || ".join(
+    [
+        f"""'{gap}{shown}=' || {_text(name, unit)}"""
+        for gap, shown, name, unit in (
+            ("  ", "load_min", "load_min", ""),
+            ("  ", "load_max", "load_max", ""),
+            ("  ", "disk_min", "disk_min", ""),
+            ("  ", "disk_max", "disk_max", ""),
+            ("  ", "mem_min", "memory_min", " GiB"),
+            ("  ", "mem_max", "memory_max", " GiB"),
+            ("  ", "eth0_rx", "received", " GiB"),
+        )
+    ]
+)
+SUMMARY_REPLACE = with_tables(
+    METRICS,
+    "shifted as (select * replace (value + 1 as value) from metrics)",
+    _counter_sql("day"),
+    _counter_sql("day", "shifted", "shifted_grown"),
+    f"""summary as (select * from ({_summary_sql('day')}) where period >= timestamp '2024-01-15'
+union all select * from ({_summary_sql('day', 'shifted', 'shifted_grown')}) where period < timestamp '2024-01-15')""",
+    body=f"""select host, label, load_min, memory_max, received, label || {LINE} as line from (select *, strftime(period, '%Y-%m-%d') as label from summary)""",
+)
+
+FILE_COLUMNS = {kind.metric: kind.columns for kind in metric_source.KINDS}
+
+
+def _write_file(root: str):
+    """Write the samples of one host, plugin, metric and day as the file they come in."""
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        host, plugin, metric, day = key
+        columns = FILE_COLUMNS[metric]
+        wide = pd.DataFrame({"epoch": rows["epoch"], **{c: rows["value"].where(rows["column"] == c) for c in columns}})
+        store, folder = arrow_fs.FileSystem.from_uri(f"{root}/{host}/{plugin}")
+        store.create_dir(folder, recursive=True)
+        name = f"{metric}-{day}"
+        text = wide.sort_values("epoch").to_csv(index=False, float_format="%.6f")
+        packed = day.day % 2 == 0
+        with store.open_output_stream(f"{folder}/.{name}", compression="gzip" if packed else None) as out:
+            out.write(text.encode())
+        store.move(f"{folder}/.{name}", f"{folder}/{name}.gz" if packed else f"{folder}/{name}")
+        return pd.DataFrame({"path": [name]})
+
+    return write
+
+
+def _from_files(spark, sf):
+    """The samples, written as daily CSV files and read back."""
+    root = scratch_path(spark, "metric-files")
+    samples = tables.metrics(spark, sf).where(F.col("metric").isin(*FILE_COLUMNS))
+    epoch = (F.unix_micros("ts") / 1e6).alias("epoch")
+    groups = samples.select("host", "plugin", "metric", "date", "column", "value", epoch)
+    written = groups.groupBy("host", "plugin", "metric", "date").applyInPandas(_write_file(root), "path string")
+    written.write.parquet(scratch_path(spark, "metric-file-list"))
+    return metric_source.read_metrics(spark, root)
+
+
+def metric_files_daily(spark, sf):
+    summary = hosts.period_summary(_from_files(spark, sf), memory_scale=SCALE, counter_scale=SCALE)
+    return summary.withColumn("period", times.iso_text("period"))
+
+
+def metric_files_snapshot(spark, sf):
+    return _snapshot(spark, sf, _from_files(spark, sf))
+
+
+WINDOW_SQL = f"""win as (select {SERIES}, count(value) as count, arg_max(value, (ts, value)) as current,
   arg_max(value, (ts, value)) - arg_min(value, (ts, value)) as change, min(value) as min, avg(value) as average, max(value) as max
-  from metrics where ts between timestamp '2024-01-29 06:00:00' and timestamp '2024-01-30 18:00:00' group by host, plugin)"""
-LATEST_SQL = """latest as (select host, plugin, max(ts) as ts, arg_max(value, (ts, value)) as value
-  from metrics where ts >= timestamp '2024-01-29' and ts < timestamp '2024-01-31' group by host, plugin)"""
+  from metrics where ts between timestamp '2024-01-29 06:00:00' and timestamp '2024-01-30 18:00:00' group by all)"""
+LATEST_SQL = f"""latest as (select {SERIES}, max(ts) as ts, arg_max(value, (ts, value)) as value
+  from metrics where ts >= timestamp '2024-01-29' and ts < timestamp '2024-01-31' group by all)"""
 FRESH_SQL = """fresh as (select host, min(ts) as latest, greatest(0.0, (epoch_us(timestamp '2024-01-30 18:00:00') - epoch_us(min(ts)))/1e6) as age_seconds
-  from latest where plugin in ('load','memory') group by host)"""
+  from latest where "column"='shortterm' or plugin='memory' group by host)"""
 MEMORY_SQL = """memory as (select c.host, total, coalesce(l.value, total - available) as used, available, swap_total,
   case when swap_free is not null then greatest(0, swap_total - swap_free) end as swap_used
   from captured c left join latest l on l.host=c.host and l.plugin='memory')"""
@@ -178,9 +272,9 @@ FILESYSTEM_USAGE = with_tables(
 )
 
 
-def host_snapshot(spark, sf):
+def _snapshot(spark, sf, samples):
     snapshot = hosts.host_snapshot(
-        tables.metrics(spark, sf),
+        samples,
         tables.memory_captures(spark, sf),
         tables.filesystem_captures(spark, sf),
         NOW,
@@ -189,12 +283,21 @@ def host_snapshot(spark, sf):
     )
     return _rounded(
         snapshot.withColumn("latest", times.iso_text("latest")),
-        "percent",
-        "swap_percent",
-        "load_average",
-        "load_change",
-        "memory_average",
-        "fullest_percent",
+        *[name for name, kind in snapshot.dtypes if kind == "double"],
+    )
+
+
+def host_snapshot(spark, sf):
+    return _snapshot(spark, sf, tables.metrics(spark, sf))
+
+
+def _history(table: str, name: str) -> str:
+    return ", ".join(
+        [f"coalesce({table}.count, case when seen.host is not null then 0 end) as {name}_count"]
+        + [
+            f"round({table}.{measure}, 6) as {name}_{measure}"
+            for measure in ("current", "change", "min", "average", "max")
+        ]
     )
 
 
@@ -207,12 +310,17 @@ HOST_SNAPSHOT = with_tables(
     MEMORY_SQL,
     FILESYSTEMS,
     DISKS_SQL,
-    body=f"""select m.host, m.used, round(m.used*100.0/nullif(m.total,0),6) as percent, swap_used,
-round(swap_used*100.0/nullif(swap_total,0),6) as swap_percent, {iso('f.latest')} as latest, age_seconds,
-coalesce(age_seconds <= 4500, false) as fresh, ll.value as load, round(wl.average,6) as load_average, wl.max as load_max, round(wl.change,6) as load_change,
-round(wm.average,6) as memory_average, wm.max as memory_window_max, d.filesystems, round(d.fullest,6) as fullest_percent
-from memory m left join fresh f using (host) left join latest ll on ll.host=m.host and ll.plugin='load'
-left join win wl on wl.host=m.host and wl.plugin='load' left join win wm on wm.host=m.host and wm.plugin='memory'
+    """seen as (select distinct host from metrics where plugin in ('load','memory','df-root')
+  and ts >= timestamp '2024-01-29' and ts < timestamp '2024-01-31')""",
+    body=f"""select m.host, m.total, round(m.used,6) as used, m.available, round(m.used*100.0/nullif(m.total,0),6) as percent, swap_total, swap_used,
+round(swap_used*100.0/nullif(swap_total,0),6) as swap_percent, {iso('f.latest')} as latest, round(age_seconds,6) as age_seconds,
+coalesce(age_seconds <= 4500, false) as fresh, round(l1.value,6) as load, round(l2.value,6) as load_mid, round(l3.value,6) as load_long,
+{_history('wl', 'load')}, {_history('wm', 'memory')}, {_history('wd', 'disk')}, d.filesystems, round(d.fullest,6) as fullest_percent
+from memory m left join fresh f using (host) left join seen on seen.host=m.host
+left join latest l1 on l1.host=m.host and l1."column"='shortterm' left join latest l2 on l2.host=m.host and l2."column"='midterm'
+left join latest l3 on l3.host=m.host and l3."column"='longterm'
+left join win wl on wl.host=m.host and wl."column"='shortterm' left join win wm on wm.host=m.host and wm.plugin='memory'
+left join win wd on wd.host=m.host and wd.plugin='df-root'
 left join (select host, count(*) as filesystems, max(percent) as fullest from disks group by host) d on d.host=m.host""",
 )
 
@@ -363,6 +471,9 @@ REGISTRY = {
     "metric_daily": (_period_query("day"), _period_sql("day")),
     "metric_hourly": (_period_query("hour"), _period_sql("hour")),
     "counter_total": (counter_total, COUNTER_TOTAL),
+    "metric_summary_replace": (metric_summary_replace, SUMMARY_REPLACE),
+    "metric_files_daily": (metric_files_daily, _period_sql("day")),
+    "metric_files_snapshot": (metric_files_snapshot, HOST_SNAPSHOT),
     "metric_window": (metric_window, METRIC_WINDOW),
     "metric_latest": (metric_latest, METRIC_LATEST),
     "metric_freshness": (metric_freshness, METRIC_FRESHNESS),

@@ -82,8 +82,11 @@ from jobs j)"""
 
 METRICS = """metrics as (
 select concat('host',cast(user_id%5 as string)) as host,
-  case event_type when 'click' then 'load' when 'view' then 'memory' when 'purchase' then 'interface' when 'signup' then 'df-root' else 'swap' end as plugin,
-  ts, value, cast(round(value*1000,0) as bigint) as counter from events)"""
+  case event_type when 'click' then 'load' when 'view' then 'memory' when 'purchase' then 'interface-eth0' when 'signup' then 'df-root' else 'swap' end as plugin,
+  case event_type when 'click' then 'load' when 'view' then 'memory-used' when 'purchase' then 'if_octets' when 'signup' then 'percent_bytes-used' else 'swap-used' end as metric,
+  case event_type when 'click' then ['shortterm','midterm','longterm'][event_id%3+1] when 'purchase' then case when event_id%4=0 then 'tx' else 'rx' end else 'value' end as "column",
+  ts, case when event_type='purchase' then round(value*1000,0) else value end as value,
+  cast(round(value*1000,0) as bigint) as counter from events)"""
 
 ACCESS = """access as (
 select concat('192.0.2.',cast(user_id%250 as string)) as client, date_trunc('second', ts) as ts,

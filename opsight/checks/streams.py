@@ -22,6 +22,7 @@ from opsight.checks.sql_tables import (
 from opsight.functions import times
 from opsight.functions.jobs import with_utc_times
 from opsight.operators import daily, findings
+from opsight.operators.metrics import SERIES
 from opsight.params import StatusCodes, Thresholds
 from opsight.session import ROCKSDB_PROVIDER, scratch_path
 from opsight.sources import access_log, status_xml
@@ -145,13 +146,13 @@ def stream_hourly_metrics(spark, sf):
         tables.shape_metrics(_stream(spark, sf, "events"))
     )
     stream_tables.upsert_stream(changes, stored, checkpoint).awaitTermination()
-    latest = stream_tables.latest_versions(spark, stored, ["host", "plugin", "period"])
+    latest = stream_tables.latest_versions(spark, stored, [*SERIES, "period"])
     return latest.withColumn("period", times.iso_text("period"))
 
 
 STREAM_METRICS = with_tables(
     METRICS,
-    body=f"""select host, plugin, {iso("date_trunc('hour', ts)")} as period, count(value) as count,
+    body=f"""select host, plugin, metric, "column", {iso("date_trunc('hour', ts)")} as period, count(value) as count,
 round(min(value),2) as minimum, round(max(value),2) as maximum from metrics group by all""",
 )
 
@@ -163,13 +164,13 @@ def stream_sliding_metrics(spark, sf):
         tables.shape_metrics(_stream(spark, sf, "events")), "3 hours", "1 hour"
     )
     stream_tables.upsert_stream(changes, stored, checkpoint).awaitTermination()
-    latest = stream_tables.latest_versions(spark, stored, ["host", "plugin", "period"])
+    latest = stream_tables.latest_versions(spark, stored, [*SERIES, "period"])
     return latest.withColumn("period", times.iso_text("period"))
 
 
 STREAM_SLIDING = with_tables(
     METRICS,
-    body=f"""select host, plugin, {iso("date_trunc('hour', ts) - to_hours(i)")} as period, count(value) as count,
+    body=f"""select host, plugin, metric, "column", {iso("date_trunc('hour', ts) - to_hours(i)")} as period, count(value) as count,
 round(min(value),2) as minimum, round(max(value),2) as maximum from metrics, (select unnest([0,1,2]) as i) group by all""",
 )
 

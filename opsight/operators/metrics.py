@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,41 +12,78 @@ from opsight import fixed
 from opsight.functions import times, units
 from opsight.operators.keys import first_by_key
 from opsight.params import TimeRange
+from opsight.sources import keyed
+from opsight.sources import metrics as source
 
-SERIES = ["host", "plugin"]
+# One series is one column of one metric: files of a plugin have several.
+SERIES = ["host", "plugin", "metric", "column"]
 # Counter readings are first put in order inside slices of a period.
 SLICES_PER_PERIOD = {"day": "hour", "hour": "minute"}
 
 
-def select_metrics(metrics: DataFrame, period: TimeRange, plugins: list[str]) -> DataFrame:
-    """Samples of some plugins inside ``period``.
+@dataclass(frozen=True)
+class Series:
+    """A column of a metric, on any host."""
 
-    The dates of the range are tested too: on a table partitioned by plugin and date
-    both tests prune partitions.
-    """
-    chosen = metrics.where(F.col("plugin").isin(plugins))
-    if period.start is not None:
-        chosen = chosen.where(
-            (F.col("date") >= F.lit(period.start.date()))
-            & (F.col("ts") >= times.instant(period.start))
-        )
-    if period.end is not None:
-        chosen = chosen.where(
-            (F.col("date") <= F.lit(period.end.date()))
-            & (F.col("ts") <= times.instant(period.end))
+    plugin: str
+    metric: str
+    column: str
+
+    def is_row(self) -> Column:
+        return (
+            (F.col("plugin") == self.plugin)
+            & (F.col("metric") == self.metric)
+            & (F.col("column") == self.column)
         )
-    return chosen
+
+
+LOAD, LOAD_MID, LOAD_LONG = (Series("load", "load", c) for c in source.LOAD.columns)
+MEMORY = Series("memory", "memory-used", "value")
+
+
+def disk_series(plugin: str = "df-root") -> Series:
+    return Series(plugin, "percent_bytes-used", "value")
+
+
+def received_series(plugin: str) -> Series:
+    return Series(plugin, "if_octets", "rx")
+
+
+def between_dates(metrics: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Samples between two instants, both included.
+
+    Where the table has a date, it is tested too: on one that is partitioned by plugin
+    and date that prunes folders. A file may name a day of another zone, so the dates
+    reach a day further.
+    """
+    dated = "date" in metrics.columns
+    if start is not None:
+        if dated:
+            metrics = metrics.where(F.col("date") >= F.lit(start.date() - timedelta(days=1)))
+        metrics = metrics.where(F.col("ts") >= times.instant(start))
+    if end is not None:
+        if dated:
+            metrics = metrics.where(F.col("date") <= F.lit(end.date() + timedelta(days=1)))
+        metrics = metrics.where(F.col("ts") <= times.instant(end))
+    return metrics
+
+
+def select_metrics(metrics: DataFrame, period: TimeRange, plugins: list[str]) -> DataFrame:
+    """Samples of some plugins inside ``period``."""
+    return between_dates(metrics.where(F.col("plugin").isin(plugins)), period.start, period.end)
 
 
 def counter_total(metrics: DataFrame, period: str = "day") -> DataFrame:
-    """Growth of a rising counter per series and period; a fall restarts at zero.
+    """Growth of rising counters per series and period; a fall restarts at zero.
+
+    Readings are whole numbers; fractions are cut off.
 
     Readings are ordered inside slices of the period, then one row per slice is
     chained to the slice before. A busy host therefore spreads over its slices.
     """
     keys = [*SERIES, "period"]
     place = F.struct("ts", "counter")
-    sliced = metrics.where("counter is not null").select(
+    sliced = metrics.withColumn("counter", F.col("value").cast("bigint")).where("counter is not null").select(
         *SERIES,
         F.date_trunc(period, "ts").alias("period"),
         F.date_trunc(SLICES_PER_PERIOD[period], "ts").alias("slice"),
@@ -81,34 +119,67 @@ def period_summary(
     period: str = "day",
     *,
     disk_plugin: str = "df-root",
+    interface: str = "interface-eth0",
     memory_scale: float = 1 / fixed.GIB,
     counter_scale: float = 1 / fixed.GIB,
 ) -> DataFrame:
     """One row per host and period; a metric without samples is null."""
+    disk, received = disk_series(disk_plugin), received_series(interface)
 
-    def of(plugin: str, measure, scale: float) -> Column:
-        value = measure(F.when(F.col("plugin") == plugin, F.col("value")))
+    def of(series: Series, measure, scale: float) -> Column:
+        value = measure(F.when(series.is_row(), F.col("value")))
         return F.round(value * F.lit(scale), 2)
 
-    extremes = metrics.groupBy("host", F.date_trunc(period, "ts").alias("period")).agg(
-        of("load", F.min, 1.0).alias("load_min"),
-        of("load", F.max, 1.0).alias("load_max"),
-        of(disk_plugin, F.min, 1.0).alias("disk_min"),
-        of(disk_plugin, F.max, 1.0).alias("disk_max"),
-        of("memory", F.min, memory_scale).alias("memory_min"),
-        of("memory", F.max, memory_scale).alias("memory_max"),
+    used = metrics.where(F.col("plugin").isin(LOAD.plugin, MEMORY.plugin, disk.plugin, received.plugin))
+    extremes = used.groupBy("host", F.date_trunc(period, "ts").alias("period")).agg(
+        of(LOAD, F.min, 1.0).alias("load_min"),
+        of(LOAD, F.max, 1.0).alias("load_max"),
+        of(disk, F.min, 1.0).alias("disk_min"),
+        of(disk, F.max, 1.0).alias("disk_max"),
+        of(MEMORY, F.min, memory_scale).alias("memory_min"),
+        of(MEMORY, F.max, memory_scale).alias("memory_max"),
     )
-    received = counter_total(metrics.where("plugin = 'interface'"), period).select(
+    grown = counter_total(metrics.where(received.is_row()), period).select(
         "host", "period", F.round(F.col("total") * counter_scale, 2).alias("received")
     )
-    return extremes.join(received, ["host", "period"], "left")
+    return extremes.join(grown, ["host", "period"], "left")
+
+
+def summary_lines(summary: DataFrame, period: str = "day", interface: str = "eth0") -> DataFrame:
+    """Add ``label`` and ``line``, the text form of a period's summary."""
+    label = F.date_format("period", "yyyy-MM-dd" if period == "day" else "yyyy-MM-dd'T'HH:00")
+
+    def text(name: str, unit: str = "") -> Column:
+        value = F.col(name).cast("decimal(38,2)").cast("string")
+        # At least one digit stands behind the point.
+        plain = F.regexp_replace(value, "0$", "")
+        return F.coalesce(F.concat(plain, F.lit(unit)), F.lit("NA"))
+
+    gib = " GiB"
+    fields = [
+        F.concat(F.lit(f"{shown}="), text(name, unit))
+        for shown, name, unit in (
+            ("load_min", "load_min", ""),
+            ("load_max", "load_max", ""),
+            ("disk_min", "disk_min", ""),
+            ("disk_max", "disk_max", ""),
+            ("mem_min", "memory_min", gib),
+            ("mem_max", "memory_max", gib),
+            (f"{interface}_rx", "received", gib),
+        )
+    ]
+    return summary.withColumn("label", label).withColumn("line", F.concat_ws("  ", "label", *fields))
+
+
+def store_summary(summary: DataFrame, path: str) -> str:
+    """Replace the stored summaries of the same host and period; all stay in order."""
+    return keyed.replace_by_key(summary, path, ["host", "period"], ["period", "host"])
 
 
 def metric_window(metrics: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Count, current value, change, minimum, average and maximum in a window."""
     place = F.struct("ts", "value")
-    inside = metrics.where(F.col("ts").between(times.instant(start), times.instant(end)))
-    return inside.groupBy(*SERIES).agg(
+    return between_dates(metrics, start, end).groupBy(*SERIES).agg(
         F.count("value").alias("count"),
         F.max_by("value", place).alias("current"),
         (F.max_by("value", place) - F.min_by("value", place)).alias("change"),
@@ -118,51 +189,53 @@ def metric_window(metrics: DataFrame, start: datetime, end: datetime) -> DataFra
     )
 
 
+def _recent_days(now: datetime) -> tuple[datetime, datetime]:
+    """From the start of yesterday to the end of today."""
+    midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    return midnight - timedelta(days=1), midnight + timedelta(days=1) - timedelta(microseconds=1)
+
+
 def metric_latest(metrics: DataFrame, now: datetime) -> DataFrame:
     """Latest sample per series of today, or else of yesterday."""
-    midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
-    recent = metrics.where(
-        (F.col("ts") >= times.instant(midnight - timedelta(days=1)))
-        & (F.col("ts") < times.instant(midnight + timedelta(days=1)))
-    )
-    return recent.groupBy(*SERIES).agg(
+    return between_dates(metrics, *_recent_days(now)).groupBy(*SERIES).agg(
         F.max("ts").alias("ts"),
         F.max_by("value", F.struct("ts", "value")).alias("value"),
     )
 
 
-def metric_freshness(
-    latest: DataFrame,
-    now: datetime,
-    interval_seconds: float,
-    plugins: tuple[str, ...] = ("load", "memory"),
-) -> DataFrame:
-    """Age of the oldest of a host's latest samples, and whether it is recent enough."""
+def _freshness(rows: DataFrame, now: datetime, interval_seconds: float) -> DataFrame:
     age = F.greatest(F.lit(0.0), times.seconds_between(times.instant(now), F.col("latest")))
-    return (
-        latest.where(F.col("plugin").isin(*plugins))
-        .groupBy("host")
-        .agg(F.min("ts").alias("latest"))
-        .withColumn("age_seconds", age)
-        .withColumn("fresh", F.col("age_seconds") <= interval_seconds * 2.5)
+    known = F.when(F.col("latest").isNotNull(), age)
+    return rows.withColumn("age_seconds", known).withColumn(
+        "fresh", F.col("age_seconds") <= interval_seconds * 2.5
+    )
+
+
+def metric_freshness(latest: DataFrame, now: datetime, interval_seconds: float) -> DataFrame:
+    """Age of the older of a host's latest load and memory, and whether it is recent enough."""
+    oldest = latest.where(LOAD.is_row() | MEMORY.is_row()).groupBy("host").agg(
+        F.min("ts").alias("latest")
     )
+    return _freshness(oldest, now, interval_seconds)
 
 
 def memory_usage(captured: DataFrame, latest: DataFrame) -> DataFrame:
     """Memory and swap use per host from captured totals and the latest sample."""
-    sampled = latest.where("plugin = 'memory'").select(
-        "host", F.col("value").alias("sampled")
-    )
-    joined = captured.join(sampled, "host", "left").withColumns(
+    sampled = latest.where(MEMORY.is_row()).select("host", F.col("value").alias("sampled"))
+    return _memory(captured.join(sampled, "host", "left"))
+
+
+def _memory(joined: DataFrame) -> DataFrame:
+    swap_known = F.col("swap_total").isNotNull() & F.col("swap_free").isNotNull()
+    used = joined.withColumns(
         {
             "used": F.coalesce("sampled", F.col("total") - F.col("available")),
             "swap_used": F.when(
-                F.col("swap_total").isNotNull() & F.col("swap_free").isNotNull(),
-                F.greatest(F.lit(0), F.col("swap_total") - F.col("swap_free")),
+                swap_known, F.greatest(F.lit(0), F.col("swap_total") - F.col("swap_free"))
             ),
         }
     )
-    return joined.select(
+    return used.select(
         "host",
         "total",
         "used",
@@ -171,9 +244,13 @@ def memory_usage(captured: DataFrame, latest: DataFrame) -> DataFrame:
         "swap_total",
         "swap_used",
         units.percent_of(F.col("swap_used"), F.col("swap_total")).alias("swap_percent"),
+        *[name for name in joined.columns if name not in MEMORY_COLUMNS],
     )
 
 
+MEMORY_COLUMNS = ("host", "total", "available", "swap_total", "swap_free", "sampled")
+
+
 def filesystem_usage(captured: DataFrame) -> DataFrame:
     """Use per device, named by its first path; every unavailable path is listed."""
     unavailable = F.col("total").isNull()
@@ -197,6 +274,52 @@ def filesystem_usage(captured: DataFrame) -> DataFrame:
     )
 
 
+def host_samples(
+    metrics: DataFrame, now: datetime, window: timedelta, disk_plugin: str = "df-root"
+) -> DataFrame:
+    """What one aggregate over the recent samples tells of each host.
+
+    The scan is limited to the plugins and dates that any of the values needs.
+    """
+    first_day, last_day = _recent_days(now)
+    disk = disk_series(disk_plugin)
+    plugins = [LOAD.plugin, MEMORY.plugin, disk.plugin]
+    period = TimeRange(min(first_day, now - window), last_day)
+    recent = select_metrics(metrics, period, plugins)
+    place, value = F.struct("ts", "value"), F.col("value")
+    is_latest = F.col("ts").between(times.instant(first_day), times.instant(last_day))
+    is_inside = F.col("ts").between(times.instant(now - window), times.instant(now))
+
+    def latest(series: Series) -> Column:
+        return F.max_by("value", F.when(series.is_row() & is_latest, place))
+
+    def latest_at(series: Series) -> Column:
+        return F.max(F.when(series.is_row() & is_latest, F.col("ts")))
+
+    def history(series: Series, name: str) -> list[Column]:
+        inside = series.is_row() & is_inside
+        at, chosen = F.when(inside, place), F.when(inside, value)
+        return [
+            F.count(chosen).alias(f"{name}_count"),
+            F.max_by("value", at).alias(f"{name}_current"),
+            (F.max_by("value", at) - F.min_by("value", at)).alias(f"{name}_change"),
+            F.min(chosen).alias(f"{name}_min"),
+            F.avg(chosen).alias(f"{name}_average"),
+            F.max(chosen).alias(f"{name}_max"),
+        ]
+
+    return recent.groupBy("host").agg(
+        F.least(latest_at(LOAD), latest_at(MEMORY)).alias("latest"),
+        latest(LOAD).alias("load"),
+        latest(LOAD_MID).alias("load_mid"),
+        latest(LOAD_LONG).alias("load_long"),
+        latest(MEMORY).alias("sampled"),
+        *history(LOAD, "load"),
+        *history(MEMORY, "memory"),
+        *history(disk, "disk"),
+    )
+
+
 def host_snapshot(
     metrics: DataFrame,
     captured: DataFrame,
@@ -204,30 +327,17 @@ def host_snapshot(
     now: datetime,
     window: timedelta,
     interval_seconds: float,
+    disk_plugin: str = "df-root",
 ) -> DataFrame:
-    """One row per host: latest load, windows, memory, freshness and fullest disk."""
-    latest = metric_latest(metrics, now)
-    windows = metric_window(metrics, now - window, now)
-
-    def of(source: DataFrame, plugin: str, **names: str) -> DataFrame:
-        columns = [F.col(name).alias(alias) for name, alias in names.items()]
-        return source.where(F.col("plugin") == plugin).select("host", *columns)
+    """One row per host: load, windows, memory, freshness and fullest disk.
 
+    The metrics are scanned once.
+    """
+    samples = host_samples(metrics, now, window, disk_plugin)
     disks = filesystem_usage(filesystems).groupBy("host").agg(
         F.count(F.lit(1)).alias("filesystems"),
         F.max("percent").alias("fullest_percent"),
     )
-    memory = memory_usage(captured, latest)
-    parts = [
-        metric_freshness(latest, now, interval_seconds),
-        of(latest, "load", value="load"),
-        of(windows, "load", average="load_average", max="load_max", change="load_change"),
-        of(windows, "memory", average="memory_average", max="memory_window_max"),
-        disks,
-    ]
-    snapshot = memory.select(
-        "host", "used", "percent", "swap_used", "swap_percent"
-    )
-    for part in parts:
-        snapshot = snapshot.join(part, "host", "left")
+    joined = captured.join(samples, "host", "left").join(disks, "host", "left")
+    snapshot = _freshness(_memory(joined), now, interval_seconds)
     return snapshot.withColumn("fresh", F.coalesce("fresh", F.lit(False)))

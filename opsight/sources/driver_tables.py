@@ -155,15 +155,21 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shape_metrics(events: DataFrame) -> DataFrame:
-    """Long-form metric samples and a counter that often falls."""
+    """Long-form metric samples of several columns, and a counter that often falls."""
     return events.selectExpr(
         "concat('host',cast(user_id%5 as string)) as host",
         "case event_type when 'click' then 'load' when 'view' then 'memory'"
-        " when 'purchase' then 'interface' when 'signup' then 'df-root'"
+        " when 'purchase' then 'interface-eth0' when 'signup' then 'df-root'"
         " else 'swap' end as plugin",
+        "case event_type when 'click' then 'load' when 'view' then 'memory-used'"
+        " when 'purchase' then 'if_octets' when 'signup' then 'percent_bytes-used'"
+        " else 'swap-used' end as metric",
+        "case event_type when 'click' then element_at(array('shortterm','midterm','longterm'),"
+        " cast(event_id%3 as int)+1) when 'purchase' then if(event_id%4=0,'tx','rx')"
+        " else 'value' end as column",
         "cast(ts as timestamp) as ts",
-        "value",
-        "cast(round(value*1000,0) as bigint) as counter",
+        "to_date(ts) as date",
+        "case when event_type='purchase' then round(value*1000,0) else value end as value",
     )
 
 

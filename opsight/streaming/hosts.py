@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsight.operators import queue
+from opsight.operators.metrics import SERIES
 from opsight.streaming import tables
 
 
@@ -20,15 +21,14 @@ def metric_windows(
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
     return (
         tables.watermarked(metrics, "ts", late)
-        .groupBy("host", "plugin", window.alias("window"))
+        .groupBy(*SERIES, window.alias("window"))
         .agg(
             F.count("value").alias("count"),
             F.round(F.min("value"), 2).alias("minimum"),
             F.round(F.max("value"), 2).alias("maximum"),
         )
         .select(
-            "host",
-            "plugin",
+            *SERIES,
             F.col("window.start").alias("period"),
             "count",
             "minimum",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight.operators import metrics, queue
 from opsight.params import TimeRange
+from opsight.sources import keyed
 from opsight.sources import metrics as metric_source
 from opsight.sources import queue as queue_source
 
@@ -14,22 +15,39 @@ UTC = timezone.utc
 NOW = datetime(2026, 8, 20, 12, tzinfo=UTC)
 
 
+SERIES = {"load": ("load", "shortterm"), "memory": ("memory-used", "value"), "df-root": ("percent_bytes-used", "value"), "interface-eth0": ("if_octets", "rx"), "swap": ("swap-used", "value")}
+LONG = "host string, plugin string, metric string, column string, ts timestamp, date date, value double"
+
+
 def samples(spark, rows):
-    """(plugin, minutes from now, value) on one host."""
-    data = [("h", p, NOW.replace(tzinfo=None) + timedelta(minutes=m), float(v), int(v)) for p, m, v in rows]
-    return spark.createDataFrame(data, "host string, plugin string, ts timestamp, value double, counter long")
+    """(plugin, minutes from now, value) or (plugin, minutes, value, column) on one host."""
+    data = []
+    for plugin, minutes, value, *column in rows:
+        at = NOW.replace(tzinfo=None) + timedelta(minutes=minutes)
+        metric, usual = SERIES[plugin]
+        data.append(("h", plugin, metric, column[0] if column else usual, at, at.date(), float(value)))
+    return spark.createDataFrame(data, LONG)
 
 
 def test_metric_files(spark, tmp_path):
-    folder = tmp_path / "load"
-    folder.mkdir()
+    folder = tmp_path / "node7" / "load"
+    folder.mkdir(parents=True)
     (folder / "load-2026-08-19").write_text("epoch,shortterm,midterm,longterm\n1787140800.5,1,2,3\n1787140860,,2,3\n")
     with gzip.open(folder / "load-2026-08-18.gz", "wt") as stream:
         stream.write("epoch,shortterm,midterm,longterm\n1787054400,4,5,6\n")
-    found = metric_source.read_metric_csv(spark, str(folder), ["shortterm", "midterm", "longterm"])
-    assert found.count() == 8
+    disk = tmp_path / "node8" / "df-srv-data"
+    disk.mkdir(parents=True)
+    (disk / "percent_bytes-used-2026-08-19").write_text("epoch,value\n1787140800,70.5\n")
+    found = metric_source.read_metrics(spark, str(tmp_path))
+    assert found.count() == 9
     row = found.where("column = 'shortterm' and date = '2026-08-18'").first()
-    assert (row["plugin"], row["metric"], row["value"]) == ("load", "load", 4.0)
+    assert (row["host"], row["plugin"], row["metric"], row["value"]) == ("node7", "load", "load", 4.0)
+    assert metric_source.read_metrics(spark, str(tmp_path), dates=[datetime(2026, 8, 18).date()]).count() == 3
+    assert metric_source.read_metrics(spark, str(tmp_path / "none")).count() == 0
+    # From the files to the summary, without a step between.
+    summary = {(r["host"], str(r["period"])[:10]): r for r in metrics.period_summary(found, disk_plugin=metric_source.disk_plugin("/srv/data")).collect()}
+    assert (summary["node7", "2026-08-19"]["load_min"], summary["node7", "2026-08-19"]["load_max"]) == (1.0, 1.0)
+    assert summary["node8", "2026-08-19"]["disk_max"] == 70.5
     path = str(tmp_path / "stored")
     metric_source.write_metrics(found, path)
     chosen = metrics.select_metrics(spark.read.parquet(path), TimeRange(datetime(2026, 8, 19, tzinfo=UTC)), ["load"])
@@ -38,6 +56,40 @@ def test_metric_files(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan.replace("plugin#", "") or "date" in plan.split("PartitionFilters")[1][:200]
 
 
+def test_series_of_one_plugin_are_not_mixed(spark):
+    rows = samples(spark, [("load", -3, 1), ("load", -2, 5, "midterm"), ("load", -1, 9, "longterm"), ("load", -2, 3)])
+    row = metrics.period_summary(rows).first()
+    assert (row["load_min"], row["load_max"]) == (1.0, 3.0)
+    latest = {r["column"]: r["value"] for r in metrics.metric_latest(rows, NOW).collect()}
+    assert latest == {"shortterm": 3.0, "midterm": 5.0, "longterm": 9.0}
+
+
+def test_summaries_replace_their_period_and_stay_in_order(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert keyed.read_keyed(spark, path) is None
+
+    def run(*days):
+        rows = samples(spark, [item for day, load in days for item in (("load", day * 1440, load), ("interface-eth0", day * 1440, 0), ("interface-eth0", day * 1440 + 5, 3 * 2**30))])
+        metrics.store_summary(metrics.summary_lines(metrics.period_summary(rows)), path)
+
+    run((0, 1.25), (-2, 2))
+    run((-1, 3), (0, 4))
+    run((0, 4))
+    rows = keyed.read_keyed(spark, path).collect()
+    assert [(r["label"], r["load_min"]) for r in rows] == [("2026-08-18", 2.0), ("2026-08-19", 3.0), ("2026-08-20", 4.0)]
+    assert rows[2]["line"] == "2026-08-20  load_min=4.0  load_max=4.0  disk_min=NA  disk_max=NA  mem_min=NA  mem_max=NA  eth0_rx=3.0 GiB"
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("version-")]) == 2
+    hourly = metrics.summary_lines(metrics.period_summary(samples(spark, [("load", 1, 1.25)]), "hour"), "hour").first()
+    assert hourly["line"].startswith("2026-08-20T12:00  load_min=1.25  ")
+
+
+def test_null_keys_replace_null_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keyed.replace_by_key(spark.createDataFrame([(None, 1), ("a", 1), ("b", 1)], "k string, v int"), path, ["k"], ["k"])
+    keyed.replace_by_key(spark.createDataFrame([(None, 2), ("b", 2), ("b", 3)], "k string, v int"), path, ["k"], ["k", "v"])
+    assert [tuple(r) for r in keyed.read_keyed(spark, path).collect()] == [(None, 2), ("a", 1), ("b", 2), ("b", 3)]
+
+
 def test_files_with_other_columns_are_refused(spark, tmp_path):
     (tmp_path / "load-2026-08-19").write_text("epoch,value\n1,2\n")
     with pytest.raises(Exception):
@@ -55,7 +107,7 @@ def test_counters_match_a_plain_loop(spark):
     random.seed(3)
     for period in ("day", "hour"):
         readings = [(random.uniform(0, 2000), random.randint(0, 500)) for _ in range(300)]
-        rows = samples(spark, [("interface", m, v) for m, v in readings])
+        rows = samples(spark, [("interface-eth0", m, v) for m, v in readings])
         found = {r["period"]: r["total"] for r in metrics.counter_total(rows, period).collect()}
         expected, previous = {}, {}
         for minute, value in sorted(readings):
@@ -92,6 +144,19 @@ def test_memory_and_filesystems(spark):
     assert rows == {"/": (50.0, None), "/gone": (None, "unavailable"), "/lost": (None, "unavailable"), "/zero": (0.0, None)}
     snapshot = metrics.host_snapshot(samples(spark, [("load", -1, 2)]), captured, mounts, NOW, timedelta(hours=1), 60).orderBy("host").collect()
     assert len(snapshot) == 3 and snapshot[0]["load"] == 2.0 and not snapshot[1]["fresh"]
+    assert (snapshot[0]["load_count"], snapshot[1]["age_seconds"]) == (1, None)
+
+
+def test_snapshot_scans_the_metrics_once(spark, tmp_path):
+    path = str(tmp_path / "m")
+    metric_source.write_metrics(samples(spark, [("load", -1, 2), ("memory", -5, 8), ("df-root", -2, 50), ("load", -5000, 9)]), path)
+    captured = spark.createDataFrame([("h", 16, 4, 10, 12)], "host string, total long, available long, swap_total long, swap_free long")
+    mounts = spark.createDataFrame([("h", 0, "/", 1, 10, 5)], "host string, position int, path string, device int, total long, used long")
+    snapshot = metrics.host_snapshot(spark.read.parquet(path), captured, mounts, NOW, timedelta(hours=1), 60)
+    plan = snapshot._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    row = snapshot.first()
+    assert (row["load"], row["used"], row["disk_max"], row["load_count"], row["age_seconds"], row["fresh"]) == (2.0, 8.0, 50.0, 1, 300.0, False)
 
 
 def lines(spark, *values):
