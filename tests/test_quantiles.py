@@ -45,3 +45,23 @@ def test_one_group_with_most_rows_is_spread_over_buckets(spark):
     assert row["count"] == 100_000
     assert math.isclose(row["median"], 99_999 / 2 / 7)
     assert math.isclose(row["p95"], round(99_999 * 0.95) / 7)
+
+
+def test_one_bucket_with_all_values_is_cut_until_it_is_small(spark, monkeypatch):
+    """All durations lie within 0.1 percent; with tiny limits several rounds are needed."""
+    from opsight.operators import quantiles
+
+    rounds = []
+    sliced = quantiles._sliced
+    monkeypatch.setattr(quantiles, "_sliced", lambda *args: rounds.append(1) or sliced(*args))
+    rows = spark.range(60_000).selectExpr("'hot' as k", "1000 + id / 1e5 as v").unionByName(spark.createDataFrame([("few", 3.0), ("few", 1.0)], "k string, v double"))
+    values = sorted(1000 + n / 1e5 for n in range(60_000))
+    for most, slices, least in ((10_000, 4096, 1), (50, 16, 3)):
+        rounds.clear()
+        monkeypatch.setattr(quantiles, "MOST_SORTED_VALUES", most)
+        monkeypatch.setattr(quantiles, "SLICES", slices)
+        found = {r["k"]: r for r in order_statistics(rows, ["k"], "v").collect()}
+        assert len(rounds) >= least
+        assert (found["hot"]["count"], found["few"]["median"], found["few"]["p95"]) == (60_000, 2.0, 3.0)
+        assert math.isclose(found["hot"]["median"], (values[29_999] + values[30_000]) / 2, rel_tol=1e-15)
+        assert found["hot"]["p95"] == values[round(59_999 * 0.95)]
