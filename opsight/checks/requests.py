@@ -20,6 +20,7 @@ from opsight.operators import daily, dedup, insights
 from opsight.params import TimeRange, parse_time, parse_time_range
 from opsight.session import scratch_path
 from opsight.sources import driver_tables as tables
+from opsight.sources import incidents as incident_source
 from opsight.sources import events as event_source
 from opsight.sources.status_xml import new_requests
 
@@ -285,6 +286,45 @@ where rank <= 3""",
 )
 
 
+def failure_report(spark, sf):
+    """The most frequent failures with example jobs and their archived documents."""
+    requests = _deduped(spark, sf)
+    archived = incident_source.incident_index(
+        _incident_paths(spark, sf).select(
+            F.concat(
+                F.lit("/archive/rook/20240101T000000Z__error__rook__subset__"),
+                F.lpad(F.regexp_extract("job_id", r"(\d+)$", 1), 8, "0"),
+                F.lit("-0000-4000-8000-000000000000.xml"),
+            ).alias("path")
+        )
+    ).withColumn("job_id", F.concat(F.lit("job-"), F.regexp_extract("job_id", "^0*(\\d+)-", 1)))
+    rows = insights.with_examples(
+        insights.failure_messages(requests, top=5),
+        insights.DETAIL_KEYS,
+        insights.failure_items(requests),
+        archived,
+    )
+    return rows.withColumns(
+        {"example_jobs": F.array_join("example_jobs", ","), "status_xml": F.to_json("status_xml")}
+    )
+
+
+FAILURE_REPORT = with_tables(
+    REQUESTS,
+    DEDUPED,
+    GROUPS,
+    """named as (select distinct category, code, locator, text, job_id,
+  case when job_id in (select concat('job-', cast(event_id as string)) from events where value > 15) then 1 else 0 end as documents from failed)""",
+    """examples as (select *, row_number() over (partition by category, code, locator, text order by documents desc, job_id) as rank from named)""",
+    """listed as (select category, code, locator, text, string_agg(job_id, ',' order by rank) as example_jobs,
+  concat('{', coalesce(string_agg(concat('"', job_id, '":[{"kind":"error","path":"/archive/rook/20240101T000000Z__error__rook__subset__', lpad(substr(job_id, 5), 8, '0'),
+    '-0000-4000-8000-000000000000.xml"}]'), ',' order by rank) filter (where documents > 0), ''), '}') as status_xml
+  from examples where rank <= 3 group by all)""",
+    body="""select g.*, example_jobs, status_xml from (select * from grouped order by count desc, category, code, locator, text limit 5) g
+join listed using (category, code, locator, text)""",
+)
+
+
 def interleaved_failures(spark, sf):
     requests = _deduped(spark, sf)
     groups = insights.failure_messages(requests, top=None)
@@ -448,6 +488,31 @@ def daily_stats(spark, sf):
     return _with_date_text(daily.daily_statistics(_all_events(spark, sf)))
 
 
+def daily_stats_all_values(spark, sf):
+    """Events read from JSON text whose failure messages stand in members of other names."""
+    hidden = F.expr(
+        "case when message is not null then array(named_struct('hint', message, 'n', 7)) end"
+    )
+    shaped = tables.requests(spark, sf).withColumn("found", hidden)
+    halves = [
+        shaped.where(f"event_id%2={half}").select(
+            F.col("event_id").alias("line_id"),
+            F.expr(
+                "to_json(named_struct('record_type', record_type, 'service', service, 'job_id', job_id,"
+                " 'process', process, 'outcome', outcome, 'duration_seconds', duration_seconds,"
+                " 'finished_at', date_format(event_time, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"),"
+                f" '{name}', found))"
+            ).alias("value"),
+        )
+        for half, name in ((0, "failures"), (1, "diagnostics"))
+    ]
+    lines = halves[0].unionByName(halves[1]).withColumns(
+        {"file_path": F.lit("f"), "block_start": F.lit(0).cast("bigint")}
+    )
+    events = event_source.parse_events(event_source.parsed_lines(lines))
+    return _with_date_text(daily.daily_statistics(dedup.dedup_by_content(events, ["line_id"])))
+
+
 # The same statistics as `daily` rows, reused by the queries on the stored table.
 DAILY_TABLES = (
     REQUESTS,
@@ -478,6 +543,11 @@ DAILY_TABLES = (
 )
 DAILY_SELECT = "select * replace (cast(date as varchar) as date) from daily"
 DAILY_STATS = with_tables(*DAILY_TABLES, body=DAILY_SELECT)
+DAILY_OF_REQUESTS = with_tables(
+    *[part for part in DAILY_TABLES if "operation" not in part],
+    """daily as (select d.*, 0 as recovered_jobs, 0 as long_running_jobs, 0 as operation_errors from request_days d)""",
+    body=DAILY_SELECT,
+)
 
 
 def daily_stats_upsert(spark, sf):
@@ -598,6 +668,7 @@ REGISTRY = {
     "failure_category": (failure_category, FAILURE_CATEGORY),
     "failure_categories": (failure_categories, FAILURE_CATEGORIES),
     "failure_messages": (failure_messages, FAILURE_MESSAGES),
+    "failure_report": (failure_report, FAILURE_REPORT),
     "failure_examples": (failure_examples, FAILURE_EXAMPLES),
     "interleaved_failures": (interleaved_failures, INTERLEAVED),
     "root_cause": (root_cause, ROOT_CAUSE),
@@ -607,6 +678,7 @@ REGISTRY = {
     "log_events": (log_events, LOG_EVENTS),
     "operation_summary": (operation_summary, OPERATION_SUMMARY),
     "recent_operations": (recent_operations, RECENT_OPERATIONS),
+    "daily_stats_all_values": (daily_stats_all_values, DAILY_OF_REQUESTS),
     "daily_stats": (daily_stats, DAILY_STATS),
     "daily_stats_upsert": (daily_stats_upsert, DAILY_UPSERT),
     "stats_rollup": (stats_rollup, STATS_ROLLUP),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from opsight import fixed
+
 REQUESTS = """requests as (
 select 'request' as record_type, event_id,
   case cast(floor(j/100) as bigint)%3 when 0 then 'rook' when 1 then 'emu' else 'duck' end as service,
@@ -28,15 +30,18 @@ DEDUPED = """deduped as (
 select * from (select r.*, row_number() over (partition by service, job_id order by event_id) as rn
   from requests r) where rn = 1)"""
 
-CATEGORY = """case
-  when regexp_matches(t, '(?i)\\b(?:oom|oom-kill|memoryerror)\\b|out of memory|cannot allocate memory|memory (?:limit|allocation)|exceeded[^\\n]*memory') then 'memory'
-  when regexp_matches(t, '(?i)timed?\\s*out|time(?: |-)?limit|deadline exceeded|walltime|wall clock|cancelled[^\\n]*time|no (?:status|database) update[^\\n]*minutes|exceeded[^\\n]*(?:run|execution) time') then 'timeout'
-  when regexp_matches(t, '(?i)no valid data points|no data (?:found|available)|empty (?:subset|selection)|no timesteps? (?:are )?matching (?:the )?selection criteria') then 'no-data'
-  when regexp_matches(t, '(?i)not within (?:the )?(?:longitude|latitude) bounds|longitude frame|outside (?:the )?(?:spatial|longitude|latitude) bounds|invalid bounding box|\\b(?:longitude|latitude)\\b') then 'spatial'
-  when regexp_matches(t, '(?i)invalid (?:input|parameter)|missing (?:input|parameter)|not found|unavailable|permission denied|access denied|cannot create TimeComponentsParameter') then 'input'
-  when regexp_matches(t, '(?i)\\b(?:slurm|drmaa|scheduler|sbatch|srun|squeue)\\b') then 'scheduler'
-  when regexp_matches(trim(t), '(?i)^(?:NoApplicableCode\\s+(?:None\\s+)?)?(?:Process failed, please check server error log|Process error: unknown)\\s*$') then 'unknown'
-  when trim(t) = '' then 'unknown' else 'other' end"""
+# Java's patterns are RE2's, but for quotes that SQL doubles.
+CATEGORY = "\n".join(
+    [
+        "case",
+        *[
+            f"  when regexp_matches(t, '(?i){pattern}') then '{name}'"
+            for name, pattern in fixed.FAILURE_CATEGORIES
+        ],
+        f"  when regexp_matches(trim(t), '(?i){fixed.GENERIC_FAILURE_PATTERN}') then 'unknown'",
+        "  when trim(t) = '' then 'unknown' else 'other' end",
+    ]
+)
 
 WORKFLOWS = """workflows as (
 select event_id, concat('job-',cast(event_id as string)) as job_id, 'orchestrate' as process,

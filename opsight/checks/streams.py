@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsight.checks import documents, hosts, requests
+from opsight.checks import jobs as job_checks
 from opsight.checks.sql_tables import (
     ACCESS,
     CAPACITY,
     DOCUMENTS,
+    JOB_FACTS,
     JOBS,
     METRICS,
     QUEUE,
@@ -21,7 +23,7 @@ from opsight.checks.sql_tables import (
 )
 from opsight.functions import times
 from opsight.functions.jobs import with_utc_times
-from opsight.operators import daily, findings
+from opsight.operators import daily, dbreport, findings
 from opsight.operators.metrics import SERIES
 from opsight.params import StatusCodes, Thresholds
 from opsight.session import ROCKSDB_PROVIDER, scratch_path
@@ -32,6 +34,7 @@ from opsight.streaming import events
 from opsight.streaming import findings as stream_findings_of
 from opsight.streaming import hosts as host_streams
 from opsight.streaming import tables as stream_tables
+from opsight.streaming.jobs import moving_job_summary
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -133,10 +136,48 @@ def stream_daily(spark, sf):
     return rows.withColumn("date", F.col("date").cast("string"))
 
 
-STREAM_DAILY = with_tables(
-    *[part for part in requests.DAILY_TABLES if "operation" not in part],
-    """daily as (select d.*, 0 as recovered_jobs, 0 as long_running_jobs, 0 as operation_errors from request_days d)""",
-    body=requests.DAILY_SELECT,
+STREAM_DAILY = requests.DAILY_OF_REQUESTS
+
+
+SLIDE, MOVING = timedelta(days=30), timedelta(days=90)
+
+
+def stream_job_summary(spark, sf):
+    """A report of ninety days every thirty, from versions of jobs in mixed order."""
+    stored, checkpoint = _paths(spark, "moving")
+    facts = dbreport.job_facts(
+        with_utc_times(tables.jobs(spark, sf)), StatusCodes(), other="other", unnamed="unknown"
+    ).select("uuid", "process", "state", "seconds", "started_at", "ended_at")
+    opened = facts.withColumns(
+        {
+            "state": F.when(F.col("state").isin("accepted", "running"), F.col("state")).otherwise("running"),
+            "seconds": F.lit(None).cast("double"),
+            "event_time": F.col("started_at"),
+            "ended_at": F.lit(None).cast("timestamp"),
+        }
+    )
+    closed = facts.where("ended_at is not null").withColumn("event_time", F.greatest("started_at", "ended_at"))
+    versions = opened.unionByName(closed)
+    stream = _in_batches(versions, "event_time", timedelta(days=20))
+    moving_job_summary(stream, MOVING, SLIDE, stored, checkpoint, late=timedelta(days=20)).awaitTermination()
+    return spark.read.parquet(stored).drop("batch_id").withColumn("slide", times.iso_text("slide"))
+
+
+STREAM_JOBS = with_tables(
+    JOBS,
+    JOB_FACTS,
+    """moments as (select unnest(generate_series((select time_bucket(interval 30 day, min(started_at), timestamp '1970-01-01') from facts) + interval 30 day,
+  (select max(greatest(started_at, coalesce(ended_at, started_at))) from facts) - interval 20 day, interval 30 day)) as slide)""",
+    """placed as (select slide, coalesce(identifier, 'unknown') as process, seconds, started_at >= slide - interval 90 day as recent,
+  case when state in ('accepted','running') then state when ended_at is not null and ended_at > slide then 'running'
+    when state in ('successful','failed') then state else 'other' end as state
+  from facts, moments where started_at <= slide)""",
+    "windowed as (select *, state in ('accepted','running') as active from placed)",
+    body=f"""select slide, process, active, requests, successful, failed, other, success_rate, measured, median_seconds, p95_seconds, max_seconds from (
+select {iso('slide')} as slide, process, count(case when active then 1 end) as active, {job_checks.REPORT_MEASURES.replace("'unmapped'", "'other'")}
+from windowed where recent or active group by 1, 2
+union all select {iso('slide')}, '(all)', count(case when active and recent then 1 end), {job_checks.REPORT_MEASURES.replace("'unmapped'", "'other'")}
+from windowed where recent or active group by 1)""",
 )
 
 
@@ -293,6 +334,7 @@ REGISTRY = {
     "stream_rejects": (stream_rejects, documents.XML_REJECTS),
     "stream_dedup": (stream_dedup, STREAM_DEDUP),
     "stream_daily": (stream_daily, STREAM_DAILY),
+    "stream_job_summary": (stream_job_summary, STREAM_JOBS),
     "stream_hourly_metrics": (stream_hourly_metrics, STREAM_METRICS),
     "stream_sliding_metrics": (stream_sliding_metrics, STREAM_SLIDING),
     "stream_missing_status": (stream_missing_status, STREAM_MISSING),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opsight.checks.sql_tables import WORKFLOWS, with_tables
 from opsight.functions import text, variants
 from opsight.operators import coverage as cover
+from opsight.operators import insights
 from opsight.operators import lineage as lines
 from opsight.sources import driver_tables as tables
 
@@ -158,21 +159,30 @@ ISLANDS = """islands as (
 select collection, string_agg(case when lo=hi then cast(lo as varchar) else concat(lo, '-', hi) end, ',' order by lo) as year_coverage
 from (select collection, min(y) as lo, max(y) as hi from (
   select collection, y, y - row_number() over (partition by collection order by y) as grp
-  from (select distinct collection, unnest(years) as y from facts)) group by collection, grp) group by collection)"""
+  from (select distinct collection, unnest(years) as y from facts)) group by collection, grp) group by collection),
+year_lists as (select collection, string_agg(cast(y as varchar), ',' order by y) as all_years from (select distinct collection, unnest(years) as y from facts) group by collection)"""
 SUMMARY = """select f.collection, count(*) as requests, count(case when outcome='successful' then 1 end) as successful,
-count(case when outcome='failed' then 1 end) as failed, any_value(year_coverage) as year_coverage
-from facts f join islands using (collection) group by f.collection"""
+count(case when outcome='failed' then 1 end) as failed, any_value(year_coverage) as year_coverage,
+concat('{', concat_ws(',', case when count(case when outcome='failed' then 1 end) > 0 then concat('"failed":', count(case when outcome='failed' then 1 end)) end,
+case when count(case when outcome='successful' then 1 end) > 0 then concat('"successful":', count(case when outcome='successful' then 1 end)) end), '}') as outcomes,
+any_value(all_years) as years
+from facts f join islands using (collection) join year_lists using (collection) group by f.collection"""
+
+
+def _as_text(rows):
+    years = F.concat_ws(",", F.col("years").cast("array<string>"))
+    return rows.withColumns({"outcomes": F.to_json("outcomes"), "years": years})
 
 
 def collection_summary(spark, sf):
-    return lines.collection_summary(_lineage(spark, sf))
+    return _as_text(lines.collection_summary(_lineage(spark, sf)))
 
 
 COLLECTION_SUMMARY = with_tables(WORKFLOWS, FACTS, ISLANDS, body=SUMMARY)
 
 
 def collections_sorted(spark, sf):
-    return lines.collections_sorted(lines.collection_summary(_lineage(spark, sf)), "failed")
+    return _as_text(lines.collections_sorted(lines.collection_summary(_lineage(spark, sf)), "failed"))
 
 
 COLLECTIONS_SORTED = with_tables(
@@ -203,13 +213,22 @@ select job_id, case when k%17=0 then 'unknown' else concat('c3s.ds', cast(user_i
 
 
 def collection_failures(spark, sf):
-    return lines.collection_failures(_lineage(spark, sf))
+    """Failure groups with their example jobs and the number of groups."""
+    asked = _lineage(spark, sf)
+    groups = lines.collection_failures(asked)
+    rows = insights.with_examples(groups, lines.FAILURE_KEYS, lines.collection_failure_rows(asked))
+    total = lines.failure_group_count(groups).first()[0]
+    return rows.drop("status_xml").withColumns(
+        {"example_jobs": F.array_join("example_jobs", ","), "groups": F.lit(total)}
+    )
 
 
 COLLECTION_FAILURES = with_tables(
     WORKFLOWS,
     FAILED,
-    body="""select collection, years, time_ranges, category, message, count(*) as count from failed group by all""",
+    """grouped as (select collection, years, time_ranges, category, message, count(*) as count, list_sort(list(distinct job_id)) as jobs
+  from failed group by all)""",
+    body="select * exclude (jobs), array_to_string(jobs[1:3], ',') as example_jobs, (select count(*) from grouped) as groups from grouped",
 )
 
 

@@ -86,7 +86,6 @@ SCHEMA_VERSION = 1
 STEP_OUTPUT = r"^[A-Za-z0-9_.-]+/output$"
 COMPONENT_YEARS = r"(?:^|\|)year:([^|]+)"
 YEAR = r"\b[12][0-9]{3}\b"
-MIN_YEAR, MAX_YEAR = 1000, 2999
 
 # -- identifiers and documents ----------------------------------------------------------
 UUID_PATTERN = (

@@ -64,6 +64,11 @@ def joined_fields(items: Column, names: tuple[str, ...]) -> Column:
     )
 
 
+def stripped(value: Column) -> Column:
+    """The text without blanks of any kind at its ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def failure_text(failures: Column, diagnostics: Column) -> Column:
     """Text a request's failure category is read from."""
     return F.concat_ws(

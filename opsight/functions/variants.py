@@ -34,10 +34,27 @@ def member_text(value: Column, name: str) -> Column:
 
 
 def _quoted_strings(value: Column) -> Column:
-    """All strings of a JSON value by their quotes, at any depth of lists."""
-    quoted = F.regexp_extract_all(
-        F.to_json(value), F.lit(r'("(?:[^"\\]|\\.)*")'), F.lit(1)
+    """All strings of a JSON list at any depth of lists, but none inside an object.
+
+    Quoted texts and braces are picked from the text; a string counts while no brace is
+    open. Member names stand inside braces, so they never count.
+    """
+    tokens = F.regexp_extract_all(
+        F.to_json(value), F.lit(r'"(?:[^"\\]|\\.)*"|[{}]'), F.lit(0)
     )
+    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        moved = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        counts = (moved == 0) & (state["open"] == 0)
+        return F.struct(
+            (state["open"] + moved).alias("open"),
+            F.when(counts, F.concat(state["found"], F.array(token)))
+            .otherwise(state["found"])
+            .alias("found"),
+        )
+
+    quoted = F.aggregate(tokens, start, step, lambda state: state["found"])
     return F.from_json(
         F.concat(F.lit("["), F.concat_ws(",", quoted), F.lit("]")), "array<string>"
     )
@@ -46,8 +63,8 @@ def _quoted_strings(value: Column) -> Column:
 def string_values(value: Column, depth: int = NESTED_LISTS) -> Column:
     """Strings of a value: itself, or those in a list and its inner lists.
 
-    Lists nested deeper than ``depth`` are read by their quotes, so no string is
-    lost however deep it is.
+    Lists nested deeper than ``depth`` are read from their text by the same rule, so
+    the depth only decides how a string is found, not which.
     """
     nothing = F.array().cast("array<string>")
 

@@ -131,7 +131,7 @@ def coverage_items(requests: DataFrame) -> DataFrame:
             "kind",
             F.when(F.col("complex_text").isNull(), "plain")
             .when(F.col("payload").isNull(), "malformed")
-            .when(~F.ltrim("complex_text").startswith("{"), "plain")
+            .when(~F.col("complex_text").rlike(r"^\s*\{"), "plain")
             .when(
                 F.try_variant_get("payload", "$.inputs", "map<string,variant>").isNotNull()
                 & F.try_variant_get("payload", "$.steps", "map<string,variant>").isNotNull(),

@@ -19,16 +19,21 @@ def daily_statistics(events: DataFrame) -> DataFrame:
     """The fifteen statistics of each day and service.
 
     ``events`` are deduplicated request and operation events with ``event_time``.
-    Undated events are left out. Negative durations count here.
+    Undated events are left out. Negative durations count here. A failure's category is
+    read from all values of its failures and diagnostics (``all_values``, where the
+    events have it), whatever the members are called.
     """
     failures, diagnostics = F.col("failures"), F.col("diagnostics")
+    whole = text.failure_text(failures, diagnostics)
+    if "all_values" in events.columns:
+        whole = F.coalesce("all_values", whole)
     dated = events.where("event_time is not null").withColumn(
         "date", F.to_date("event_time")
     )
     read = computed(
         dated,
         message_text=F.when(
-            F.col("outcome") == "failed", text.failure_text(failures, diagnostics)
+            F.col("outcome") == "failed", whole
         ),
     )
     request = F.col("record_type") == "request"
@@ -122,6 +127,21 @@ def read_daily(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*fixed.DAILY_COLUMNS)
 
 
+def trim(spark: SparkSession, path: str, today: date, keep_days: int) -> None:
+    """Remove the stored days that :func:`retained` would leave out."""
+    if keep_days < 0:
+        raise ValueError("keep_days must not be negative")
+    if keep_days == 0:
+        return
+    first = today - timedelta(days=keep_days - 1)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/service=*/date=*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(pattern) or []:
+        folder = status.getPath()
+        if date.fromisoformat(folder.getName().removeprefix("date=")) < first:
+            files.delete(folder, True)
+
+
 def retained(rows: DataFrame, today: date, keep_days: int) -> DataFrame:
     """Rows of the last ``keep_days`` calendar days; 0 keeps all."""
     if keep_days < 0:

@@ -164,7 +164,42 @@ def window_job_report(
     jobs of any age per process, and those of the window in the ``(all)`` row. A
     process without a request in the window or an open job has no row.
     """
-    marked = with_window(facts, now, window).where("in_window or is_active")
+    return _activity(with_window(facts, now, window), []).orderBy(
+        F.col("requests").desc(), "process"
+    )
+
+
+def moving_job_reports(
+    facts: DataFrame, slides: Column, window: timedelta
+) -> DataFrame:
+    """The window report of several instants, ``slide``, each as of that instant.
+
+    ``slides`` is an array of instants in order; a job is copied to those at which it is open
+    or inside the window, and has there the state that it had then.
+    """
+    micros = int(window.total_seconds() * 1_000_000)
+    start, end = F.col("started_at"), F.col("ended_at")
+    done = ~F.col("state").isin("accepted", "running")
+
+    def counts(slide: Column) -> Column:
+        inside = F.unix_micros(slide) - F.unix_micros(start) <= micros
+        was_open = ~done | F.coalesce(end > slide, F.lit(False))
+        return (start <= slide) & (inside | was_open)
+
+    placed = facts.select("*", F.explode(F.filter(slides, counts)).alias("slide"))
+    was_open = done & F.coalesce(end > F.col("slide"), F.lit(False))
+    marked = placed.withColumns(
+        {
+            "in_window": F.unix_micros("slide") - F.unix_micros("started_at") <= micros,
+            "state": F.when(was_open, "running").otherwise(F.col("state")),
+        }
+    ).withColumn("is_active", F.col("state").isin("accepted", "running"))
+    return _activity(marked, ["slide"])
+
+
+def _activity(marked: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the window report, for each value of ``by``."""
+    marked = marked.where("in_window or is_active")
     recent = F.col("in_window")
 
     def in_window(condition: Column) -> Column:
@@ -181,54 +216,50 @@ def window_job_report(
         in_window(F.col("is_active")).alias("active_in_window"),
         F.count_if("is_active").alias("active_any_age"),
     ]
-    counts = marked.groupBy("process").agg(*measures)
+    counts = marked.groupBy(*by, "process").agg(*measures)
+    totals = [
+        F.coalesce(F.sum(name), F.lit(0)).alias(name)
+        for name in counts.columns
+        if name not in ("process", *by)
+    ]
     counts = counts.unionByName(
-        counts.agg(
-            F.lit(ALL).alias("process"),
-            *[
-                F.coalesce(F.sum(name), F.lit(0)).alias(name)
-                for name in counts.columns
-                if name != "process"
-            ],
-        )
+        counts.groupBy(*by).agg(*totals).withColumn("process", F.lit(ALL))
     )
     finished = marked.where("in_window and not is_active").groupBy(
-        "process", "seconds"
+        *by, "process", "seconds"
     ).agg(F.count(F.lit(1)).alias("n"))
     durations = order_statistics(
         finished.select(
+            *by,
             F.explode(F.array(F.lit(ALL), F.col("process"))).alias("process"),
             "seconds",
             "n",
         ),
-        ["process"],
+        [*by, "process"],
         "seconds",
         p95="ceiling",
         weight="n",
     )
     final = F.col("successful") + F.col("failed")
-    return (
-        counts.join(
-            durations.select("process", "count", "median", "p95", "maximum"),
-            "process",
-            "left",
-        )
-        .select(
-            "process",
-            "requests",
-            "successful",
-            "failed",
-            F.when(F.col("process") == ALL, F.col("active_in_window"))
-            .otherwise(F.col("active_any_age"))
-            .alias("active"),
-            "other",
-            success_share(F.col("successful"), final, 2).alias("success_rate"),
-            F.coalesce("count", F.lit(0)).alias("measured"),
-            F.col("median").alias("median_seconds"),
-            F.col("p95").alias("p95_seconds"),
-            F.col("maximum").alias("max_seconds"),
-        )
-        .orderBy(F.col("requests").desc(), "process")
+    return counts.join(
+        durations.select(*by, "process", "count", "median", "p95", "maximum"),
+        [*by, "process"],
+        "left",
+    ).select(
+        *by,
+        "process",
+        "requests",
+        "successful",
+        "failed",
+        F.when(F.col("process") == ALL, F.col("active_in_window"))
+        .otherwise(F.col("active_any_age"))
+        .alias("active"),
+        "other",
+        success_share(F.col("successful"), final, 2).alias("success_rate"),
+        F.coalesce("count", F.lit(0)).alias("measured"),
+        F.col("median").alias("median_seconds"),
+        F.col("p95").alias("p95_seconds"),
+        F.col("maximum").alias("max_seconds"),
     )
 
 

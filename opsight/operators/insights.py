@@ -170,14 +170,14 @@ def failure_items(requests: DataFrame) -> DataFrame:
     )
     from_diagnostics = F.transform(
         F.filter(
-            "diagnostics", lambda item: F.trim(blank(item["message"])) != ""
+            "diagnostics", lambda item: text.stripped(blank(item["message"])) != ""
         ),
         lambda item: F.struct(
             F.lit("diagnostic").alias("code"),
             F.coalesce(F.nullif(item["source"], F.lit("")), F.lit("runtime")).alias(
                 "locator"
             ),
-            F.trim(item["message"]).alias("text"),
+            text.stripped(item["message"]).alias("text"),
         ),
     )
     nothing = F.expr("cast(array() as array<struct<code:string,locator:string,text:string>>)")
@@ -233,6 +233,47 @@ def example_jobs(
     ).select(*groups, "rank", "job_id", "documents")
 
 
+ARCHIVED = "array<struct<kind:string,path:string>>"
+
+
+def with_examples(
+    rows: DataFrame,
+    groups: list[str],
+    jobs: DataFrame,
+    incidents: DataFrame | None = None,
+    limit: int = fixed.EXAMPLE_JOBS,
+) -> DataFrame:
+    """Report rows with ``example_jobs`` and, for those archived, ``status_xml``.
+
+    ``rows`` are the few groups that are reported; ``jobs`` has one row for each failure.
+    ``status_xml`` gives kind and path of every archived document by job. Only the chosen
+    jobs are joined with the archive for that.
+    """
+    keys = rows.select(*groups).distinct()
+    chosen = example_jobs(jobs.join(keys, groups, "left_semi"), groups, incidents, limit)
+    if incidents is None:
+        listed = chosen.withColumn("archived", F.lit(None).cast(ARCHIVED))
+    else:
+        wanted = chosen.where("documents > 0").select(F.lower("job_id").alias("archived_id")).distinct()
+        documents = (
+            incidents.join(wanted, incidents["job_id"] == wanted["archived_id"])
+            .groupBy("archived_id")
+            .agg(F.array_sort(F.collect_list(F.struct("kind", "path"))).alias("archived"))
+        )
+        listed = chosen.join(documents, F.lower("job_id") == F.col("archived_id"), "left")
+    examples = listed.groupBy(*groups).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "job_id", "archived"))).alias("examples")
+    )
+    with_documents = F.filter("examples", lambda e: e["archived"].isNotNull())
+    return rows.join(examples, groups, "left").select(
+        *rows.columns,
+        F.transform("examples", lambda e: e["job_id"]).alias("example_jobs"),
+        F.map_from_entries(
+            F.transform(with_documents, lambda e: F.struct(e["job_id"], e["archived"]))
+        ).alias("status_xml"),
+    )
+
+
 def failure_examples(
     requests: DataFrame, incidents: DataFrame, limit: int = fixed.EXAMPLE_JOBS
 ) -> DataFrame:

@@ -60,7 +60,7 @@ def workflow_payloads(inputs: Column) -> Column:
         given, lambda item: variants.as_text(F.try_variant_get(item, "$.value", "variant"))
     )
     documents = F.transform(
-        F.filter(texts, lambda body: F.ltrim(body).startswith("{")), F.try_parse_json
+        F.filter(texts, lambda body: body.rlike(r"^\s*\{")), F.try_parse_json
     )
     return F.coalesce(
         F.filter(documents, lambda document: document.isNotNull()),
@@ -202,11 +202,12 @@ def lineage_availability(lineage: DataFrame) -> DataFrame:
 
 
 def collection_summary(lineage: DataFrame) -> DataFrame:
-    """Requests, outcomes and year coverage of each collection, in one pass.
+    """Requests, all outcomes and years of each collection, in one pass.
 
     Requests are first counted per collection, outcome and set of years; each count is
     then credited to the first year of its set. A year has four digits: the set of a
     collection cannot outgrow 2 000 numbers, and it is built on the map side first.
+    ``outcomes`` counts every outcome that occurs, by name.
     """
     asked = (
         exploded_lineage(lineage, named_outcome().alias("outcome"))
@@ -217,16 +218,26 @@ def collection_summary(lineage: DataFrame) -> DataFrame:
         )
     )
     once = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n"))
+    by_outcome = asked.groupBy("collection", "outcome").agg(
+        F.sum(once).alias("n"), F.collect_set("year").alias("years")
+    )
 
     def requests_with(outcome: str) -> Column:
-        counted = F.sum(F.when(F.col("outcome") == outcome, once))
+        counted = F.sum(F.when(F.col("outcome") == outcome, F.col("n")))
         return F.coalesce(counted, F.lit(0)).alias(outcome)
 
-    return asked.groupBy("collection").agg(
-        F.sum(once).alias("requests"),
-        requests_with("successful"),
-        requests_with("failed"),
-        text.compact_years(F.sort_array(F.collect_set("year"))).alias("year_coverage"),
+    named = F.array_sort(F.collect_list(F.struct("outcome", "n")))
+    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list("years"))))
+    return (
+        by_outcome.groupBy("collection")
+        .agg(
+            F.sum("n").alias("requests"),
+            requests_with("successful"),
+            requests_with("failed"),
+            F.map_from_entries(named).alias("outcomes"),
+            years.alias("years"),
+        )
+        .withColumn("year_coverage", text.compact_years(F.col("years")))
     )
 
 
@@ -285,6 +296,11 @@ def collection_failures(lineage: DataFrame) -> DataFrame:
     )
 
 
+def failure_group_count(groups: DataFrame) -> DataFrame:
+    """How many failure groups there are, whatever part of them is reported."""
+    return groups.agg(F.count(F.lit(1)).alias("failure_group_count"))
+
+
 def failure_order() -> list[Column]:
     """Order of failure groups inside a category of the report."""
     return [

@@ -52,13 +52,8 @@ def insights_report(
         "outcomes": insights.process_outcomes(requests),
         "durations": insights.duration_summary(requests),
         "failure_categories": insights.failure_categories(requests),
-        "failure_messages": messages,
-        "failure_examples": insights.example_jobs(
-            insights.failure_items(requests).join(
-                messages.select(*insights.DETAIL_KEYS), insights.DETAIL_KEYS, "left_semi"
-            ),
-            insights.DETAIL_KEYS,
-            incidents,
+        "failure_messages": insights.with_examples(
+            messages, insights.DETAIL_KEYS, insights.failure_items(requests), incidents
         ),
         "coverage": coverage.coverage(values),
         "coverage_values": coverage.coverage_top(values, top),
@@ -67,9 +62,13 @@ def insights_report(
             lineage.collection_summary(asked), sort_by
         ),
         "collection_ranges": lineage.collection_ranges(asked, top),
-        "collection_failures": insights.interleaved(
-            groups, ranked, lineage.failure_order(), top
-        ),
+        "failure_group_count": lineage.failure_group_count(groups),
+        "collection_failures": insights.with_examples(
+            insights.interleaved(groups, ranked, lineage.failure_order(), top),
+            lineage.FAILURE_KEYS,
+            lineage.collection_failure_rows(asked),
+            incidents,
+        ).orderBy("rank", "category_order"),
         "operations": insights.operation_summary(operations),
         "recent_operations": insights.recent_operations(operations, top),
     }

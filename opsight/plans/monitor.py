@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -82,5 +83,7 @@ def recent_mix(
     earliest = times.wall_clock(now - window - MAX_WRITER_OFFSET)
     latest = times.wall_clock(now + MAX_WRITER_OFFSET)
     near = jobs.where((F.col("time_start") >= earliest) & (F.col("time_start") <= latest))
-    facts = dbreport.job_facts(job_columns.with_utc_times(near, local_tz), codes)
+    # Monitoring knows no dismissed jobs: their code counts as unmapped.
+    known = replace(codes, dismissed=None)
+    facts = dbreport.job_facts(job_columns.with_utc_times(near, local_tz), known)
     return dbreport.recent_status_mix(facts, now, window)

@@ -12,17 +12,25 @@ from opsight.sources import events as event_source
 
 
 def update_statistics(
-    spark: SparkSession, paths: str | list[str], table: str, service: str
+    spark: SparkSession,
+    paths: str | list[str],
+    table: str,
+    service: str,
+    *,
+    keep_days: int = 0,
+    today: date | None = None,
 ) -> DataFrame:
     """Replace the days the logs cover and return the rejected lines.
 
-    Days that only the table still knows are left as they are.
+    Days that only the table still knows are left as they are; with ``keep_days`` the
+    stored table is cut down to that many calendar days up to ``today``.
     """
     lines = event_source.read_event_lines(spark, paths)
     events = dedup.dedup_by_content(
         event_source.parse_events(lines), event_source.READ_ORDER
     )
     daily.write_daily(daily.daily_statistics(daily.for_service(events, service)), table)
+    daily.trim(spark, table, today or date.today(), keep_days)
     return event_source.event_rejects(lines).where("reason = 'invalid-json'")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +13,27 @@ from opsight.functions.derive import computed
 
 FAILURE = "struct<code:string,locator:string,message:string>"
 DIAGNOSTIC = "struct<source:string,message:string>"
-# Reading order of a record: file, block of the file, line inside the block.
-READ_ORDER = ["file_path", "block_start", "line_id"]
+# Reading order of a record: given path, file, block of the file, line inside the block.
+READ_ORDER = ["path_rank", "file_path", "block_start", "line_id"]
 
 
 def read_event_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Non-blank lines, their parsed value ``v`` and the place they come from."""
-    lines = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
-    )
+    """Non-blank lines, their parsed value ``v`` and the place they come from.
+
+    Several paths are read in the order they are given in, the files of one by name.
+    """
+    given = [paths] if isinstance(paths, str) else paths
+    parts = [
+        spark.read.text(path).select(
+            "value",
+            F.lit(rank).alias("path_rank"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("line_id"),
+        )
+        for rank, path in enumerate(given)
+    ]
+    lines = reduce(DataFrame.unionByName, parts)
     return parsed_lines(lines.where(F.col("value").rlike(r"\S")))
 
 
@@ -62,6 +73,19 @@ def _structs(name: str, kind: str) -> Column:
     )
 
 
+def _every_value(name: str) -> Column:
+    """All values of the objects in a list, in the order written, blanks for empty ones.
+
+    Read from the line itself: a parsed value has its members in order of their names.
+    """
+    items = F.from_json(F.get_json_object("value", f"$.{name}"), "array<string>")
+    objects = F.filter(items, lambda item: F.ltrim(item).startswith("{"))
+    values = F.transform(
+        objects, lambda item: F.map_values(F.from_json(item, "map<string,string>"))
+    )
+    return F.transform(F.flatten(values), lambda value: F.coalesce(value, F.lit("")))
+
+
 def parse_events(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     """Typed request and operation events of the valid lines.
 
@@ -99,6 +123,7 @@ def parse_events(lines: DataFrame, tz: str = "UTC") -> DataFrame:
             _structs("failures", FAILURE).alias("failures"),
             _structs("diagnostics", DIAGNOSTIC).alias("diagnostics"),
             F.try_variant_get("v", "$.inputs", "variant").alias("inputs"),
+            F.concat_ws(" ", _every_value("failures"), _every_value("diagnostics")).alias("all_values"),
         )
         .transform(with_event_time, tz)
     )

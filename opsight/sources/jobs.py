@@ -24,16 +24,17 @@ def read_job_table(
     """The job table from Parquet, or over JDBC split by ``predicates``.
 
     ``predicates`` are ranges of ``time_start`` that together cover the table, so
-    that executors read it side by side.
+    that executors read it side by side; without them one task would read it all, so
+    they must be given.
     """
     if path is not None:
         return spark.read.parquet(path)
     reader = spark.read
     options = dict(jdbc or {})
     url, table = options.pop("url"), options.pop("dbtable")
-    if predicates:
-        return reader.jdbc(url, table, predicates=predicates, properties=options)
-    return reader.options(**options).jdbc(url, table)
+    if not predicates:
+        raise ValueError("reading over JDBC needs predicates that split the table")
+    return reader.jdbc(url, table, predicates=predicates, properties=options)
 
 
 def range_candidates(period: TimeRange) -> Column:

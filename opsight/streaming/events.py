@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from opsight.operators import daily
 from opsight.operators.dedup import dedup_by_content
@@ -84,47 +87,67 @@ def daily_statistics(
 ) -> StreamingQuery:
     """Keep the daily table up to date as events arrive, late ones included.
 
-    New events are added to a detail table by day, leaving out copies of stored ones.
-    The days they fall on are worked out again from that table and replaced. Events
-    older than the retained detail are ignored, so older days stay as they are.
+    The detail of each retained date lies in one folder that a batch with rows of that
+    date writes anew (``detail_path/date=/version=``). A batch opens the dates of its own
+    rows, and of the others only the narrow columns that tell a copy of a stored event. The
+    days of its rows are worked out again and replaced. Dates that have left the retention
+    are removed, and of the versions of a date the present one and the one before stay, from
+    which a batch that is run again starts. Events that come when their date is no longer
+    retained are stored beside it (``detail_path-late``); older days stay as they are.
     """
+    root = detail_path.rstrip("/")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        dated = (
-            batch.where("event_time is not null")
-            .withColumn("date", F.to_date("event_time"))
-            .transform(dedup_by_content, order)
-        )
-        earlier = tables.earlier_batches(spark, detail_path, batch_id, dated)
-        newest = (
-            dated.select("date")
-            .unionByName(earlier.select("date"))
-            .agg(F.max("date"))
-            .first()[0]
-        )
-        if newest is None:
-            return
-        fresh = dated.where(
-            F.date_diff(F.lit(newest), F.col("date")) < retention_days
-        ).transform(_without_known, earlier)
-        tables.write_batch(fresh, detail_path, batch_id, "date")
-        if not tables.has_rows(spark, detail_path):
-            return
-        detail = spark.read.schema(f"{_ddl(fresh)}, {tables.BATCH} int").parquet(
-            detail_path
-        )
-        days = detail.where(F.col(tables.BATCH) == batch_id).select("date").distinct()
-        affected = detail.where(F.col(tables.BATCH) <= batch_id).join(
-            days, "date", "left_semi"
-        )
-        daily.write_daily(daily.daily_statistics(affected.drop("date")), daily_path)
+        working = scratch_path(spark, "dated-events")
+        dated = batch.where("event_time is not null").withColumn("date", F.to_date("event_time"))
+        dated.transform(dedup_by_content, order).write.parquet(working)
+        rows = spark.read.schema(dated.schema).parquet(working)
+        versions = tables.versions(spark, root, before=batch_id)
+        newest = max([*versions, *(row["date"] for row in rows.agg(F.max("date").alias("date")).collect() if row["date"])], default=None)
+        if newest is not None:
+            first = newest - timedelta(days=retention_days - 1)
+            late = F.col("date") < F.lit(first)
+            tables.write_batch(rows.where(late), f"{root}-late", batch_id)
+            retained = {day: path for day, path in versions.items() if day >= first}
+            fresh = _stored_beside(rows.where(~late), retained, working)
+            days = [row["date"] for row in fresh.select("date").distinct().collect()]
+            if days:
+                whole = fresh.unionByName(_of_dates(fresh, retained, days))
+                (
+                    whole.withColumn(tables.VERSION, F.lit(batch_id))
+                    .repartition("date")
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("date", tables.VERSION)
+                    .parquet(root)
+                )
+                present = tables.versions(spark, root, before=batch_id + 1)
+                affected = _of_dates(fresh, present, days)
+                daily.write_daily(daily.daily_statistics(affected.drop("date")), daily_path)
+            tables.remove_versions(spark, root, first, keep=versions, batch_id=batch_id)
+        tables.delete(spark, working)
+        tables.delete(spark, f"{working}-fresh")
 
     return tables.run(events, store, checkpoint, **trigger)
 
 
-def _ddl(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+def _of_dates(like: DataFrame, paths: dict, days: list) -> DataFrame:
+    """The stored rows of some dates, with the columns of ``like``."""
+    spark = like.sparkSession
+    chosen = [paths[day] for day in days if day in paths]
+    if not chosen:
+        return like.where("false")
+    schema = StructType([field for field in like.schema if field.name != "date"])
+    stored = spark.read.schema(schema).parquet(*chosen)
+    return stored.withColumn("date", F.to_date("event_time")).select(*like.columns)
+
+
+def _stored_beside(rows: DataFrame, paths: dict, working: str) -> DataFrame:
+    """The rows that no stored date has a copy of, as a working table."""
+    fresh = _without_known(rows, _of_dates(rows, paths, list(paths)))
+    fresh.write.parquet(f"{working}-fresh")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{working}-fresh")
 
 
 def _without_known(rows: DataFrame, earlier: DataFrame) -> DataFrame:

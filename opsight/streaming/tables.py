@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,37 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+VERSION = "version"
+
+
+def _dated_versions(spark: SparkSession, path: str) -> list[tuple[date, int, str]]:
+    """Date, version and folder of everything stored in ``path/date=/version=``."""
+    found = []
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date=*/{VERSION}=*")
+    for status in target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []:
+        folder = status.getPath()
+        day = folder.getParent().getName().removeprefix("date=")
+        version = int(folder.getName().removeprefix(f"{VERSION}="))
+        found.append((date.fromisoformat(day), version, folder.toString()))
+    return found
+
+
+def versions(spark: SparkSession, path: str, before: int) -> dict[date, str]:
+    """The folder of each stored date's last version before a batch."""
+    last: dict[date, tuple[int, str]] = {}
+    for day, version, folder in _dated_versions(spark, path):
+        if version < before:
+            last[day] = max(last.get(day, (version, folder)), (version, folder))
+    return {day: folder for day, (_, folder) in last.items()}
+
+
+def remove_versions(spark: SparkSession, path: str, first: date, keep: dict[date, str], batch_id: int) -> None:
+    """Remove dates before ``first`` and versions that a batch run again wouldn't read."""
+    for day, version, folder in _dated_versions(spark, path):
+        if day < first or (version < batch_id and keep.get(day) != folder):
+            delete(spark, folder)
+
+
 def earlier_batches(
     spark: SparkSession, path: str, batch_id: int, like: DataFrame
 ) -> DataFrame:

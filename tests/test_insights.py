@@ -62,6 +62,33 @@ def test_gzip_rotation_and_rejects(spark, tmp_path):
     assert as_map(reasons, "reason", "count") == {"invalid-json": 1, "not-an-object": 2}
 
 
+def test_given_paths_are_read_in_order(spark, tmp_path):
+    for name, outcome in (("b.log", "successful"), ("a.log", "failed")):
+        (tmp_path / name).write_text(json.dumps(request("1", outcome)) + "\n")
+    for names, outcome in ((("b.log", "a.log"), "successful"), (("a.log", "b.log"), "failed")):
+        lines = source.read_event_lines(spark, [str(tmp_path / name) for name in names])
+        unique = dedup.dedup_requests(source.parse_events(lines), source.READ_ORDER)
+        assert [r["outcome"] for r in unique.collect()] == [outcome]
+
+
+def test_strings_of_lists_at_any_depth(spark):
+    from opsight.functions import variants
+
+    cases = {"\"a\"": ["a"], '["a",["b",[["c",[["d\\"}",{"e":"f"},["g"]]]]]]]': ["a", "b", "c", 'd"}', "g"], '[[[[{"a":["b"]}]]]]': [], '{"a":"b"}': [], "[1,null,[true]]": []}
+    rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", variants.string_values(F.try_parse_json("j")).alias("s"))
+    assert {r["j"]: r["s"] for r in rows.collect()} == cases
+
+
+def test_report_rows_carry_examples_and_their_documents(spark):
+    events = events_of(spark, [request(f"Job-{n}", "failed", "same") for n in "dcba"] + [request("z", "failed", "other")])
+    incidents = spark.createDataFrame([("job-d", "error", "/x"), ("job-d", "recovered", "/y"), ("job-q", "error", "/z")], "job_id string, kind string, path string")
+    rows = insights.with_examples(insights.failure_messages(events), insights.DETAIL_KEYS, insights.failure_items(events), incidents)
+    found = {r["text"]: r for r in rows.collect()}
+    assert found["same"]["example_jobs"] == ["Job-d", "Job-a", "Job-b"]
+    assert {job: [tuple(d) for d in docs] for job, docs in found["same"]["status_xml"].items()} == {"Job-d": [("error", "/x"), ("recovered", "/y")]}
+    assert found["other"]["example_jobs"] == ["z"] and found["other"]["status_xml"] == {}
+
+
 def test_content_dedup_of_operations(spark):
     twice = operation("job-recovered", "1")
     events = events_of(spark, [twice, twice, operation("job-recovered", "1", recorded_at="2026-08-19T12:06:00Z"), request("1"), request("1", service="emu"), request("1", outcome="failed")])
@@ -126,7 +153,7 @@ def test_operation_counts_and_newest_first(spark):
     assert recent[0]["job_id"] == "3" and recent[-1]["event"] == "undated"
 
 
-COLLECTION = "c3s-cordex.output.EUR-11.example.day.tas"
+SEA = "ocean.archive.monthly.sst"
 
 
 def lineage_of(spark, *items):
@@ -134,18 +161,26 @@ def lineage_of(spark, *items):
 
 
 def test_workflow_collections_and_years(spark):
+    """Three requests for one collection, one whose document cannot be read."""
+
+    def asked(name, **given):
+        return {"inputs": {name: [SEA]}, "steps": {"cut": {"run": "subset", "in": {"collection": f"inputs/{name}", **given}}}}
+
     found = lineage_of(
         spark,
-        workflow({"inputs": {"tas": [COLLECTION]}, "steps": {"s": {"run": "subset", "in": {"collection": "inputs/tas", "time": "2060/2070"}}}}),
-        workflow({"inputs": {"pr": [COLLECTION]}, "steps": {"s": {"run": "subset", "in": {"collection": "inputs/pr", "time": "2056/2070", "time_components": "month:jan|year:2056,2058,2070"}}}}, "2", outcome="failed"),
-        workflow('{"inputs": [truncated]', "3"),
+        workflow(asked("sst", time="1991/1993"), "a"),
+        workflow("\n\t" + json.dumps(asked("warm", time="1990/1999", time_components="month:feb|year:1990,1992,1999")), "b", outcome="failed"),
+        workflow('{"inputs": [cut', "c"),
+        workflow(asked("sst", time="1993"), "d", outcome="dismissed"),
     )
-    assert [r["has_lineage"] for r in found.orderBy("job_id").collect()] == [True, True, False]
+    assert [r["has_lineage"] for r in found.orderBy("job_id").collect()] == [True, True, False, True]
     row = lineage.collection_summary(found).first()
-    assert (row["requests"], row["successful"], row["failed"]) == (2, 1, 1)
-    assert row["year_coverage"] == "2056,2058,2060-2070"
+    assert (row["requests"], row["successful"], row["failed"]) == (3, 1, 1)
+    assert row["outcomes"] == {"successful": 1, "failed": 1, "dismissed": 1}
+    assert row["years"] == [1990, 1991, 1992, 1993, 1999] and row["year_coverage"] == "1990-1993,1999"
     failure = lineage.collection_failures(found).first()
-    assert (failure["years"], failure["time_ranges"]) == ("2056,2058,2070", "2056/2070")
+    assert (failure["years"], failure["time_ranges"]) == ("1990,1992,1999", "1990/1999")
+    assert lineage.failure_group_count(lineage.collection_failures(found)).first()[0] == 1
 
 
 def test_derived_and_unreferenced_steps(spark):

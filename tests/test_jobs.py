@@ -73,6 +73,39 @@ def test_statistics_job_keeps_days_the_logs_no_longer_cover(spark, tmp_path):
     days = {str(r["date"]): r["requests"] for r in report["recent_days"].collect()}
     assert days == {"2026-08-01": 1, "2026-08-19": 2}
     assert report["totals"].first()["requests"] == 3
+    statistics.update_statistics(spark, str(log), table, "rook", keep_days=2, today=date(2026, 8, 20))
+    assert [str(r["date"]) for r in daily.read_daily(spark, table).collect()] == ["2026-08-19"]
+
+
+def test_statistics_read_every_value_of_a_failure(spark):
+    odd = request("1", "failed", failures=[{"hint": "ran out of memory", "n": 3}, "noise", {"message": None}])
+    noted = request("2", "failed", failures=[{"code": "x"}], diagnostics=[{"where": {"step": "timed out"}}])
+    row = daily.daily_statistics(events_of(spark, [odd, noted, request("3", "failed", "plain")])).first()
+    assert (row["failed"], row["memory_failures"], row["timeout_failures"]) == (3, 1, 1)
+
+
+def test_jdbc_needs_predicates(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        job_source.read_job_table(spark, jdbc={"url": "jdbc:x", "dbtable": "t"})
+
+
+def test_monitoring_run(spark):
+    """All layers of one run; the recent jobs are counted with dismissed ones unmapped."""
+    from opsight.plans import monitor
+
+    table = job_table(spark, (job_id(1), "p", 1, "2026-08-12 07:00:00"), ("x", "p", 5, "2026-08-12 08:00:00"), ("y", "p", 3, "2026-08-12 08:00:00", "2026-08-12 08:01:00"), ("old", "p", 3, "2026-08-01 08:00:00"))
+    docs = documents(spark, (job_id(1), "2026-08-12T08:00:00", status_xml(STARTED, created="2026-08-12T08:00:00Z")), (job_id(2), "2026-08-12T08:00:00", status_xml()))
+    lines = spark.createDataFrame([access(NOW + timedelta(minutes=m), path=f"/o/{job_id(3)}.xml") for m in (-150, -90, -5)], "value string")
+    report = monitor.monitor(spark, documents=docs, jobs=table, access_lines=lines, job_dumps=spark.createDataFrame([], DUMPS), error_outputs=spark.createDataFrame([], "directory string, error_output binary"), output_path="/o", now=NOW, stored=scratch_path(spark, "run"), codes=CODES)
+    mix = report["status_mix"].first()
+    assert (mix["total"], mix["running"], mix["successful"], mix["unmapped"], mix["dismissed"]) == (3, 1, 1, 1, 0)
+    assert {tuple(r) for r in report["summary"].collect()} == {("xml", 2, 1, 0, 0), ("database", 3, 1, 0, 0), ("polling", 1, 1, 0, 0)}
+    assert report["result"].first()["result"] == "attention required"
+    actions = {(r["layer"], r["job_id"]): r["action"] for r in report["plan"].collect()}
+    assert actions == {("xml", job_id(1)): "error", ("database", job_id(1)): "blocked", ("polling", job_id(3)): "recover"}
+    assert report["recovery_result"].first()["result"] == "completed with 1 error"
 
 
 def test_range_report(spark):

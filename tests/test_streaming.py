@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import events_of, operation, request
@@ -9,6 +10,15 @@ from opsight.session import scratch_path
 from opsight.sources import queue as queue_source
 from opsight.streaming import events, findings, hosts, tables
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every batch opens a state store for each partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 EVENT_SCHEMA = "record_type string, service string, job_id string, outcome string, event string, level string, message string, recorded_at string, duration_seconds double, failures array<struct<code:string,locator:string,message:string>>, diagnostics array<struct<source:string,message:string>>, event_time timestamp, line_id long"
 
 
@@ -45,11 +55,58 @@ def test_late_events_rewrite_their_day_and_copies_do_not_count(spark):
         events.daily_statistics(feed.stream(), detail, table, checkpoint, order=["line_id"]).awaitTermination()
     found = {str(r["date"]): (r["requests"], r["recovered_jobs"]) for r in daily.read_daily(spark, table).collect()}
     assert found == {"2026-08-18": (2, 0), "2026-08-19": (2, 1), "2026-08-20": (1, 0)}
+    # What came too late is kept beside the detail, and a date has two versions at most.
+    assert [r["job_id"] for r in spark.read.parquet(f"{detail}-late").collect()] == ["6"]
+    folders = [f for _, _, f in tables._dated_versions(spark, detail)]
+    assert len(folders) == 3 and {str(d) for d, _, _ in tables._dated_versions(spark, detail)} == {"2026-08-18", "2026-08-19", "2026-08-20"}
     kept = [record for batch in batches[:2] for record in batch]
     batch_rows = daily.daily_statistics(dedup.dedup_by_content(events_of(spark, kept), ["line_id"]))
     assert {str(r["date"]): (r["requests"], r["recovered_jobs"]) for r in batch_rows.collect()} == found
 
 
+def test_dates_that_left_the_retention_are_removed(spark):
+    feed = Feed(spark, EVENT_SCHEMA)
+    detail, table, checkpoint = (scratch_path(spark, name) for name in ("detail", "daily", "checkpoint"))
+    for day in ("01", "02", "02", "05", "02"):
+        feed.add(columns(events_of(spark, [request(f"{day}-{len(list(tables._dated_versions(spark, detail)))}", finished_at=f"2026-08-{day}T01:00:00Z")])))
+        events.daily_statistics(feed.stream(), detail, table, checkpoint, order=["line_id"], retention_days=3).awaitTermination()
+    assert {str(d) for d, _, _ in tables._dated_versions(spark, detail)} == {"2026-08-05"}
+    assert {str(r["date"]): r["requests"] for r in daily.read_daily(spark, table).collect()} == {"2026-08-01": 1, "2026-08-02": 2, "2026-08-05": 1}
+    assert spark.read.parquet(f"{detail}-late").count() == 1
+
+
+def test_moving_summary_equals_the_batch_report_of_each_slide(spark):
+    from opsight.operators import dbreport
+    from opsight.streaming.jobs import moving_job_summary
+
+    schema = "uuid string, process string, state string, seconds double, started_at timestamp, ended_at timestamp, event_time timestamp"
+    feed = Feed(spark, schema)
+    path, checkpoint = scratch_path(spark, "moving"), scratch_path(spark, "checkpoint")
+
+    def job(name, state, start, end=None):
+        begin, finish = START + timedelta(minutes=start), None if end is None else START + timedelta(minutes=end)
+        return (name, name[0], state, None if end is None else (end - start) * 60.0, begin, finish, finish or begin)
+
+    opened = [job("a1", "running", 1), job("a2", "accepted", 2), job("b1", "running", 40), job("b2", "running", 90)]
+    ended = [job("a1", "successful", 1, 70), job("b1", "failed", 40, 41), job("b2", "successful", 90, 100)]
+    clock = job("c1", "running", 200)
+    # An end before its start, and versions up to sixty minutes late.
+    for part in ([ended[1], opened[0]], [opened[2], opened[1], ended[0]], [opened[3], ended[2]], [clock]):
+        feed.add(part)
+        moving_job_summary(feed.stream(), timedelta(minutes=60), timedelta(minutes=20), path, checkpoint, late=timedelta(minutes=60)).awaitTermination()
+    found = spark.read.parquet(path).drop("batch_id").collect()
+    last = spark.createDataFrame([opened[1], *ended, clock], schema)
+    slides = sorted({r["slide"] for r in found})
+    assert slides == [START + timedelta(minutes=m) for m in range(20, 141, 20)]
+    for slide in slides:
+        # The table as it was then: what began, and ends that had come.
+        over = F.col("ended_at") <= F.lit(slide)
+        then = last.where(F.col("started_at") <= F.lit(slide)).withColumns({"state": F.when(over, F.col("state")).when(F.col("ended_at").isNull(), F.col("state")).otherwise("running"), "seconds": F.when(over, F.col("seconds"))})
+        expected = dbreport.window_job_report(then, slide, timedelta(minutes=60)).collect()
+        own = [r for r in found if r["slide"] == slide]
+        assert sorted(tuple(r)[1:] for r in own) == sorted(map(tuple, expected))
+
+
 def test_repeated_batch_changes_nothing(spark):
     path = scratch_path(spark, "versions")
     rows = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
