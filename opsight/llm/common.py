@@ -25,7 +25,17 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(frame.sparkSession, label)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table.working_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove working tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(table.working_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fold(column: str, folds: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import written
+from opsight.llm.common import discard, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,10 @@ def connected(edges: DataFrame) -> DataFrame:
         )
         following = written(small.filter("a != b").distinct(), "edges")
         same = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() for x in (current, following)]
+        discard(large, current)
+        current = following
         if same[0] == same[1]:
             break
-        current = following
     roots = current.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.join(current.select(F.col("a").alias("node")), "node", "left_anti")

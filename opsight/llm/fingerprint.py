@@ -13,8 +13,9 @@ never equality.
 
 Null text is empty text, which is one empty paragraph. Rows are ordered by id and then by
 text, so repeated ids have a defined next row; rows with a null id come first. One row is
-its own next row, and its edited text the same text. An empty table gives an empty result.
-Extra columns are ignored.
+its own next row, and its edited text the same text. Rows with one id, or without, are one
+range: they are read by one task, as a stream, of which two texts are held. Very long texts
+are hashed whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import arrow_schema
-from opsight.llm.words import as_bytes, mixed, shingle_hashes, word_hashes
+from opsight.llm.common import arrow_schema, sliced
+from opsight.llm.words import mixed, shingle_hashes, words_at
 
 EXACT, NEAR = 16, 256
 SCHEMA = (
@@ -49,11 +50,12 @@ class Fingerprint:
 
     def update(self, paragraphs: list[str], times: int) -> Fingerprint:
         """Add the paragraphs ``times`` times; negative numbers delete them."""
+        if not paragraphs:
+            return self
         data = [p.encode("utf-8", "surrogatepass") for p in paragraphs]
-        exact = np.frombuffer(b"".join(hashlib.shake_128(d).digest(8 * EXACT) for d in data), "<u8")
+        exact = np.frombuffer(b"".join([hashlib.shake_128(d).digest(8 * EXACT) for d in data]), "<u8")
         self.exact += exact.reshape(-1, EXACT).sum(0, dtype=np.uint64) * np.uint64(times % 2**64)
-        pairs = [self._pairs(d) for d in data]
-        keys = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
+        keys = self._pairs(b"\n".join(data))
         if len(keys):
             signs = 1.0 - 2.0 * ((keys >> np.uint64(32)) & np.uint64(1)).astype(float)
             sums = np.bincount((keys % np.uint64(NEAR)).astype(np.int64), signs, minlength=NEAR)
@@ -62,7 +64,17 @@ class Fingerprint:
 
     @staticmethod
     def _pairs(data: bytes) -> np.ndarray:
-        return mixed(shingle_hashes(word_hashes(np.frombuffer(data, np.uint8)), 2))
+        """Hashes of the word pairs of all paragraphs, and of words that stand alone in one."""
+        text = np.frombuffer(data, np.uint8)
+        words, starts = words_at(text)
+        if not len(words):
+            return words
+        paragraph = np.searchsorted(np.flatnonzero(text == 10), starts)
+        same = paragraph[1:] == paragraph[:-1]
+        joined = np.concatenate(([False], same, [False]))
+        alone = shingle_hashes(words[~joined[1:] & ~joined[:-1]], 1)
+        pairs = shingle_hashes(words, 2)[same] if len(words) > 1 else words[:0]
+        return mixed(np.concatenate((pairs, alone)))
 
     def text(self) -> str:
         """The vector as base64 of its little-endian lanes."""
@@ -101,9 +113,12 @@ def edited(text: str, following: str) -> tuple[str, str, str]:
 
 
 def edited_fingerprint(own: Fingerprint, text: str, following: str) -> tuple[Fingerprint, str]:
-    """Fingerprint of the edited text: only the paragraphs that change are hashed."""
+    """Fingerprint of the edited text: only the paragraphs that change are hashed, unless
+    that is more than the whole new text."""
     new, keep, _ = edited(text, following)
     same = keep.rfind("\n") + 1
+    if len(text) + len(new) - 2 * same >= len(new):
+        return Fingerprint(new), new
     out = Fingerprint()
     out.exact, out.near = own.exact.copy(), own.near.copy()
     out.update(text[same:].split("\n"), -1).update(new[same:].split("\n"), 1)
@@ -127,9 +142,15 @@ def in_order(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
     last = len(cuts)
     part = F.lit(0)
     if cuts:
-        # Number of cuts at or below the id, by a search in the sorted list of bounds.
-        at = F.array(*[F.lit(c) for c in cuts])
-        part = F.when(rank.isNull(), 0).otherwise(F.size(F.filter(at, lambda c: c <= rank)))
+        # Number of cuts at or below the id: whole blocks of the sorted list first, then the
+        # cuts of one block, so an id is compared with few of them.
+        width = max(1, int(len(cuts) ** 0.5))
+        blocks = [cuts[at : at + width] for at in range(0, len(cuts), width)]
+        firsts = F.array(*[F.lit(block[0]) for block in blocks])
+        inside = F.array(*[F.array(*[F.lit(c) for c in block]) for block in blocks])
+        block = F.size(F.filter(firsts, lambda c: c <= rank))
+        within = F.size(F.filter(F.element_at(inside, block), lambda c: c <= rank))
+        part = F.when(rank.isNull() | (block == 0), 0).otherwise((block - 1) * width + within)
     first_of_all = rank.isNull() if bounds["nulls"] else rank == bounds["least"]
     before = F.when(first_of_all, last).when(rank.isin(*cuts) if cuts else F.lit(False), F.col("own") - 1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", part)
@@ -168,9 +189,9 @@ def _pairs_of_rows(schema: pa.Schema):
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
 
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc, text, here, ahead = (batch.column(c)[at].as_py() for c in ("doc_id", "text", "part", "ahead"))
+        for batch in (piece for whole in batches for piece in sliced(whole)):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "ahead"))
+            for doc, text, here, ahead in zip(*columns, strict=True):
                 if here != part:
                     part, waiting = here, None
                 own = None

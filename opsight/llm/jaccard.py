@@ -28,6 +28,7 @@ candidate is capped.
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words than a shingle has form
 one shingle, no word or null text is an empty set, linked with nothing. Rows with a null id
 or a repeated id are kept: null ids have no component; rows that repeat an id are one node.
+Very long texts are read whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import by_batch, written
+from opsight.llm.common import by_batch, discard, written
 from opsight.llm.components import connected
 from opsight.llm.words import as_bytes, ascii_lower, mixed, shingle_hashes, word_hashes
 
@@ -85,24 +86,40 @@ def parity_bits(tokens: np.ndarray) -> np.ndarray:
     return (odd << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, size, first, second, prefix) of each row."""
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, size, first, second) of each row."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        out = {"doc_id": batch.column("doc_id"), "size": [], "first": [], "second": [], "prefix": []}
+        out = {"doc_id": batch.column("doc_id"), "size": [], "first": [], "second": []}
         for text in batch.column("text").to_pylist():
             tokens = shingle_set(text, words)
             first, second = identity(tokens)
             out["size"].append(len(tokens))
             out["first"].append(first)
             out["second"].append(second)
-            out["prefix"].append(tokens[: filter_size(len(tokens), percent)].view(np.int64))
         return out
 
-    schema = "doc_id bigint, size bigint, first bigint, second bigint, prefix array<bigint>"
+    schema = "doc_id bigint, size bigint, first bigint, second bigint"
     return by_batch(docs.select("doc_id", "text"), run, schema)
 
 
+def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(first, prefix): the tokens that the first filter looks at.
+
+    They are worked out in the pass that counts them and are not stored: the texts are
+    read once more instead.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        found = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
+        return {
+            "first": [identity(tokens)[0] for tokens in found],
+            "prefix": [tokens[: filter_size(len(tokens), percent)].view(np.int64) for tokens in found],
+        }
+
+    return by_batch(docs.filter("doc_id is not null").select("text"), run, "first bigint, prefix array<bigint>")
+
+
 def own_tokens(rows: DataFrame, tokens: str) -> DataFrame:
     """(first, own): how many of a set's tokens no other set has; sets without one are left out.
 
@@ -284,30 +301,59 @@ def _odd_cells(bits: Column, other: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with the sizes and the exact number of shared tokens."""
+    """Pairs (a, b) with the sizes and the exact number of shared tokens.
+
+    The pairs are a narrow table, whose size Spark knows: while it is small it goes to the
+    token lists, and these move only as the lists of a pair, to meet each other.
+    """
+    pairs = written(pairs, "pairs")
     tokens = candidates.select("rep", "tokens")
-    both = pairs.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("right")), "b")
-    both = both.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a")
+    left = pairs.join(tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("left")), "a")
+    right = pairs.join(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("right")), "b")
+    both = left.join(right, ["a", "b"])
     shared = F.size(F.array_intersect("left", "right")).cast("long")
     checked = both.select("a", "b", F.size("left").cast("long").alias("a_size"), F.size("right").cast("long").alias("b_size"), shared.alias("shared"))
     union = F.col("a_size") + F.col("b_size") - F.col("shared")
     return checked.withColumn("linked", 100 * F.col("shared") >= percent * union)
 
 
+def _candidates(docs: DataFrame, filled: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rep, first, size, tokens) of the sets that may have a partner, one row each.
+
+    Which of them are left is decided on ids; the token lists are only filtered by it.
+    """
+    own = own_tokens(prefixes(docs, words, percent), "prefix")
+    chosen = written(_with_few_own(classes, own, percent), "chosen")
+    whole = written(_whole_sets(docs, chosen, words), "whole")
+    few = _with_few_own(whole.select("rep", "first", "size"), own_tokens(whole, "tokens"), percent)
+    few = written(few.select("rep").distinct(), "few")
+    found = whole.join(few, "rep", "left_semi")
+    # Only rows that repeat an id with an equal set give a set twice.
+    if not filled.groupBy("doc_id", "first", "second").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["rep"])
+    candidates = written(found, "candidates")
+    discard(chosen, whole, few)
+    return candidates
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of all rows; similarity from ``percent`` hundredths on."""
-    if not SMALLEST_THRESHOLD <= percent < 100:
-        raise ValueError(f"percent must be from {SMALLEST_THRESHOLD} to 99")
-    rows = written(sets(docs, words, percent), "sets")
+    """(doc_id, n_shingles, component_id) of all rows; similarity from ``percent`` hundredths on.
+
+    ``percent`` goes from 80 to 100, below which prefixes would no longer be short; other
+    values raise ValueError. At 100 the components are the classes of equal sets.
+    """
+    if not SMALLEST_THRESHOLD <= percent <= 100:
+        raise ValueError(f"percent must be from {SMALLEST_THRESHOLD} to 100")
+    rows = written(sets(docs, words), "sets")
     filled = rows.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     classes = filled.groupBy("first", "second", "size").agg(F.min("doc_id").alias("rep"))
 
-    chosen = written(_with_few_own(classes, own_tokens(filled, "prefix"), percent), "chosen")
-    whole = written(_whole_sets(docs, chosen, words), "whole")
-    candidates = written(
-        _with_few_own(whole, own_tokens(whole, "tokens"), percent).dropDuplicates(["rep"]), "candidates"
-    )
-    index = written(_buckets(written(_signed(candidates, percent), "signatures")), "index")
+    narrow = rows.select("doc_id", "first", "second", "size")
+    if percent == 100:
+        return _labelled(narrow, classes.withColumn("component", F.col("rep")))
+    candidates = _candidates(docs, filled, classes, words, percent)
+    signed = written(_signed(candidates, percent), "signatures")
+    index = written(_buckets(signed), "index")
 
     # Every set of a bucket meets the hub.
     to_hub = index.filter("rep != hub").filter(
@@ -349,10 +395,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         & _possible(x("size"), y("size"), _odd_cells(x("bits"), y("bits")), percent),
     ).select(F.least(x("rep"), y("rep")).alias("a"), F.greatest(x("rep"), y("rep")).alias("b"))
     others = _verified(rest.distinct(), candidates, percent).filter("linked").select("a", "b")
-    labels = connected(links.unionByName(others)).withColumnRenamed("node", "rep")
+    labels = written(connected(links.unionByName(others)), "labels").withColumnRenamed("node", "rep")
+    discard(candidates, signed, index, hub_pairs, members)
+    joined = classes.join(labels, "rep", "left")
+    return _labelled(narrow, joined.withColumn("component", F.coalesce("component", "rep")))
 
-    classes = classes.join(labels, "rep", "left").select("first", "second", "size", F.coalesce("component", "rep").alias("component"))
-    narrow = rows.select("doc_id", "first", "second", "size")
-    return narrow.join(classes, ["first", "second", "size"], "left").select(
+
+def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each row with the component of its class."""
+    classes = classes.select("first", "second", "size", "component")
+    return rows.join(classes, ["first", "second", "size"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id")
     )

@@ -16,11 +16,12 @@ a result column, which then replaces them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.llm.common import by_batch
@@ -157,15 +158,23 @@ def training_rows(
     The ids are chosen on the narrow columns; as their number is bounded, they are
     broadcast, and only the chosen texts are turned into features.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        docs.filter(learnable & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull())
-        .select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= per_language)
-        .select("id", "lang")
-        .distinct()
+    labelled = docs.filter(learnable & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(lang_column).alias("lang")
     )
+    # One ordered limit for each language that occurs: a language with most rows is cut
+    # down in the tasks that read it. There are as many languages as codes, not as rows.
+    languages = sorted(row["lang"] for row in labelled.select("lang").distinct().collect())
+    if not languages:
+        chosen = labelled.limit(0)
+    else:
+        chosen = reduce(
+            DataFrame.unionByName,
+            (
+                labelled.filter(F.col("lang") == name).orderBy(F.xxhash64("id"), "id").limit(per_language)
+                for name in languages
+            ),
+        )
+    chosen = chosen.distinct()
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
         F.broadcast(chosen), "id"
     )

@@ -8,7 +8,10 @@ histogram alone, however many documents there are. Pieces get a rank among those
 length and find pattern, sequence and offset by it.
 
 Null text is empty and has only the closing id. Rows that repeat an id are packed once each.
-An empty table gives an empty result. Extra columns are ignored.
+Equal lengths are interchangeable: pieces of one length go to their places in the order of a
+hash of id and start, then of id, start and content; equal rows may swap places. Very long
+texts are cut like all others, a task holds the ids of about a megabyte of text. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -39,7 +43,7 @@ class Tokens:
     of bounded size keeps.
     """
 
-    def __init__(self, model: str, remembered: int = 400_000):
+    def __init__(self, model: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,17 +54,28 @@ class Tokens:
         for token, number in self.tokenizer.get_vocab().items():
             self.sizes[number] = len(token)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remembered = remembered
 
     def encode(self, text: str | None) -> bytes:
-        pieces = PIECES.findall(text or "")
-        new = set(pieces).difference(self.memo)
-        if new:
-            if len(self.memo) + len(new) > self.remembered:
-                self.memo.clear()
-                new = set(pieces)
-            self.learn(new)
-        return b"".join(map(self.memo.__getitem__, pieces))
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; new pieces of all texts are learnt together.
+
+        A full memo becomes the older one, from which pieces come back as they are met, so
+        frequent pieces are never learnt again.
+        """
+        pieces = [PIECES.findall(text or "") for text in texts]
+        if len(self.memo) > self.remembered:
+            self.memo, self.older = {}, self.memo
+        new = set().union(*pieces).difference(self.memo)
+        known = new.intersection(self.older)
+        for piece in known:
+            self.memo[piece] = self.older[piece]
+        if len(known) < len(new):
+            self.learn(new - known)
+        return [b"".join(map(self.memo.__getitem__, own)) for own in pieces]
 
     def learn(self, pieces: set[str]) -> None:
         """Ids of new pieces.
@@ -86,13 +101,25 @@ class Tokens:
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def pieces(self, text: str | None, size: int):
-        """(start, length, crc32, ids in all) of the pieces of one document."""
-        ids = self.encode(text) + b"\0\0\0\0"
-        total = len(ids) // 4
-        for start in range(0, total, size):
-            part = ids[4 * start : 4 * (start + size)]
-            yield start, len(part) // 4, zlib.crc32(part), total
+
+def cut(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, crc32, ids in all) of the pieces of a document with these ids and id 0."""
+    ids += b"\0\0\0\0"
+    parts = [ids[at : at + 4 * size] for at in range(0, len(ids), 4 * size)]
+    return [(n * size, len(part) // 4, zlib.crc32(part), len(ids) // 4) for n, part in enumerate(parts)]
+
+
+def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in groups of about ``most`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
@@ -104,12 +131,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         if not state:
             state.append(Tokens(model))
-        out = {c.split()[0]: [] for c in PIECE_SCHEMA.split(", ")}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for piece in state[0].pieces(text, size):
-                for name, value in zip(out, (doc, *piece), strict=True):
-                    out[name].append(value)
-        return out
+        texts = [text or "" for text in batch.column("text").to_pylist()]
+        # Equal texts of a batch are encoded once.
+        found = {}
+        for group in _groups(list(dict.fromkeys(texts))):
+            for text, ids in zip(group, state[0].encode_many(group), strict=True):
+                found[text] = cut(ids, size)
+        docs_of = batch.column("doc_id").to_pylist()
+        rows = [(doc, *piece) for doc, text in zip(docs_of, texts, strict=True) for piece in found[text]]
+        names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
+        columns = zip(*rows, strict=True) if rows else ([] for _ in names)
+        return dict(zip(names, map(list, columns), strict=True))
 
     return by_batch(docs.select("doc_id", "text"), run, PIECE_SCHEMA)
 

@@ -231,7 +231,9 @@ def top_k(
     buckets = buckets.join(F.broadcast(shards.select("bucket", "shard")), "bucket")
 
     queries = candidates.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector", "length")
-    queries = queries.groupBy("query_id").agg(F.first("vector").alias("vector"), F.first("length").alias("length"))
+    # Of rows that repeat an id the least vector asks.
+    queries = queries.groupBy("query_id").agg(F.min(F.struct("vector", "length")).alias("asks"))
+    queries = queries.select("query_id", "asks.vector", "asks.length")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

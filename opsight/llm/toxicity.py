@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from opsight.llm.common import by_batch
 from opsight.llm.labelled import class_counts, sample
 from opsight.llm.linear import sigmoid
-from opsight.llm.words import SLICE, spans
+from opsight.llm.words import SLICE, mixed, spans
 
 BITS = 22
 GRADES = 3
@@ -37,6 +37,8 @@ _letters = np.zeros(256, bool)
 _letters[ord("a") : ord("z") + 1] = True
 _letters[128:] = True
 _BETWEEN = ~_letters
+#: A number for each place in a word and byte; places behind the last begin again, mixed
+#: with how often that has happened.
 _codes = np.random.default_rng(20240301).integers(0, 2**64, (24, 256), dtype=np.uint64)
 
 
@@ -53,7 +55,7 @@ def _pieces(text: str | None):
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct hashed words (their first 24 bytes) and word beginnings of a whole text."""
+    """Distinct hashed words and word beginnings of a whole text."""
     found = []
     for data in _pieces(text):
         starts, ends = spans(data, _BETWEEN)
@@ -61,9 +63,12 @@ def features(text: str | None) -> np.ndarray:
             continue
         length = ends - starts
         sums = np.zeros(len(starts), np.uint64)
-        for at in range(min(len(_codes), int(length.max()))):
-            inside = length > at
-            sums[inside] += _codes[at][data[starts[inside] + at]]
+        for at in range(int(length.max())):
+            inside = np.flatnonzero(length > at)
+            turn, place = divmod(at, len(_codes))
+            if turn and not place:
+                sums[inside] = mixed(sums[inside] + np.uint64(turn))
+            sums[inside] += _codes[place][data[starts[inside] + at]]
             if at + 1 in PREFIXES:
                 longer = sums[length > at + 1]
                 found.append(np.unique(longer >> np.uint64(64 - BITS)))

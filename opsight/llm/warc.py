@@ -10,7 +10,8 @@ chunks are decompressed as they come, the content is framed by its length, and b
 payload digests are verified. A record that fails a check is a row with ``error`` set; after
 damage to the gzip stream the rest of that file is one such row.
 
-Null html is an empty payload. Null urls have no target header. Pages with a null id are
+A record is read whatever the length of its header, so a very long url keeps its page; header
+and payload of one record are held at a time. Null html is an empty payload. Null urls have no target header. Pages with a null id are
 responses without page id. Rows that repeat an id are written once each; equal ones are all
 responses or all revisits. An empty table gives no record. Extra columns are ignored.
 
@@ -65,7 +66,10 @@ def with_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     shared = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
     shared = shared.filter("refers_to < last").drop("last")
     revisits = narrow.join(shared, "digest").filter("page_id > refers_to").distinct()
-    return rows.join(revisits, ["page_id", "digest"], "left")
+    # Pages without id can't be revisits: they stay out of the join, in which they would meet.
+    known = rows.filter(F.col("page_id").isNotNull()).join(revisits, ["page_id", "digest"], "left")
+    unknown = rows.filter(F.col("page_id").isNull()).withColumn("refers_to", F.lit(None).cast("bigint"))
+    return known.select(*unknown.columns).unionByName(unknown)
 
 
 def _record_id(page_id, digest: str) -> str:
@@ -176,15 +180,19 @@ class Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        """The bytes up to ``mark``, which is passed over."""
+    def until(self, mark: bytes) -> bytes:
+        """The bytes up to ``mark``, however many; the mark is passed over."""
+        held = bytearray(self.buffer)
         start = 0
-        while (at := self.buffer.find(mark, start)) < 0:
-            start = max(0, len(self.buffer) - len(mark))
-            if len(self.buffer) > limit or not self._more():
+        while (at := held.find(mark, start)) < 0:
+            start = max(0, len(held) - len(mark))
+            self.buffer = b""
+            if not self._more():
+                self.buffer = bytes(held)
                 raise ValueError("the header has no end")
-        found, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
-        return found
+            held += self.buffer
+        self.buffer = bytes(held[at + len(mark) :])
+        return bytes(held[:at])
 
     def take(self, count: int) -> Iterator[bytes]:
         """``count`` bytes in pieces."""

@@ -268,8 +268,9 @@ def test_packing(docs, empty, reference_encoder):
     found = [r for r in packing.pack(docs, model, 64).collect()]
     texts = {r.doc_id: r.text for r in docs.collect()}
     sequences, used = {}, Counter()
+    whole = {doc: [*reference_encoder.encode_ordinary(text or ""), 0] for doc, text in texts.items()}
     for r in found:
-        ids = [*reference_encoder.encode_ordinary(texts[r.doc_id] or ""), 0]
+        ids = whole[r.doc_id]
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
         used[r.doc_id] += r.length
@@ -310,3 +311,115 @@ def test_every_stage_takes_awkward_rows(spark, docs, empty, labels, tmp_path):
 def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, rows):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {c for _, _, c in _components(rows, 5, 80)}
+
+
+def _thue_morse(length, first, second):
+    return "".join((first, second)[bin(n).count("1") % 2] for n in range(length))
+
+
+@pytest.mark.parametrize("length", [64, 1024, 2048, 4096])
+def test_patterned_words_do_not_collide(spark, length):
+    """Words that a polynomial hash modulo a power of two confuses."""
+    from opsight.llm.words import as_bytes, word_hashes
+
+    words = [_thue_morse(length, *pair) for pair in (("a", "b"), ("b", "a"))]
+    words += [w + "c" for w in words] + [words[0][::-1], words[0][64:] + words[0][:64]]
+    words = list(dict.fromkeys(words))
+    hashes = word_hashes(as_bytes(" ".join(words)))
+    assert len(set(hashes.tolist())) == len(words)
+    rows = [(i, f"{w} one two") for i, w in enumerate(words)]
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+
+
+def test_word_hashes_do_not_depend_on_the_cut(monkeypatch):
+    from opsight.llm import words
+
+    text = " ".join("x" * (n % 150) + str(n) for n in range(400))
+    whole = words.words_at(words.as_bytes(text))
+    monkeypatch.setattr(words, "SLICE", 37)
+    cut = words.words_at(words.as_bytes(text))
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert len(set(whole[0].tolist())) == 400
+
+
+def test_equal_sets_are_the_components_at_one_hundred(docs, rows):
+    assert set(map(tuple, jaccard.components(docs, 3, 100).collect())) == _components(rows, 3, 100)
+    with pytest.raises(ValueError):
+        jaccard.components(docs, 3, 70)
+
+
+def _plain_fingerprint(text):
+    """The lanes paragraph by paragraph, from the hashes of single words and pairs."""
+    from opsight.llm.words import as_bytes, mixed, shingle_hashes, word_hashes
+
+    exact, near = np.zeros(fingerprint.EXACT, np.uint64), np.zeros(fingerprint.NEAR, np.int64)
+    for paragraph in text.split("\n"):
+        data = paragraph.encode()
+        exact += np.frombuffer(hashlib.shake_128(data).digest(8 * fingerprint.EXACT), "<u8")
+        for key in mixed(shingle_hashes(word_hashes(as_bytes(paragraph)), 2)).tolist():
+            near[key % fingerprint.NEAR] += -1 if key >> 32 & 1 else 1
+    return exact, near
+
+
+def test_fingerprints_and_likeness_equal_a_plain_computation(rows):
+    texts = [t or "" for _, t in rows if len(t or "") < 20_000] + ["a\nb\n\nc d\ne", "one two\n" * 50, "\n\n"]
+    plain = [_plain_fingerprint(t) for t in texts]
+    made = [fingerprint.Fingerprint(t) for t in texts]
+    for (exact, near), own in zip(plain, made, strict=True):
+        assert (own.exact == exact).all() and (own.near.view(np.int16) == near).all()
+    for (exact, near), own, (other_exact, other_near), other in zip(plain, made, plain[1:], made[1:], strict=False):
+        norm = float(np.sqrt(float(near @ near) * float(other_near @ other_near)))
+        cosine = max(0.0, min(1.0, float(near @ other_near) / norm)) if norm else 0.0
+        wanted = 1.0 if (exact == other_exact).all() else cosine
+        assert abs(own.likeness(other) - wanted) < 1e-12
+
+
+def test_whole_words_are_features():
+    base = "x" * 30
+    assert set(toxicity.features(base + "a").tolist()) != set(toxicity.features(base + "b").tolist())
+    ends = [set(toxicity.features("y" * n).tolist()) for n in range(20, 80)]
+    assert len({frozenset(e) for e in ends}) == len(ends)
+
+
+def test_linear_machine_reaches_the_plain_optimum():
+    """Dual coordinate descent against plain subgradient steps on the same objective."""
+    from opsight.llm.linear import dual_coordinate_descent, margins
+
+    numbers = np.random.default_rng(8)
+    width, cost = 12, 1.0
+    dense = (numbers.random((60, width)) < 0.4).astype(float)
+    labels = np.where(dense[:, 0] + dense[:, 1] - dense[:, 2] + 0.3 * numbers.normal(size=60) > 0.4, 1.0, -1.0)
+    rows = [(np.flatnonzero(row), row[np.flatnonzero(row)]) for row in dense]
+
+    design = np.hstack((dense, np.ones((60, 1))))  # the last weight is the bias
+
+    def objective(weights):
+        return 0.5 * weights @ weights + cost * np.maximum(0, 1 - labels * (design @ weights)).sum()
+
+    found = dual_coordinate_descent(rows, labels, width, cost, epochs=500, tolerance=1e-6)
+    best, weights = np.inf, np.zeros(width + 1)
+    for step in range(1, 20_001):
+        inside = labels * (design @ weights) < 1
+        weights = weights - (weights - cost * (labels[inside, None] * design[inside]).sum(0)) / (step + 20)
+        best = min(best, objective(weights))
+    assert objective(found) <= best * 1.001
+    assert np.allclose(margins(rows, found), design @ found)
+
+
+def test_shortest_pack_first_wastes_no_more_than_one_at_a_time():
+    """Against a packer that places single pieces, longest first, into the fullest open pack."""
+    pick = random.Random(9)
+    for _ in range(30):
+        counts = {n: pick.randint(1, 40) for n in pick.sample(range(1, 65), pick.randint(2, 40))}
+        packs = sum(packing.shortest_pack_first(counts, 64).values())
+        least = -(-sum(n * c for n, c in counts.items()) // 64)
+        single = []
+        for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+            room = [at for at, used in enumerate(single) if used + length <= 64]
+            if room:
+                at = min(room, key=lambda at: single[at])
+                single[at] += length
+            else:
+                single.append(length)
+        assert least <= packs <= max(len(single), int(least * 1.25) + 1)

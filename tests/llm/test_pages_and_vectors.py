@@ -92,3 +92,24 @@ def test_top_k_of_few_and_huge(spark):
     found = topk.top_k(few, F.col("vec_id") == 0, k=20).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1, 2**63 - 1), (2, 2, 2**63 - 1)]
     assert topk.top_k(few.limit(0), F.lit(True)).count() == 0
+
+
+def test_pages_with_very_long_urls_keep_their_row(spark):
+    rows = [(1, "http://a/" + "x" * 2_000_000, "h" * 200), (2, "http://b/", "h" * 200), (None, "u", "h" * 200), (None, "u", "h" * 200)]
+    found = warc.roundtrip(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to, r.error) for r in found) == [(0, "response", None, None)] * 2 + [(1, "response", None, None), (2, "revisit", 1, None)]
+    assert max(len(r.target_uri) for r in found) == 2_000_009
+
+
+def test_a_header_without_end_is_an_error():
+    rows = list(warc.read_stream(io.BytesIO(warc.gzip_member(b"WARC/1.1\r\n" + b"x: y\r\n" * 300_000))))
+    assert len(rows) == 1 and "no end" in rows[0]["error"]
+
+
+def test_of_a_repeated_query_the_least_vector_asks(spark):
+    rows = [(0, [3.0, 0.0]), (0, [0.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    for parts in (1, 3):
+        for order in (rows, rows[::-1]):
+            frame = spark.createDataFrame(order, "vec_id bigint, embedding array<double>").repartition(parts)
+            found = topk.top_k(frame, F.col("vec_id") == 0, k=2, scale=1.0).collect()
+            assert {(r["rank"], r.vec_id, r.score) for r in found} == {(1, 2, 5), (2, 1, 0)}
