@@ -17,9 +17,11 @@ table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 from heapq import heappop, heappush
 
 import numpy as np
@@ -122,20 +124,30 @@ def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
+def _kept(key: str, make: Callable[[], Tokens]) -> Tokens:
+    """One encoder for each worker process: the next task finds it with what it has learnt.
+
+    Its memo is bounded; a new process starts with an empty one and gives the same ids.
+    """
+    held = sys.modules.setdefault("_packing_tokens", ModuleType("_packing_tokens")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
     """Tokenise all documents and cut them; only numbers leave the tasks."""
     with open(tokenizer, encoding="utf-8") as source:
         model = source.read()
-    state: list[Tokens] = []
+    key = f"{len(model)}-{zlib.crc32(model.encode())}"
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        if not state:
-            state.append(Tokens(model))
+        tokens = _kept(key, lambda: Tokens(model))
         texts = [text or "" for text in batch.column("text").to_pylist()]
         # Equal texts of a batch are encoded once.
         found = {}
         for group in _groups(list(dict.fromkeys(texts))):
-            for text, ids in zip(group, state[0].encode_many(group), strict=True):
+            for text, ids in zip(group, tokens.encode_many(group), strict=True):
                 found[text] = cut(ids, size)
         docs_of = batch.column("doc_id").to_pylist()
         rows = [(doc, *piece) for doc, text in zip(docs_of, texts, strict=True) for piece in found[text]]
