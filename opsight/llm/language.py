@@ -16,18 +16,20 @@ a result column, which then replaces them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsight.llm.common import by_batch
 from opsight.llm.linear import dual_coordinate_descent, logistic_scale, margins, sigmoid
 from opsight.llm.words import SLICE
 
+#: Parts that each language is ranked in before it is ranked as a whole.
+SALTS = 64
+
 #: Closely related languages; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -161,20 +163,15 @@ def training_rows(
     labelled = docs.filter(learnable & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(lang_column).alias("lang")
     )
-    # One ordered limit for each language that occurs: a language with most rows is cut
-    # down in the tasks that read it. There are as many languages as codes, not as rows.
-    languages = sorted(row["lang"] for row in labelled.select("lang").distinct().collect())
-    if not languages:
-        chosen = labelled.limit(0)
-    else:
-        chosen = reduce(
-            DataFrame.unionByName,
-            (
-                labelled.filter(F.col("lang") == name).orderBy(F.xxhash64("id"), "id").limit(per_language)
-                for name in languages
-            ),
-        )
-    chosen = chosen.distinct()
+    # A language is cut down in salted parts first: the last ranking of a language, whatever
+    # share of the rows it has, reads the bounded rest of each part.
+    order = [F.xxhash64("id"), F.col("id")]
+    in_part = Window.partitionBy("lang", "salt").orderBy(*order)
+    in_language = Window.partitionBy("lang").orderBy(*order)
+    parts = labelled.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(SALTS)))
+    rest = parts.withColumn("rank", F.row_number().over(in_part)).filter(F.col("rank") <= per_language)
+    chosen = rest.withColumn("rank", F.row_number().over(in_language)).filter(F.col("rank") <= per_language)
+    chosen = chosen.select("id", "lang").distinct()
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
         F.broadcast(chosen), "id"
     )
