@@ -4,8 +4,9 @@ The family is chosen by linear support vector machines, one against the rest. In
 family each pair of languages has its own machine and the languages are ranked by votes,
 then by summed probability. Features are relative frequencies of hashed byte n-grams.
 
-The models are fitted on a bounded sample (``per_language`` rows of each language, chosen
-by the hash of the id); every text is predicted whole.
+The models are fitted on a bounded sample (at most ``per_language`` rows of each language,
+those with the least hashes of id and text; equal rows may stand for each other); every text is predicted whole, a very long one in pieces of bounded size. Languages
+with equal votes and probabilities are ordered by name.
 
 Null text and texts without a letter give ``und`` with score 0. Rows with a null id are
 predicted but never learned from. An empty table, or one without a learnable row, gives
@@ -15,21 +16,21 @@ a result column, which then replaces them.
 
 from __future__ import annotations
 
+import math
+import operator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.llm.common import by_batch
 from opsight.llm.linear import dual_coordinate_descent, logistic_scale, margins, sigmoid
 from opsight.llm.words import SLICE
 
-#: Parts that each language is ranked in before it is ranked as a whole.
-SALTS = 64
-
 #: Closely related languages; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -152,40 +153,49 @@ def fit(rows, languages: list[str], cost: float = 1.0) -> LanguageModel:
     return LanguageModel(families, rest, pairs)
 
 
+def _cut(rows: int, per_language: int) -> int:
+    """The largest hash of the rows of a language that are looked at.
+
+    Hashes are spread evenly, so about ``per_language`` rows and three standard deviations
+    more lie up to it.
+    """
+    wanted = per_language + 3 * math.isqrt(per_language) + 3
+    return min(2**64 * wanted // max(rows, 1), 2**64 - 1) - 2**63
+
+
 def training_rows(
     docs: DataFrame, learnable: Column, id_column: str, text_column: str, lang_column: str, per_language: int
 ) -> DataFrame:
-    """At most ``per_language`` rows of each language, as sparse frequencies.
+    """The rows of each language with the least hashes of id and text, as sparse frequencies.
 
-    The ids are chosen on the narrow columns; as their number is bounded, they are
-    broadcast, and only the chosen texts are turned into features.
+    The rows of each language are counted, which gives the hash up to which they are taken.
+    So the choice is a filter of the scan: no row is moved or ranked, whatever share of the
+    rows a language or an id has.
     """
-    labelled = docs.filter(learnable & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("id"), F.col(lang_column).alias("lang")
-    )
-    # A language is cut down in salted parts first: the last ranking of a language, whatever
-    # share of the rows it has, reads the bounded rest of each part.
-    order = [F.xxhash64("id"), F.col("id")]
-    in_part = Window.partitionBy("lang", "salt").orderBy(*order)
-    in_language = Window.partitionBy("lang").orderBy(*order)
-    parts = labelled.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(SALTS)))
-    rest = parts.withColumn("rank", F.row_number().over(in_part)).filter(F.col("rank") <= per_language)
-    chosen = rest.withColumn("rank", F.row_number().over(in_language)).filter(F.col("rank") <= per_language)
-    chosen = chosen.select("id", "lang").distinct()
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
-        F.broadcast(chosen), "id"
-    )
+    identity, lang = F.col(id_column), F.col(lang_column)
+    labelled = docs.filter(learnable & lang.isNotNull() & identity.isNotNull())
+    cuts = {row[0]: _cut(row[1], per_language) for row in labelled.groupBy(lang).count().collect()}
+    hashed = F.xxhash64(identity, F.col(text_column))
+    near = [(lang == language) & (hashed <= cut) for language, cut in sorted(cuts.items())]
+    chosen = labelled.filter(reduce(operator.or_, near, F.lit(False)))
+    texts = chosen.select(identity.alias("id"), hashed.alias("hash"), lang.alias("lang"), F.col(text_column).alias("text"))
 
     def featured(batch: pa.RecordBatch) -> dict[str, list]:
-        out = {"id": [], "lang": [], "index": [], "value": []}
-        for row, lang, text in zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "text")), strict=True):
+        out = {"id": [], "hash": [], "lang": [], "index": [], "value": []}
+        for *row, text in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "lang", "text")), strict=True):
             if has_letter(text):
-                index, value = frequencies(text)
-                for key, item in zip(out, (row, lang, index, value), strict=True):
+                for key, item in zip(out, (*row, *frequencies(text)), strict=True):
                     out[key].append(item)
         return out
 
-    return by_batch(texts, featured, "id bigint, lang string, index array<int>, value array<double>")
+    schema = "id bigint, hash bigint, lang string, index array<int>, value array<double>"
+    return by_batch(texts, featured, schema)
+
+
+def _first_of_each(languages: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """``order`` with the first ``most`` rows of each language."""
+    kept = [order[languages[order] == language][:most] for language in np.unique(languages)]
+    return np.concatenate(kept)
 
 
 def train(
@@ -198,12 +208,17 @@ def train(
     cost: float = 1.0,
 ) -> LanguageModel | None:
     """The model, or None if there is no row to learn from."""
-    sample = training_rows(docs, learnable, id_column, text_column, lang_column, per_language)
-    found = sample.toPandas().sort_values("id", kind="stable")
-    if not len(found):
+    found = training_rows(docs, learnable, id_column, text_column, lang_column, per_language).toArrow()
+    if not found.num_rows:
         return None
-    rows = [(np.asarray(i, np.int64), np.asarray(v)) for i, v in zip(found["index"], found["value"], strict=True)]
-    return fit(rows, found["lang"].tolist(), cost)
+    ids, hashes = (found[c].to_numpy() for c in ("id", "hash"))
+    languages = np.array(found["lang"].to_pylist())
+    order = _first_of_each(languages, np.lexsort((ids, hashes)), per_language)
+    order = order[np.argsort(ids[order], kind="stable")]
+    index, value = (found[c].combine_chunks() for c in ("index", "value"))
+    ends, flat, weight = index.offsets.to_numpy(), index.values.to_numpy(), value.values.to_numpy()
+    rows = [(flat[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]) for i in order]
+    return fit(rows, languages[order].tolist(), cost)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_column: str = "text") -> DataFrame:

@@ -84,6 +84,22 @@ def test_language_families_and_pairs(spark, empty):
     assert language.identify(empty, None).count() == 0
 
 
+def test_language_sample_is_bounded_and_does_not_depend_on_partitions(spark):
+    rows = [(7 if i % 3 else i, f"text number {i}", "en" if i % 5 else "de") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    chosen = []
+    for parts in (1, 7):
+        found = language.training_rows(frame.repartition(parts), F.lit(True), "doc_id", "text", "lang", 100)
+        chosen.append(sorted((r.lang, r.hash, r.id) for r in found.collect()))
+    assert chosen[0] == chosen[1]
+    for lang in ("de", "en"):
+        assert 100 <= sum(x[0] == lang for x in chosen[0]) <= 200
+    languages = np.array([x[0] for x in chosen[0]])
+    kept = language._first_of_each(languages, np.arange(len(languages)), 100)
+    assert sorted(languages[kept]) == ["de"] * 100 + ["en"] * 100
+    assert [language._cut(n, 100) for n in (0, 5, 133)] == [2**63 - 1] * 3 and language._cut(1330, 100) < 0
+
+
 def test_quality_and_toxicity(spark, docs, empty, labels):
     pick = random.Random(2)
     fine, odd = "plain good words here now".split(), "BAD!! ### loud|| ***".split()
