@@ -5,8 +5,9 @@ family each pair of languages has its own machine and the languages are ranked b
 then by summed probability. Features are relative frequencies of hashed byte n-grams.
 
 The models are fitted on a bounded sample (at most ``per_language`` rows of each language,
-those with the least hashes of id and text; equal rows may stand for each other); every text is predicted whole, a very long one in pieces of bounded size. Languages
-with equal votes and probabilities are ordered by name.
+those with the least hashes of id and text; equal rows may stand for each other); every
+text is predicted whole, a very long one in pieces of bounded size. Languages with equal
+votes and probabilities are ordered by name.
 
 Null text and texts without a letter give ``und`` with score 0. Rows with a null id are
 predicted but never learned from. An empty table, or one without a learnable row, gives
