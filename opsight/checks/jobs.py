@@ -336,7 +336,7 @@ JOB_FINDINGS = with_tables(
     JOBS,
     JOB_FACTS,
     DB_FINDINGS,
-    body=f"select * replace ({iso('evidence_ts')} as evidence_ts) from db_findings",
+    body=f"select * replace ({iso('evidence_ts')} as evidence_ts), cast(null as varchar) as evidence from db_findings",
 )
 
 REGISTRY = {
