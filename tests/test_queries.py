@@ -13,7 +13,7 @@ import __spark_entry__
 
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["daily_stats", "event_scan", "failure_examples", "coverage_top", "collection_failures", "process_report", "window_job_report", "recovery_plan", "metric_daily", "host_snapshot", "queue_alert", "missing_status_vetoed"]
+SAMPLE = ["daily_stats", "event_scan", "failure_examples", "coverage_top", "collection_failures", "process_report", "window_job_report", "job_findings", "recovery_plan", "metric_daily", "host_snapshot", "queue_alert", "missing_status_vetoed"]
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
