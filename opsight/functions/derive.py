@@ -21,6 +21,16 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*kept, F.inline_outer(once))
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that Spark must not broadcast on its own estimate.
+
+    The estimate shrinks whenever a wide column, as a parsed document, is worked out by
+    ``computed`` and left out again. Rows of many megabytes then look like a few kilobytes,
+    and the driver would gather them all.
+    """
+    return rows.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

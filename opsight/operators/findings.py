@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opsight import fixed
 from opsight.functions import jobs as job_columns
 from opsight.functions import text, times
-from opsight.functions.derive import computed
+from opsight.functions.derive import by_shuffle, computed
 from opsight.operators.keys import top_per_group
 from opsight.params import StatusCodes, Thresholds
 from opsight.sources import dumps as dump_sources
@@ -142,7 +142,7 @@ def xml_findings(
         .when(stale, "stalled")
     )
     return (
-        suspects.join(judged, "job_id", "left")
+        suspects.join(by_shuffle(judged), "job_id", "left")
         .select(
             F.lit("xml").alias("layer"),
             "job_id",
@@ -280,7 +280,7 @@ def dump_match(stalled: DataFrame, dumps: DataFrame) -> DataFrame:
     count = F.coalesce("dumps", F.lit(0))
     return (
         stalled.select("job_id")
-        .join(counted, "job_id", "left")
+        .join(by_shuffle(counted), "job_id", "left")
         .select(
             "job_id",
             count.alias("dumps"),
