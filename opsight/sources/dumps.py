@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, variants
-from opsight.functions.derive import computed
+from opsight.functions.derive import by_shuffle, computed
 
 
 def read_job_dumps(spark: SparkSession, path: str, folders: str = "*") -> DataFrame:
@@ -95,7 +95,7 @@ def of_jobs(dumps: DataFrame, jobs: DataFrame) -> DataFrame:
     """The raw dumps that may belong to ``jobs`` (``job_id``), found by a light parse."""
     named = computed(dumps, __job=F.get_json_object("dump", "$.process.uuid"))
     wanted = jobs.select(F.col("job_id").alias("__job")).distinct()
-    return named.join(wanted, "__job", "left_semi").drop("__job")
+    return named.join(by_shuffle(wanted), "__job", "left_semi").drop("__job")
 
 
 def evidence(jobs: DataFrame, dumps: DataFrame, errors: DataFrame, tail_bytes: int | None = None) -> DataFrame:
@@ -113,9 +113,9 @@ def evidence(jobs: DataFrame, dumps: DataFrame, errors: DataFrame, tail_bytes: i
         "job_id", "dumps", F.when(F.col("dumps") == 1, F.col("only")).alias("directory")
     )
     searched = errors.join(
-        found.where("directory is not null").select("directory"), "directory", "left_semi"
+        by_shuffle(found.where("directory is not null").select("directory")), "directory", "left_semi"
     )
-    return found.join(oom_folders(searched, tail_bytes), "directory", "left").select(
+    return found.join(by_shuffle(oom_folders(searched, tail_bytes)), "directory", "left").select(
         "job_id", "dumps", "directory", F.coalesce("is_oom", F.lit(False)).alias("is_oom")
     )
 
@@ -153,7 +153,7 @@ def job_diagnostics(
     return (
         dumps.select("job_id", "directory")
         .distinct()
-        .join(outputs, "directory")
+        .join(by_shuffle(outputs), "directory")
         .groupBy("job_id")
         .agg(F.max_by("message", "directory").alias("message"))
         .select(
