@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsight import fixed
 from opsight.functions import text, times
-from opsight.functions.derive import computed
+from opsight.functions.derive import by_shuffle, computed
 
 _STATE = "array<struct<_VALUE:string>>"
 _EXCEPTION = "struct<_exceptionCode:string,_locator:string,ExceptionText:array<string>>"
@@ -316,11 +316,11 @@ def status_requests(
 
 def with_diagnostics(requests: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Attach job diagnostics to failed requests only."""
-    return requests.join(diagnostics, "job_id", "left").withColumn(
+    return requests.join(by_shuffle(diagnostics), "job_id", "left").withColumn(
         "diagnostics", F.when(F.col("outcome") == "failed", F.col("diagnostics"))
     )
 
 
 def new_requests(requests: DataFrame, recorded: DataFrame) -> DataFrame:
     """Requests whose job has not been recorded yet."""
-    return requests.join(recorded.select("job_id").distinct(), "job_id", "left_anti")
+    return requests.join(by_shuffle(recorded.select("job_id").distinct()), "job_id", "left_anti")

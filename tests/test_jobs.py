@@ -467,3 +467,26 @@ def test_status_files_are_read_with_their_time(spark, tmp_path):
     row = xml.status_requests(xml.parse_status(docs), "rook").first()
     assert (row["job_id"], row["finished_at"].year) == (UUID, 2026)
     assert job_columns.StatusCodes().active == [1, 2, 3]
+
+
+def test_large_dumps_are_not_broadcast_on_an_estimate(spark):
+    """Ten million dumps, as a plan only: the parsed document must not make them look small."""
+    keys = spark.range(10_000_000)
+    raw = keys.selectExpr("concat('/w/', id) as directory", "concat('{\"process\":{\"uuid\":\"', id, '\"}}') as dump")
+    errors = keys.selectExpr("concat('/w/', id) as directory", "cast(concat('line ', id) as binary) as error_output")
+    jobs = keys.selectExpr("cast(id as string) as job_id")
+    requests = jobs.selectExpr("job_id", "'failed' as outcome")
+    files = jobs.selectExpr("concat(lpad(job_id, 8, '0'), '-0000-4000-8000-000000000000') as job_id", "timestamp'2026-01-01' as modification_time", "'<x/>' as content")
+    parsed = dumps.parse_dumps(raw)
+    diagnostics = dumps.job_diagnostics(parsed, errors)
+    joined = {
+        "dump_match": findings.dump_match(jobs, parsed),
+        "job_diagnostics": diagnostics,
+        "with_diagnostics": xml.with_diagnostics(requests, diagnostics),
+        "new_requests": xml.new_requests(requests, parsed),
+        "oom_jobs": dumps.oom_jobs(jobs, raw, errors),
+        "xml_findings": findings.xml_findings(xml.parse_status(files, with_inputs=False), raw, errors, NOW),
+    }
+    plans = {name: rows._jdf.queryExecution().executedPlan().toString() for name, rows in joined.items()}
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
+    assert not [name for name, plan in plans.items() if "SortMergeJoin" not in plan]
