@@ -22,14 +22,15 @@ def ingest(
     requests: DataFrame, path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Append finished requests; the checkpoint remembers the documents read."""
-    return (
+    writer = (
         requests.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    with tables.state_settings(requests.sparkSession):
+        return writer.start()
 
 
 def ingest_documents(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,31 @@ def latest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFram
     )
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+#: Partitions of state for each core.
+STATE_PARTITIONS_PER_CORE = 3
+
+
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings that a query takes along when it starts inside this block.
+
+    Every batch opens and commits the state of each partition, whatever is in it, so there
+    are only as many as keep the cores busy; RocksDB commits changes, not its files. A
+    checkpoint keeps the number of partitions that it began with.
+    """
+    before = {PARTITIONS: spark.conf.get(PARTITIONS), CHANGELOG: spark.conf.get(CHANGELOG, None)}
+    most = STATE_PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism
+    spark.conf.set(PARTITIONS, str(min(int(before[PARTITIONS]), most)))
+    spark.conf.set(CHANGELOG, "true")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def run(
     stream: DataFrame,
     store: Callable[[DataFrame, int], None],
@@ -109,13 +135,14 @@ def run(
 
     Without a trigger it works off what is there and stops, as a scheduled job does.
     """
-    return (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(store)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    with state_settings(stream.sparkSession):
+        return writer.start()
 
 
 def watermarked(stream: DataFrame, column: str, delay: str) -> DataFrame:

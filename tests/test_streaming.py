@@ -256,3 +256,54 @@ def test_transitions_match_a_plain_loop(spark):
     for initial in ("clear", "red"):
         expected = [START + timedelta(hours=7 * n) for n, s in enumerate(statuses) if s != ([initial] + statuses)[n]]
         assert [r["snapshot_ts"] for r in hosts.transitions(rows, initial).orderBy("snapshot_ts").collect()] == expected
+
+
+class State:
+    """A bucket's state between calls."""
+
+    def __init__(self):
+        self.value, self.watermark, self.timeout = None, 0, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.watermark
+        self.timeout = at
+
+
+def test_one_call_serves_all_jobs_of_a_bucket():
+    """Python and the state store are entered once for a bucket, not for each job."""
+    import pandas as pd
+
+    codes, limits = StatusCodes(), Thresholds()
+    updates = [(f"job-{n}", codes.started, n % 40) for n in range(300)]
+    updates += [(f"job-{n}", codes.succeeded, n % 40 + n % 200) for n in range(0, 300, 2)]
+    late, keep = 400 * 60_000, 42 * 86_400_000
+    watch, state, found = findings.JobWatch(limits, codes, late, keep), State(), set()
+    start = int((START - datetime(1970, 1, 1)).total_seconds() * 1000)
+    for part, minute in ((updates[::2], 0), (updates[1::2], 60), ([], 240), ([], 100_000)):
+        rows = pd.DataFrame([(j, c, START + timedelta(minutes=m)) for j, c, m in part], columns=["job_id", "status", "event_time"])
+        state.watermark = start + minute * 60_000 if minute else 0
+        for told in watch((0,), iter([rows] if part else []), state):
+            found |= {(r.job_id, r.finding, (r.due_at.timestamp() * 1000 - start) / 60_000) for r in told.itertuples()}
+    assert found == _expected_findings(updates, codes, limits)
+    assert state.value is None
+
+
+def test_state_has_few_partitions(spark):
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    for given, taken in ((str(100 * cores), 3 * cores), ("2", 2)):
+        spark.conf.set(name, given)
+        with tables.state_settings(spark):
+            assert int(spark.conf.get(name)) == taken
+        assert spark.conf.get(name) == given
