@@ -93,14 +93,14 @@ def _period_sql(period: str) -> str:
 
 
 def counter_total(spark, sf):
-    totals = hosts.counter_total(tables.metrics(spark, sf).where("metric = 'if_octets'"), "day")
+    totals = hosts.counter_total(tables.metrics(spark, sf), "day")
     return totals.withColumn("period", times.iso_text("period"))
 
 
 COUNTER_TOTAL = with_tables(
     METRICS,
     _counter_sql("day"),
-    body=f"select {SERIES}, {iso('period')} as period, total from grown where metric='if_octets'",
+    body=f"select {SERIES}, {iso('period')} as period, total from grown",
 )
 
 
