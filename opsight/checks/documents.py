@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opsight.checks import jobs as job_checks
 from opsight.checks.sql_tables import (
     ACCESS,
+    ALL_DUMPS,
     DOCUMENTS,
     DUMPS,
     EVIDENCE,
@@ -116,7 +117,8 @@ when 1 then o_orderdate + interval 602 minute else o_orderdate - interval 14 hou
 
 
 def job_diagnostics(spark, sf):
-    rows = dumps.job_diagnostics(_dumps(spark, sf), _errors(spark, sf))
+    whole = dumps.parse_dumps(tables.all_job_dumps(spark, sf))
+    rows = dumps.job_diagnostics(whole, _errors(spark, sf))
     return rows.select(
         "job_id",
         F.size("diagnostics").alias("items"),
@@ -127,7 +129,7 @@ def job_diagnostics(spark, sf):
 DIAGNOSTICS = """diagnostics as (
 select job_id, arg_max(error_text, directory) as message from dumps where parsed group by job_id)"""
 JOB_DIAGNOSTICS = with_tables(
-    DUMPS, DIAGNOSTICS, body="select job_id, 1 as items, message from diagnostics"
+    ALL_DUMPS, DIAGNOSTICS, body="select job_id, 1 as items, message from diagnostics"
 )
 
 

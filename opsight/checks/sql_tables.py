@@ -124,12 +124,14 @@ select *, case when kind in (13,14) then null else midnight end as creation_time
     when given<>'ProcessStarted' then given end as final_state
 from raw_docs)"""
 
-DUMPS = f"""dumps as (
+# The dumps of all order lines, and those of a third of them.
+ALL_DUMPS = f"""dumps as (
 select concat('/work/process_',cast(l_orderkey as string),'_',cast(l_linenumber as string),'_',cast(l_partkey as string)) as directory,
   {V4_ID.format(key="l_orderkey")} as job_id, l_suppkey%9<>0 as parsed, l_suppkey%9>3 as valid, l_suppkey%2=0 as lineage,
   concat('warning line ',cast(l_linenumber as string),' ', case when l_partkey%4=0 then 'slurmstepd: error: Detected 1 oom-kill event(s) in StepId=7.batch.' when l_partkey%4=1 then 'ValueError: broken chunk' else 'slurmstepd: error: Detected 0 oom-kill event(s)' end) as error_text,
   l_partkey%4=0 as oom
-from lineitem where l_partkey%3=0)"""
+from lineitem)"""
+DUMPS = ALL_DUMPS.removesuffix(")") + " where l_partkey%3=0)"
 
 # What the valid dumps of a job say; one is needed, not several.
 EVIDENCE = """evidence as (select job_id, count(*) as n, case when count(*)=1 then min(directory) end as directory,

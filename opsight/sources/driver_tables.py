@@ -249,7 +249,17 @@ DUMP_FOLDER = (
 
 
 def job_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dump files of a third of the order lines, so jobs have none, one or several.
+    """Dump files of a third of the order lines, so jobs have none, one or several."""
+    return shape_job_dumps(table(spark, sf_dir, "lineitem").where("l_partkey%3=0"))
+
+
+def all_job_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dump files of all order lines."""
+    return shape_job_dumps(table(spark, sf_dir, "lineitem"))
+
+
+def shape_job_dumps(lines: DataFrame) -> DataFrame:
+    """A dump file of each order line.
 
     Some are no evidence: broken, in another folder than they say, with a list for
     inputs or a request that is no JSON.
@@ -258,7 +268,7 @@ def job_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "to_json(named_struct('lineage', l_suppkey%2=0, 'inputs',"
         " map('dataset', array('a','b'), 'time', array('c'))))"
     )
-    return table(spark, sf_dir, "lineitem").where("l_partkey%3=0").selectExpr(
+    return lines.selectExpr(
         f"{DUMP_FOLDER} as directory",
         f"""case when l_suppkey%9=0 then '{{"process": {{' else
           to_json(named_struct('process', named_struct('uuid', {V4_ID.format(key="l_orderkey")},
