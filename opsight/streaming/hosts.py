@@ -83,6 +83,14 @@ def alert_transitions(
     status_path = f"{path.rstrip('/')}-status"
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        # One row for each closed snapshot; the state behind it is gone through once.
+        held = batch.persist()
+        try:
+            store_held(held, batch_id)
+        finally:
+            held.unpersist()
+
+    def store_held(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         snapshots = batch.select("snapshot_ts")
         nodes = capacity.join(snapshots, "snapshot_ts", "left_semi")

@@ -307,3 +307,19 @@ def test_state_has_few_partitions(spark):
         with tables.state_settings(spark):
             assert int(spark.conf.get(name)) == taken
         assert spark.conf.get(name) == given
+
+
+def test_a_batch_of_snapshots_is_worked_out_once(spark):
+    feed = Feed(spark, "snapshot_ts timestamp, value string")
+    path, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "checkpoint")
+    feed.add([(START + timedelta(hours=n), f"{n}|RUNNING|0:01") for n in range(3)])
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        runs.add(1)
+        return value
+
+    lines = feed.stream().withColumn("value", F.udf(seen)("value"))
+    nodes = queue_source.capacity(spark.createDataFrame([(START, "n|up|idle|none")], "snapshot_ts timestamp, value string"))
+    hosts.alert_transitions(queue_source.queue_jobs(lines), nodes, path, checkpoint, long_running_seconds=60, pending_critical=2, late="0 seconds").awaitTermination()
+    assert runs.value <= 3 * 2
