@@ -47,14 +47,15 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     )
 
 
-FILES_PER_BATCH = 4
+FILES_PER_BATCH = 16
 
 
 def _in_batches(rows: DataFrame, time: str, late: timedelta, batches: int = 6) -> DataFrame:
     """A stream of ``rows`` in several batches that are not in the order of ``time``.
 
     A row is put up to half of ``late`` before or after its place, by its content. Batches
-    are written one after the other, so that the stream reads them in that order.
+    are written one after the other, so that the stream reads them in that order. The rows
+    are worked out once, into a table that the batches are cut from.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, "feed")
@@ -62,13 +63,16 @@ def _in_batches(rows: DataFrame, time: str, late: timedelta, batches: int = 6) -
     moved = F.unix_micros(F.col(time).cast("timestamp")) + (
         F.pmod(F.xxhash64(*rows.columns), F.lit(2 * half)) - half
     )
-    placed = rows.withColumn("__moved", moved)
+    whole = scratch_path(spark, "placed")
+    rows.withColumn("__moved", moved).write.parquet(whole)
+    placed = spark.read.parquet(whole)
     low, high = placed.agg(F.min("__moved"), F.max("__moved")).first()
     width = (high - low) // batches + 1
     for batch in range(batches):
         inside = F.col("__moved").between(low + batch * width, low + (batch + 1) * width - 1)
         part = placed.where(inside).drop("__moved").repartition(FILES_PER_BATCH)
         part.write.mode("append").parquet(path)
+    stream_tables.delete(spark, whole)
     return (
         spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     )
