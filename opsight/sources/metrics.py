@@ -60,15 +60,18 @@ def read_metric_csv(
         schema=schema,
         enforceSchema=False,
         recursiveFileLookup=True,
-    ).withColumn("file_path", F.col("_metadata.file_path"))
-    named = F.regexp_extract("file_path", FILE_NAME, 1) if host is None else F.lit(host)
+    )
+    # The pattern starts anywhere: on the whole path it would be tried from each character,
+    # for each row again.
+    file_name = F.substring_index(F.col("_metadata.file_path"), "/", -3)
+    named = F.regexp_extract(file_name, FILE_NAME, 1) if host is None else F.lit(host)
     return (
         wide.where("epoch is not null")
         .select(
             named.alias("host"),
-            F.regexp_extract("file_path", FILE_NAME, 2).alias("plugin"),
-            F.regexp_extract("file_path", FILE_NAME, 3).alias("metric"),
-            F.regexp_extract("file_path", FILE_NAME, 4).cast("date").alias("date"),
+            F.regexp_extract(file_name, FILE_NAME, 2).alias("plugin"),
+            F.regexp_extract(file_name, FILE_NAME, 3).alias("metric"),
+            F.regexp_extract(file_name, FILE_NAME, 4).cast("date").alias("date"),
             F.timestamp_micros(F.round(F.col("epoch") * 1e6).cast("bigint")).alias("ts"),
             *columns,
         )

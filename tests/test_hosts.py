@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -56,6 +57,22 @@ def test_metric_files(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan.replace("plugin#", "") or "date" in plan.split("PartitionFilters")[1][:200]
 
 
+def test_long_folder_names_do_not_slow_the_reading_down(spark, tmp_path):
+    def seconds(root):
+        folder = root / "node7" / "load"
+        folder.mkdir(parents=True)
+        lines = [f"{1787140800 + n},{n},2,3\n" for n in range(20_000)]
+        (folder / "load-2026-08-19").write_text("epoch,shortterm,midterm,longterm\n" + "".join(lines))
+        found = metric_source.read_metrics(spark, str(root))
+        begun = time.monotonic()
+        row = found.groupBy("host", "plugin", "metric").agg(F.count("value").alias("n"), F.max("date").alias("date")).first()
+        assert (row["host"], row["plugin"], row["metric"], str(row["date"]), row["n"]) == ("node7", "load", "load", "2026-08-19", 60_000)
+        return time.monotonic() - begun
+
+    seconds(tmp_path / "first")
+    assert seconds(tmp_path / ("long-" * 40)) < 4 * seconds(tmp_path / "short") + 2
+
+
 def test_series_of_one_plugin_are_not_mixed(spark):
     rows = samples(spark, [("load", -3, 1), ("load", -2, 5, "midterm"), ("load", -1, 9, "longterm"), ("load", -2, 3)])
     row = metrics.period_summary(rows).first()
