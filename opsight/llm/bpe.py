@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 A pre-token that is a vocabulary entry as a whole is found by a minimal perfect hash (hash
-and displace), many at a time. Every other pre-token is merged by a heap of ranked pairs
-over a linked list of its bytes, lowest rank first and leftmost among equals, in
+and displace), many at a time. Every other pre-token is merged over a linked list of its
+bytes, lowest rank first and leftmost among equals: those of up to ``SHORT`` bytes many at
+once, one merge of each in a step on arrays, longer ones by a heap of ranked pairs in
 ``n log n`` steps. Results are remembered in a memo of bounded size.
 
 The vocabulary is a parameter: a rank file (base64 token and rank in each line). Ids of
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from opsight.llm.common import by_batch
+from opsight.llm.common import by_batch, text_groups
 from opsight.llm.words import mixed
 
 #: Fixed value: the characters with the property White_Space.
@@ -39,6 +40,10 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECES = re.compile(
     f" ?[{_LATIN}]++(?=[{WHITE}.,;:!?|]|$)| ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+"
 )
+#: Bytes of a pre-token that is merged together with others; a place has to fit in 6 bits.
+SHORT = 60
+#: In place of a rank: the pair is no token. In place of an id: there is no part.
+_NO_PAIR, _NO_PART = 1 << 30, 0xFFFF
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODES = np.random.default_rng(20240302).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -115,6 +120,37 @@ class PerfectHash:
         return self.index[slots]
 
 
+class Pairs:
+    """Ranks of pairs of ids, looked up many at a time in small sorted buckets."""
+
+    def __init__(self, ranks: dict[int, int]):
+        keys = np.fromiter(ranks.keys(), np.uint32, len(ranks))
+        self.shift = np.uint32(32 - max(len(ranks), 1).bit_length() - 2)
+        buckets = self._buckets(keys)
+        order = np.argsort(buckets, kind="stable")
+        # The entry behind the last one is met by empty buckets at the end.
+        self.keys = np.append(keys[order], np.uint32(0))
+        self.ranks = np.append(np.fromiter(ranks.values(), np.int32, len(ranks))[order], np.int32(_NO_PAIR))
+        counts = np.bincount(buckets, minlength=(1 << (32 - int(self.shift))))
+        self.begins = np.concatenate(([0], np.cumsum(counts)))
+
+    def _buckets(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.uint32) << np.uint32(16)) | right.astype(np.uint32)
+        buckets = self._buckets(keys)
+        at, ends = self.begins[buckets], self.begins[buckets + 1]
+        out = np.where((at < ends) & (self.keys[at] == keys), self.ranks[at], np.int32(_NO_PAIR))
+        rest = np.flatnonzero((at + 1 < ends) & (out == _NO_PAIR))
+        while len(rest):
+            at[rest] += 1
+            same = self.keys[at[rest]] == keys[rest]
+            out[rest[same]] = self.ranks[at[rest[same]]]
+            rest = rest[~same & (at[rest] + 1 < ends[rest])]
+        return out
+
+
 class Encoder:
     def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str, remembered: int = 400_000):
         self.tokens, self.perfect = tokens, perfect
@@ -127,6 +163,7 @@ class Encoder:
             for at in range(1, len(token))
             if token[:at] in ranks and token[at:] in ranks
         }
+        self.rank_of = Pairs(self.pairs)
         self.pre_tokens = regex.compile(pattern).findall
         self.remembered = remembered
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -170,6 +207,68 @@ class Encoder:
             i = after[i]
         return out
 
+    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of non-empty pieces; short ones of about one length are merged together."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for at in np.flatnonzero(lengths > SHORT).tolist():
+            out[at] = tuple(self.merge(pieces[at]))
+        bands = np.where(lengths > SHORT, 0, -(-lengths // 4))
+        for band in np.unique(bands[bands > 0]).tolist():
+            places = np.flatnonzero(bands == band)
+            for start in range(0, len(places), 1 << 16):
+                chosen = places[start : start + (1 << 16)].tolist()
+                for at, ids in zip(chosen, self._merge_short([pieces[at] for at in chosen]), strict=True):
+                    out[at] = ids
+        return out
+
+    def _merge_short(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Merge the best pair of every piece again and again, all pieces at once.
+
+        A column is a piece, a row a byte, with an empty row before and behind. ``best``
+        holds rank and place of the pair that begins at a part, so the least of a column is
+        the pair with the lowest rank, leftmost among equals.
+        """
+        n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows = int(lengths.max()) + 2
+        column = np.repeat(np.arange(n), lengths)
+        row = np.arange(len(column)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+        ids = np.full((rows, n), _NO_PART, np.int32)
+        ids[row, column] = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
+        places = np.arange(rows, dtype=np.int32)[:, None]
+        best = np.full((rows, n), _NO_PAIR, np.int32)
+        ranks = self.rank_of(ids[1:-2].ravel(), ids[2:-1].ravel()).reshape(rows - 3, n)
+        best[1:-2] = np.where(ranks == _NO_PAIR, _NO_PAIR, ranks << 6 | places[1:-2])
+        before, after = np.repeat(places - 1, n, 1).ravel(), np.repeat(places + 1, n, 1).ravel()
+        flat_ids, flat_best = ids.ravel(), best.ravel()
+
+        def note(i: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> None:
+            flat_best[at] = np.where(ranks == _NO_PAIR, _NO_PAIR, ranks << 6 | i)
+
+        live = np.arange(n)
+        while True:
+            lowest = best.min(0) if len(live) > n // 2 else best[:, live].min(0)
+            if len(live) > n // 2:
+                lowest = lowest[live]
+            live, lowest = live[lowest < _NO_PAIR], lowest[lowest < _NO_PAIR]
+            if not len(live):
+                break
+            i, rank = lowest & 63, lowest >> 6
+            at = i * n + live
+            j = after[at] * n + live
+            end = after[j]
+            after[at] = end
+            before[end * n + live] = i
+            flat_ids[at], flat_ids[j], flat_best[j] = rank, _NO_PART, _NO_PAIR
+            note(i, at, self.rank_of(rank, flat_ids[end * n + live]))
+            left = before[at]
+            note(left, left * n + live, self.rank_of(flat_ids[left * n + live], rank))
+        by_piece = ids.T
+        there = by_piece != _NO_PART
+        found = by_piece[there].tolist()
+        ends = np.cumsum(there.sum(1)).tolist()
+        return [tuple(found[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into the memo; letters alone are one pre-token."""
         memo, tokens = self.memo, self.tokens
@@ -178,22 +277,26 @@ class Encoder:
         words += set(chain.from_iterable(mixtures.values())).difference(memo, words)
         if words:
             data = [word.encode("utf-8", "surrogatepass") for word in words]
-            for word, key, at in zip(words, data, self.perfect.candidates(data).tolist(), strict=True):
-                memo[word] = (at,) if tokens[at] == key else tuple(self.merge(key))
+            whole = self.perfect.candidates(data).tolist()
+            rest = [n for n, (key, at) in enumerate(zip(data, whole, strict=True)) if tokens[at] != key]
+            memo.update(zip(words, zip(whole), strict=True))
+            merged = self.merge_many([data[n] for n in rest])
+            memo.update(zip([words[n] for n in rest], merged, strict=True))
         for piece, parts in mixtures.items():
             memo[piece] = tuple(chain.from_iterable(map(memo.__getitem__, parts)))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; new pieces of about a megabyte of text are learnt together."""
         out = []
-        for text in texts:
-            pieces = PIECES.findall(text or "")
-            new = set(pieces).difference(self.memo)
+        for group in text_groups([text or "" for text in texts]):
+            pieces = [PIECES.findall(text) for text in group]
+            new = set().union(*pieces).difference(self.memo)
             if new:
                 if len(self.memo) + len(new) > self.remembered:
                     self.memo.clear()
-                    new = set(pieces)
+                    new = set().union(*pieces)
                 self._learn(new)
-            out.append(list(chain.from_iterable(map(self.memo.__getitem__, pieces))))
+            out += [list(chain.from_iterable(map(self.memo.__getitem__, own))) for own in pieces]
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:

@@ -75,3 +75,16 @@ def sliced(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Reco
                 yield piece.slice(row, 1)
         else:
             yield piece
+
+
+def text_groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in groups of about ``most`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
