@@ -20,7 +20,7 @@ import os
 import sys
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection
 from types import ModuleType
 from heapq import heappop, heappush
 
@@ -30,14 +30,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsight.llm.bpe import PIECES
-from opsight.llm.common import by_batch, written
+from opsight.llm.common import by_batch, text_groups, written
 
-RUN = 100
+RUN = 500
 PIECE_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 )
 
 
+class Memo(dict[str, bytes]):
+    """Ids of pieces; ``older`` has those known before, ``new`` empty holders for the others."""
+
+    def __init__(self, older: dict[str, bytes]):
+        super().__init__()
+        # Not the memo itself: that would keep the one before it as well.
+        self.older, self.new = dict(older), {}
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.new[piece] = bytearray()
+        self[piece] = found
+        return found
+
+
 class Tokens:
     """Token ids as little-endian 32-bit numbers, by the ``tokenizers`` library.
 
@@ -55,8 +71,7 @@ class Tokens:
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.sizes[number] = len(token)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = Memo({})
         self.remembered = remembered
 
     def encode(self, text: str | None) -> bytes:
@@ -65,21 +80,22 @@ class Tokens:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; new pieces of all texts are learnt together.
 
+        Every piece is looked up once: a new one gives a holder that is filled afterwards.
         A full memo becomes the older one, from which pieces come back as they are met, so
         frequent pieces are never learnt again.
         """
-        pieces = [PIECES.findall(text or "") for text in texts]
         if len(self.memo) > self.remembered:
-            self.memo, self.older = {}, self.memo
-        new = set().union(*pieces).difference(self.memo)
-        known = new.intersection(self.older)
-        for piece in known:
-            self.memo[piece] = self.older[piece]
-        if len(known) < len(new):
-            self.learn(new - known)
-        return [b"".join(map(self.memo.__getitem__, own)) for own in pieces]
-
-    def learn(self, pieces: set[str]) -> None:
+            self.memo = Memo(self.memo)
+        known = self.memo.__getitem__
+        parts = [list(map(known, PIECES.findall(text or ""))) for text in texts]
+        new, self.memo.new = self.memo.new, {}
+        if new:
+            self.learn(new)
+            for piece, holder in new.items():
+                holder += known(piece)
+        return [b"".join(own) for own in parts]
+
+    def learn(self, pieces: Collection[str]) -> None:
         """Ids of new pieces.
 
         Pieces that begin with a space and a word are encoded many at once, one behind the
@@ -87,18 +103,18 @@ class Tokens:
         which ids belong to which piece. The others are encoded one by one.
         """
         joined = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        alone = list(pieces.difference(joined))
+        alone = list(set(pieces).difference(joined))
         for piece, found in zip(alone, self._batch(alone), strict=True):
             self.memo[piece] = np.asarray(found.ids, "<u4").tobytes()
         runs = [joined[at : at + RUN] for at in range(0, len(joined), RUN)]
-        for run, found in zip(runs, self._batch(["".join(run) for run in runs]), strict=True):
+        texts = ["".join(run) for run in runs]
+        for run, text, found in zip(runs, texts, self._batch(texts), strict=True):
             ids = np.asarray(found.ids, "<u4")
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in run])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
-            data, start = ids.tobytes(), 0
-            for piece, cut in zip(run, (4 * cuts).tolist(), strict=True):
-                self.memo[piece] = data[start:cut]
-                start = cut
+            sizes = map(len, run) if text.isascii() else (len(p.encode("utf-8", "surrogatepass")) for p in run)
+            ends = np.cumsum(list(sizes))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1)).tolist()
+            places = map(slice, [0, *cuts], cuts)
+            self.memo.update(zip(run, map(ids.tobytes().__getitem__, places), strict=True))
 
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -111,19 +127,6 @@ def cut(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
     return [(n * size, len(part) // 4, zlib.crc32(part), len(ids) // 4) for n, part in enumerate(parts)]
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in groups of about ``most`` characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def _kept(key: str, make: Callable[[], Tokens]) -> Tokens:
     """One encoder for each worker process: the next task finds it with what it has learnt.
 
@@ -146,7 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame
         texts = [text or "" for text in batch.column("text").to_pylist()]
         # Equal texts of a batch are encoded once.
         found = {}
-        for group in _groups(list(dict.fromkeys(texts))):
+        for group in text_groups(list(dict.fromkeys(texts))):
             for text, ids in zip(group, tokens.encode_many(group), strict=True):
                 found[text] = cut(ids, size)
         docs_of = batch.column("doc_id").to_pylist()

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 
-from opsight.llm import bpe
+from opsight.llm import bpe, packing
 
 
 def test_many_words_are_merged_like_single_ones():
@@ -19,3 +20,16 @@ def test_many_words_are_merged_like_single_ones():
     # Only long words are merged one by one.
     assert alone == [word for word in words if len(word) > bpe.SHORT]
     assert encoder.merge_many([]) == []
+
+
+def test_a_piece_is_looked_up_once_and_full_memos_are_kept():
+    tokens = packing.Tokens(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), remembered=3)
+    learnt = []
+    learn = tokens.learn
+    tokens.learn = lambda pieces: learnt.append(set(pieces)) or learn(pieces)
+    texts = [" one two qqzx qqzx", " qqzx one", "", None, " three four five é"]
+    first = tokens.encode_many(texts)
+    assert tokens.encode_many(texts) == first and len(learnt) == 1
+    assert first == [tokens.tokenizer.encode(t or "").ids and np.array(tokens.tokenizer.encode(t or "").ids, "<u4").tobytes() or b"" for t in texts]
+    assert tokens.memo.older and not tokens.memo.new
+    assert not any(isinstance(ids, bytearray) for ids in tokens.memo.values())
