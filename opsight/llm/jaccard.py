@@ -50,6 +50,8 @@ from opsight.llm.words import as_bytes, ascii_lower, mixed, shingle_hashes, word
 CLASSES = ((64, 1), (2048, 2))
 PART_TOKENS = 5
 SMALLEST_THRESHOLD = 80
+#: Words of 64 bits of a filter that goes to all rows.
+MOST_WORDS = 1 << 18
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -202,6 +204,25 @@ def signatures(
     return found, np.concatenate(before)[first]
 
 
+def _perhaps_in(rows: DataFrame, chosen: DataFrame, key: str, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows whose key is among the chosen ones, and a few others.
+
+    Bits of hashed keys, 64 in a word for four keys or so, go to the rows: a join that
+    follows needn't move the others. The table of bits is bounded; with very many keys more
+    of the other rows pass.
+    """
+    words = min(most_words, 1 << (chosen.count() // 4).bit_length())
+    place = F.xxhash64(key)
+
+    def word() -> Column:
+        return F.pmod(F.shiftrightunsigned(place, 6), F.lit(words)).cast("int")
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    bits = chosen.select(word().alias("bit_word"), bit.alias("bit")).groupBy("bit_word").agg(F.bit_or("bit").alias("bits"))
+    met = rows.join(F.broadcast(bits), word() == F.col("bit_word"))
+    return met.filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """(rep, first, size, tokens) of the chosen sets, from the texts."""
     chosen = chosen.select(F.col("rep").alias("doc_id"), "first", "second")
@@ -217,7 +238,7 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                     out[name].append(value)
         return out
 
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = _perhaps_in(docs.select("doc_id", "text"), chosen, "doc_id").join(chosen, "doc_id")
     return by_batch(texts, run, "rep bigint, first bigint, size bigint, tokens array<bigint>")
 
 

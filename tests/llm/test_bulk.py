@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from opsight.llm import bpe, packing
+from opsight.llm import bpe, jaccard, packing
 
 
 def test_many_words_are_merged_like_single_ones():
@@ -33,3 +34,16 @@ def test_a_piece_is_looked_up_once_and_full_memos_are_kept():
     assert first == [tokens.tokenizer.encode(t or "").ids and np.array(tokens.tokenizer.encode(t or "").ids, "<u4").tobytes() or b"" for t in texts]
     assert tokens.memo.older and not tokens.memo.new
     assert not any(isinstance(ids, bytearray) for ids in tokens.memo.values())
+
+
+def test_texts_without_a_partner_do_not_move(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "y"), (700, "twice")], "doc_id long, text string"))
+    chosen = spark.createDataFrame([(n,) for n in [None, *range(0, 20_000, 100)]], "doc_id long")
+    found = [r.doc_id for r in jaccard._perhaps_in(rows, chosen, "doc_id").collect()]
+    assert {*range(0, 20_000, 100)} <= set(found) and found.count(700) == 2
+    assert len(found) < 2_000
+    # A filter that is too small lets more rows pass, but loses none.
+    found = {r.doc_id for r in jaccard._perhaps_in(rows, chosen, "doc_id", most_words=1).collect()}
+    assert {*range(0, 20_000, 100)} <= found
+    assert jaccard._perhaps_in(rows, chosen.limit(0), "doc_id").count() == 0
